@@ -7,8 +7,9 @@
    of a union are the maxima, and two registers agree with about the similarity.
 3. Bands of registers put classes into buckets. A few rounds link every bucket's
    members to one member of it, each round only across the components found so far;
-   a last round takes every pair that still lies across components. So a group of
-   thousands of near copies costs a few rows for each member, and no pair is left out.
+   a last round compares every pair that still lies across components, blocks of
+   members at a time. So a group of thousands of near copies costs a few rows for
+   each member, and no pair is left out.
 4. A pair's similarity is estimated jointly by maximum likelihood from the registers;
    what is far below the threshold goes, and all else is confirmed on the full sets.
 5. Components come from label propagation over confirmed links.
@@ -149,22 +150,77 @@ def _estimates():
     return estimate
 
 
-def confirmed(pairs: DataFrame, features: DataFrame, percent: int, margin: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def likely_pairs(pairs: DataFrame, features: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Of pairs (a, b) those whose estimate is not far below the threshold."""
     light = features.select("cls", "n", "registers")
-    near = (
+    return (
         pairs.join(light.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a")
         .join(light.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b")), "b")
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .withColumn("likely", _estimates()("r_a", "r_b", "n_a", "n_b"))
         .where(F.col("likely") >= percent / 100 - margin)
-        .select("a", "b", "n_a", "n_b")
+        .select("a", "b")
     )
-    sets = features.select("cls", "shingles")
+
+
+def _blocks(bands: int, percent: int, margin: float):
+    """Arrow mapper: two blocks of a bucket's members to the likely pairs across components.
+
+    A pair that shares several buckets comes from that of its first shared band alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for row in batch.to_pylist():
+                left, right = row["left"], row["right"]
+                cls = [[m["cls"] for m in side] for side in (left, right)]
+                names = {x: i for i, x in enumerate({m["label"] for side in (left, right) for m in side})}
+                label = [np.array([names[m["label"]] for m in side]) for side in (left, right)]
+                n = [np.array([m["n"] for m in side], float) for side in (left, right)]
+                registers = [np.frombuffer(b"".join(m["registers"] for m in side), np.uint16).reshape(len(side), -1) for side in (left, right)]
+                fits = 100 * np.minimum(n[0][:, None], n[1]) >= percent * np.maximum(n[0][:, None], n[1])
+                fits &= label[0][:, None] != label[1]
+                if row["i"] == row["j"]:
+                    fits = np.triu(fits, 1)
+                x, y = np.nonzero(fits)
+                for low in range(0, len(x), 8192):
+                    i, j = x[low : low + 8192], y[low : low + 8192]
+                    a, b = registers[0][i], registers[1][j]
+                    shared = (a == b).reshape(len(i), bands, -1).all(axis=2)
+                    own = band_keys(registers[0][i[:1]], bands)[0] == row["bucket"]
+                    first = shared.any(axis=1) & own[shared.argmax(axis=1)]
+                    i, j, a, b = i[first], j[first], a[first], b[first]
+                    if len(i):
+                        near = joint_estimate(a, b, n[0][i], n[1][j]) >= percent / 100 - margin
+                        found += [(cls[0][k], cls[1][m]) for k, m in zip(i[near].tolist(), j[near].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.binary()), pa.array([max(f) for f in found], pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def open_pairs(placed: DataFrame, features: DataFrame, bands: int, percent: int, margin: float, block: int) -> DataFrame:
+    """All likely pairs (a, b) of bucket members that lie across components.
+
+    placed has (bucket, cls, label) of buckets with several components. Members are
+    dealt into blocks, and blocks of a bucket are compared in numpy, so pairs that are
+    not likely are never rows.
+    """
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    spread = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("i")
+    dealt = placed.join(sizes, "bucket").select("bucket", "cls", "label", spread).join(features.select("cls", "n", "registers"), "cls")
+    grouped = written(dealt.groupBy("bucket", "i").agg(F.collect_list(F.struct("cls", "label", "n", "registers")).alias("left")), "blocks")
+    other = grouped.select("bucket", F.col("i").alias("j"), F.col("left").alias("right"))
+    return grouped.join(other, "bucket").where("i <= j").mapInArrow(_blocks(bands, percent, margin), "a binary, b binary")
+
+
+def confirmed(near: DataFrame, features: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = features.select("cls", "n", "shingles")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return (
-        near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("s_a")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("s_b")), "b")
+        near.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b")), "b")
         .where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
         .select("a", "b")
     )
@@ -193,13 +249,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80,
-    bands: int = 32, rows: int = 6, rounds: int = 3, margin: float = 0.12,
+    bands: int = 32, rows: int = 6, rounds: int = 3, margin: float = 0.1, block: int = 64,
 ) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept.
 
     size is the words of a shingle, percent the least similarity. With 32 bands of 6
-    registers a pair at 0.8 shares a bucket with probability 0.9999. margin is four
-    standard deviations of the estimate from 192 registers.
+    registers a pair at 0.8 shares a bucket with probability 0.9999. margin is more
+    than three standard deviations of the estimate from 192 registers at 0.8.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches(size, bands, rows, False), "id long, n long, cls binary, bands array<long>"), "sketches")
@@ -234,12 +290,10 @@ def near_duplicates(
         ).where("low <> high")
         if round_ < rounds:
             pairs = placed.join(open_.select("bucket", "centre"), "bucket").where("label <> centre.label").select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b"))
+            near = likely_pairs(pairs.distinct(), features, percent, margin)
         else:
-            left = placed.join(open_, "bucket", "left_semi")
-            # what is still open: pairs across components, never within one
-            right = left.select("bucket", F.col("cls").alias("cls2"), F.col("label").alias("label2"))
-            pairs = left.join(right, "bucket").where("label < label2").select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
-        found = written(confirmed(pairs.distinct(), features, percent, margin), "found")
+            near = open_pairs(placed.join(open_, "bucket", "left_semi"), features, bands, percent, margin, block)
+        found = written(confirmed(near, features, percent), "found")
         if is_empty(found):
             if round_ < rounds:
                 continue
