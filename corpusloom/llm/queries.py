@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, fingerprints, html_extract, language_id, line_dedup, mixing, near_dedup, packing
+from . import chat, exact_topk, fingerprints, html_extract, language_id, line_dedup, mixing, near_dedup, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sharding.shard(table(spark, sf_dir, "documents")).read()
+    return kept.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -59,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op4_sharding": sharding.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
