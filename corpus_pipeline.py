@@ -1,18 +1,52 @@
-"""Corpus pipeline: stages over the documents table, each written and read again."""
+"""Corpus pipeline: documents to training sequences, in five stages.
+
+Each stage works on all that the one before kept, is written as Parquet and read again.
+All but the last return the columns of documents; the last returns the pieces of
+documents with the sequence and offset that each is packed to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import near_dedup
+from corpusloom.llm import language_id, line_dedup, mixing, near_dedup, packing
 from corpusloom.llm.common import written
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.without_near_duplicates(docs)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled rows know; undetermined ones go."""
+    return language_id.keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go; a document of which nothing is left goes with them."""
+    return line_dedup.without_repeats(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    return near_dedup.without_near_duplicates(docs, size=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token budget is dealt to sources by weight; a document comes once an epoch."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs)
+
 
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-STAGES = [("near_dedup", near_duplicates)]
+#: Language ID, registers and tokens are not SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
@@ -20,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    name, stage = STAGES[-1]
+    return stage(spark, docs, sf_dir)
