@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.frames import union_by
+
 
 @dataclass(frozen=True)
 class Resolver:
@@ -74,7 +76,7 @@ def update_graph(edges: DataFrame, docs: DataFrame, selected: DataFrame | None =
     ids = chosen.select(F.col("doc_id").alias("source_id")).distinct()
     kept = edges.join(ids, "source_id", "left_anti")
     made = resolve_references(chosen, docs, resolvers).dropDuplicates(["source_id", "target_id", "relationship_type"])
-    return kept.select(*made.columns).unionByName(made)
+    return union_by(["source_id"], kept.select(*made.columns), made)
 
 
 def build_counts(before: DataFrame, after: DataFrame, orphans: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def build_counts(before: DataFrame, after: DataFrame, orphans: DataFrame) -> Dat
 
 
 def disconnected_nodes(nodes: DataFrame, edges: DataFrame, node: str = "node_id") -> DataFrame:
-    ends = edges.select(F.col("source_id").alias(node)).union(edges.select("target_id")).distinct()
+    ends = union_by([node], edges.select(F.col("source_id").alias(node)), edges.select(F.col("target_id").alias(node))).distinct()
     return nodes.select(node).join(ends, node, "left_anti")
 
 
@@ -103,7 +105,7 @@ def touching(seeds: DataFrame, edges: DataFrame, types: list[str] | None = None)
     seeds = seeds.select(F.col("seed")).distinct()
     out = edges.join(seeds, F.col("source_id") == F.col("seed")).withColumn("other", F.col("target_id"))
     back = edges.where("source_id <> target_id").join(seeds, F.col("target_id") == F.col("seed")).withColumn("other", F.col("source_id"))
-    return out.unionByName(back)
+    return union_by(["seed"], out, back)
 
 
 def related_documents(seeds: DataFrame, edges: DataFrame, types: list[str] | None = None, limit: int = 50, newest: str = "edge_id") -> DataFrame:
@@ -124,7 +126,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 1, types: list[str
         frontier = first.where("other <> seed").select("seed", F.col("other").alias("node")).distinct()
         nodes = frontier.select(F.col("node").alias("seed")).distinct()
         second = touching(nodes, edges, types).withColumnRenamed("seed", "node").join(frontier, "node").drop("node")
-        met = first.unionByName(second.withColumn("level", F.lit(2)))
+        met = union_by(["seed"], first, second.withColumn("level", F.lit(2)))
     nearest = W.partitionBy("seed", order_by).orderBy("level", "other")
     once = met.withColumn("__o", F.row_number().over(nearest)).where("__o = 1").drop("__o")
     capped = W.partitionBy("seed").orderBy("level", order_by)

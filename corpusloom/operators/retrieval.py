@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.frames import union_by
 
 from . import documents as dx
 from . import graph as gx
@@ -53,10 +54,7 @@ def candidates(rows: DataFrame, stage: str) -> DataFrame:
 
 
 def union_candidates(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_by(["query_id", "doc_id"], *parts)
 
 
 def fuse_candidates(rows: DataFrame, weights: dict[str, float], order: tuple[str, ...] = ("vector", "lexical", "graph")) -> DataFrame:
@@ -129,6 +127,6 @@ def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: Dat
     if profile.graph_depth > 0 and edges is not None:
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         seeds = rows.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
-        rows = rows.unionByName(candidates(gx.expand_graph(seeds, edges, profile.graph_depth), "graph"))
+        rows = union_candidates(rows, candidates(gx.expand_graph(seeds, edges, profile.graph_depth), "graph"))
     fused = fuse_candidates(rows, profile.weights)
     return pack_context(rerank(fused, docs, analyzed, profile.weights), profile.context_limit, profile.token_budget)

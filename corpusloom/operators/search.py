@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.vectors import cosine  # exact scores of approximate candidates
+from corpusloom.functions.frames import union_by
+from corpusloom.functions.vectors import cosine
 
 #: Field weights: reference and title, source name, content.
 WEIGHTS = {"reference": 1.0, "title": 1.0, "source_name": 0.4, "content": 0.2}
@@ -108,7 +109,7 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     every = hits.where("n_terms > 1")
     full = every.groupBy("query_id", "doc_id").agg(F.count_distinct("token").alias("held"), F.first("n_terms").alias("n")).where("held = n").select("query_id", "doc_id")
     most = queries.agg(F.max(F.size(F.array_distinct(tokens(F.col("query")))))).first()[0] or 1
-    text = single.unionByName(cover_density(every.join(full, ["query_id", "doc_id"], "left_semi"), most))
+    text = union_by(["query_id", "doc_id"], single, cover_density(every.join(full, ["query_id", "doc_id"], "left_semi"), most))
     q = F.lower(F.trim("query"))
     # names are matched against distinct values only, not against every document
     contains = lambda c: F.contains(F.lower(F.col(c)), q)
@@ -120,7 +121,7 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     refs = docs.select("doc_id", "reference", F.explode(F.array_distinct(tokens(F.col("reference")))).alias("token"))
     near = refs.join(asked, "token").where(contains("reference"))
     exact = F.when(F.lower("reference") == q, F.lit(10.0)).otherwise(F.lit(0.0))
-    boosts = boosts.unionByName(near.select("query_id", "doc_id", (exact + 5.0).alias("boost")))
+    boosts = union_by(["query_id", "doc_id"], boosts, near.select("query_id", "doc_id", (exact + 5.0).alias("boost")))
     total = boosts.groupBy("query_id", "doc_id").agg(F.sum("boost").alias("boost"))
     zero = F.lit(0.0)
     score = F.round(F.coalesce("rank", zero) + F.coalesce("boost", zero), 6)

@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _loaded() -> None:
+    from . import document_queries, search_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return ORACLES

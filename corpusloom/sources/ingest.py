@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.functions.frames import union_by
 
 _REFS = "array<string>"
 # Layouts of the JSON payloads.
@@ -217,7 +218,7 @@ def verify_sources(raw: DataFrame, importers: tuple[Importer, ...] = IMPORTERS)
     for i in importers:
         own = routed.where(F.col("importer") == i.name)
         part = i.errors(own)
-        errors = part if errors is None else errors.unionByName(part)
+        errors = part if errors is None else union_by(["file_path"], errors, part)
     grouped = errors.groupBy("file_path").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "reference", "error"))).alias("errors"))
     out = routed.select("file_path", "importer").join(grouped, "file_path", "left")
     status = F.when(F.col("importer").isNull(), "unsupported").when(F.size("errors") > 0, "failed").otherwise("verified")
