@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.frames import union_by
+
 from .common import written
 from .packing import _tokenizer, default_tokenizer
 
@@ -99,8 +101,8 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     common = ["conv_id", "span", "place", "role", "text", "tokens"]
     leads = spans.where("first > 0").select("conv_id", "span").join(systems, F.col("conv_id").eqNullSafe(F.col("_conv")))
     leads = leads.select("conv_id", "span", F.lit(-1).cast("long").alias("place"), F.lit("system").alias("role"), F.col("system_text").alias("text"), F.col("system").alias("tokens"))
-    context = past.select(*common).union(leads.select(*common)).withColumn("new", F.lit(False))
-    rows = new.select(*common).withColumn("new", F.lit(True)).union(context)
+    told = lambda df, new: df.select(*common).withColumn("new", F.lit(new))
+    rows = union_by(["conv_id", "span"], told(new, True), told(past, False), told(leads, False))
 
     text = escaped(F.col("text"))
     head = F.concat(F.lit(BEGIN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
