@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.frames import union_by
+
 from .common import written
 
 #: Target weights; what is not named has weight 10.
@@ -104,7 +106,7 @@ def mix(
     # rows with equal keys count together, hence the range frame
     run = F.sum("n_tokens").over(W.partitionBy(*LEAF, "slice").orderBy("key").rangeBetween(W.unboundedPreceding, 0))
     last = drawn.join(edge, [*LEAF, "slice"]).withColumn("upto", F.col("before") + run).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("cut"))
-    cuts = inside.union(last).groupBy(*LEAF).agg(F.max("cut").alias("cut"))
+    cuts = union_by(LEAF, inside, last).groupBy(*LEAF).agg(F.max("cut").alias("cut"))
     chosen = budgets.join(cuts, LEAF, "left").select(*[F.col(c).alias(f"__{c}") for c in LEAF], "epochs", F.coalesce("cut", F.lit("")).alias("cut"))
     chosen = written(chosen, "mix-cuts")
 
