@@ -191,7 +191,7 @@ def _verse_errors(raw: DataFrame) -> DataFrame:
     ref = tx.format_reference(F.col("book"), F.col("chapter"), F.col("verse"))
     many = F.count("*").over(W.partitionBy("file_path", ref))
     bad = F.array_compact(F.array(F.when((F.col("chapter") < 1) | (F.col("verse") < 1), F.lit("bad_number")), F.when(many > 1, F.lit("duplicate")), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("blank")), F.when(F.col("book").isNull(), F.lit("book"))))
-    return verses.select("file_path", ref.alias("reference"), F.explode(bad).alias("error")).distinct()
+    return verses.withColumn("bad", bad).select("file_path", ref.alias("reference"), F.explode("bad").alias("error")).distinct()
 
 
 def _content_errors(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -199,7 +199,7 @@ def _content_errors(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFra
         docs = read(raw)
         many = F.count("*").over(W.partitionBy("file_path", "reference"))
         bad = F.array_compact(F.array(F.when(many > 1, F.lit("duplicate")), F.when(F.trim(F.coalesce("content", F.lit(""))) == "", F.lit("blank"))))
-        return docs.select("file_path", "reference", F.explode(bad).alias("error")).distinct()
+        return docs.withColumn("bad", bad).select("file_path", "reference", F.explode("bad").alias("error")).distinct()
 
     return errors
 
