@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 LONG_WORDS = 25
 #: First digits of a rolling hash after which a chunk ends: a fourth of all.
 ENDS = ("0", "1", "2", "3")
@@ -59,20 +61,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), "__text": F.xxhash64(text_col)}
     keyed = docs.withColumns(place)
     cut = keyed.select("__id", "__text", F.posexplode(chunks(F.col(text_col), long_words)).alias("__k", "__c")).where("__c.whole")
-    seen = cut.select("__id", "__text", "__k", F.md5(F.col("__c.text").cast("binary")).alias("__hash")).distinct()
+    seen = written(cut.select("__id", "__text", "__k", F.unhex(F.md5(F.col("__c.text").cast("binary"))).alias("__hash")), "chunks")
     spot = F.struct("__id", "__text", "__k")
     repeated = seen.groupBy("__hash").agg(F.min(spot).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     later = seen.join(repeated.withColumnRenamed("__hash", "__hash2"), F.col("__hash") == F.col("__hash2")).where(spot != F.col("__first")).select("__id", "__text", "__k", "__hash")
     # bytes of the first occurrences
     firsts = repeated.select("__hash", F.col("__first.__id").alias("__id"), F.col("__first.__text").alias("__text"), F.col("__first.__k").alias("__k"))
-    wanted = firsts.groupBy("__id", "__text").agg(F.collect_list(F.struct("__k", "__hash")).alias("__wanted"))
+    wanted = firsts.groupBy("__id", "__text").agg(F.collect_set(F.struct("__k", "__hash")).alias("__wanted"))
     bytes_ = (
-        keyed.dropDuplicates(["__id", "__text"]).select("__id", "__text", text_col).join(wanted, ["__id", "__text"])
+        keyed.select("__id", "__text", text_col).join(wanted, ["__id", "__text"])
         .withColumn("__chunks", chunks(F.col(text_col), long_words))
         .select("__chunks", F.explode("__wanted").alias("__w"))
         .select(F.col("__w.__hash").alias("__hash"), F.get("__chunks", F.col("__w.__k"))["text"].alias("__bytes"))
+        .dropDuplicates(["__hash"])
     )
-    claims = later.join(bytes_, "__hash").groupBy("__id", "__text").agg(F.map_from_entries(F.collect_list(F.struct("__k", "__bytes"))).alias("__claims"))
+    claims = later.join(bytes_, "__hash").groupBy("__id", "__text").agg(F.map_from_entries(F.collect_set(F.struct("__k", "__bytes"))).alias("__claims"))
     joined = keyed.join(claims, ["__id", "__text"], "left")
     touched = F.when(F.col("__claims").isNotNull(), chunks(F.col(text_col), long_words))
     # each chunk is compared with the bytes of the first occurrence it is said to repeat
