@@ -15,7 +15,7 @@ DOCUMENTS_SQL = """docs AS (
     'DOC ' || doc_id AS reference, string_split(text, chr(10))[1] AS title, text AS content,
     '{"language":"' || lang || '","chapter":' || (n_chars % 50) || ',"topics":["' || source || '"]}' AS metadata, lang, n_chars
   FROM documents d)"""
-GRAPH_SQL = """nodes AS (SELECT 'P' || p_partkey AS node_id FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT 'S' || s_suppkey FROM supplier),
+GRAPH_SQL = """nodes AS (SELECT 'P' || p_partkey AS node_id FROM part WHERE p_partkey % 10 <> 1 UNION ALL SELECT 'S' || s_suppkey FROM supplier),
 edges AS (SELECT 'P' || l_partkey AS source_id, 'S' || l_suppkey AS target_id, l_returnflag AS relationship_type, l_orderkey * 10 + l_linenumber AS edge_id FROM lineitem)"""
 
 
@@ -55,7 +55,7 @@ EMBEDDED_SQL = (
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges: parts and suppliers, tied by order lines; a tenth of the parts is missing."""
-    parts = read(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(F.concat(F.lit("P"), "p_partkey").alias("node_id"))
+    parts = read(spark, sf_dir, "part").where("p_partkey % 10 <> 1").select(F.concat(F.lit("P"), "p_partkey").alias("node_id"))
     suppliers = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("node_id"))
     edges = read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), "l_partkey").alias("source_id"), F.concat(F.lit("S"), "l_suppkey").alias("target_id"),

@@ -10,8 +10,9 @@
    a last round compares every pair that still lies across components, blocks of
    members at a time. So a group of thousands of near copies costs a few rows for
    each member, and no pair is left out.
-4. A pair's similarity is estimated jointly by maximum likelihood from the registers;
-   what is far below the threshold goes, and all else is confirmed on the full sets.
+4. A pair's similarity is estimated jointly by maximum likelihood from the registers (in
+   the last round then from the low bytes of 2048 more); what is more than three standard
+   deviations below the threshold goes, and all else is confirmed on the full sets.
 5. Components come from label propagation over confirmed links.
 
 Nulls, empty texts and texts without words have an empty set and are linked with
@@ -33,6 +34,8 @@ from .common import dropped, is_empty, written
 from .wordhash import mix, shingle_hashes, word_hashes
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
+#: More registers of which the low byte is kept, for a closer look at pairs in blocks.
+FINE, FINE_MARGIN = 2048, 0.036
 SLICE_BYTES = 1 << 20
 
 
@@ -55,9 +58,9 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
 
 
 def register_coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7919)
-    draw = lambda: rng.integers(0, 1 << 32, size=(count, 1), dtype=np.uint64).astype(np.uint32)
-    return draw() | np.uint32(1), draw()
+    """Factors and shifts; a register's own do not depend on count."""
+    drawn = np.random.default_rng(7919).integers(0, 1 << 32, size=(count, 2), dtype=np.uint64).astype(np.uint32)
+    return drawn[:, :1] | np.uint32(1), drawn[:, 1:]
 
 
 def set_sketch(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -92,14 +95,15 @@ def _sketches(size: int, bands: int, rows: int, full: bool):
     """Arrow mapper: per text its class and, by full, the bands or registers and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, shifts = register_coefficients(bands * rows)
+        coarse = bands * rows
+        factors, shifts = register_coefficients(coarse + (FINE if full else 0))
         for batch in batches:
             ids = batch.column(0)
             for low, high, data, offsets in text_slices(batch.column(1)):
                 words, at = word_hashes(data, offsets)
                 sets = [shingle_hashes(words[at[i] : at[i + 1]], size) for i in range(high - low)]
                 filled = [i for i, s in enumerate(sets) if len(s)]
-                sketch = np.zeros((len(sets), bands * rows), np.uint16)
+                sketch = np.zeros((len(sets), len(factors)), np.uint16)
                 for i in filled:
                     sketch[i] = set_sketch(sets[i], factors, shifts)
                 has = np.zeros(len(sets), bool)
@@ -107,7 +111,8 @@ def _sketches(size: int, bands: int, rows: int, full: bool):
                 keys = [class_key(s) if len(s) else None for s in sets]
                 columns = [ids.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
                 if full:
-                    columns.append(pa.array([r.tobytes() for r in sketch], pa.binary()))
+                    columns.append(pa.array([r[:coarse].tobytes() for r in sketch], pa.binary()))
+                    columns.append(pa.array([r[coarse:].astype(np.uint8).tobytes() for r in sketch], pa.binary()))
                     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                     flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
@@ -115,7 +120,7 @@ def _sketches(size: int, bands: int, rows: int, full: bool):
                     counts = np.where(has, bands, 0)
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sketch[has], bands).ravel())))
-                names = ["id", "n", "cls", "registers", "shingles"] if full else ["id", "n", "cls", "bands"]
+                names = ["id", "n", "cls", "registers", "fine", "shingles"] if full else ["id", "n", "cls", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -139,6 +144,11 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return grid[np.arange(len(grid)), likely.argmax(axis=1)]
 
 
+def same_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity from the share of equal register bytes, less those equal by chance."""
+    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+
+
 def _estimates():
     @F.pandas_udf("double")
     def estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -179,6 +189,7 @@ def _blocks(bands: int, percent: int, margin: float):
                 label = [np.array([names[m["label"]] for m in side]) for side in (left, right)]
                 n = [np.array([m["n"] for m in side], float) for side in (left, right)]
                 registers = [np.frombuffer(b"".join(m["registers"] for m in side), np.uint16).reshape(len(side), -1) for side in (left, right)]
+                fine = [np.frombuffer(b"".join(m["fine"] for m in side), np.uint8).reshape(len(side), -1) for side in (left, right)]
                 fits = 100 * np.minimum(n[0][:, None], n[1]) >= percent * np.maximum(n[0][:, None], n[1])
                 fits &= label[0][:, None] != label[1]
                 if row["i"] == row["j"]:
@@ -193,6 +204,7 @@ def _blocks(bands: int, percent: int, margin: float):
                     i, j, a, b = i[first], j[first], a[first], b[first]
                     if len(i):
                         near = joint_estimate(a, b, n[0][i], n[1][j]) >= percent / 100 - margin
+                        near[near] = same_share(fine[0][i[near]], fine[1][j[near]]) >= percent / 100 - FINE_MARGIN
                         found += [(cls[0][k], cls[1][m]) for k, m in zip(i[near].tolist(), j[near].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.binary()), pa.array([max(f) for f in found], pa.binary())], names=["a", "b"])
 
@@ -208,8 +220,8 @@ def open_pairs(placed: DataFrame, features: DataFrame, bands: int, percent: int,
     """
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
     spread = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("i")
-    dealt = placed.join(sizes, "bucket").select("bucket", "cls", "label", spread).join(features.select("cls", "n", "registers"), "cls")
-    grouped = written(dealt.groupBy("bucket", "i").agg(F.collect_list(F.struct("cls", "label", "n", "registers")).alias("left")), "blocks")
+    dealt = placed.join(sizes, "bucket").select("bucket", "cls", "label", spread).join(features.select("cls", "n", "registers", "fine"), "cls")
+    grouped = written(dealt.groupBy("bucket", "i").agg(F.collect_list(F.struct("cls", "label", "n", "registers", "fine")).alias("left")), "blocks")
     other = grouped.select("bucket", F.col("i").alias("j"), F.col("left").alias("right"))
     return grouped.join(other, "bucket").where("i <= j").mapInArrow(_blocks(bands, percent, margin), "a binary, b binary")
 
@@ -229,27 +241,27 @@ def confirmed(near: DataFrame, features: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that is reachable over links (a, b).
 
-    Each step takes the smallest label among neighbours, then the label's own label.
+    Each step takes the smallest of a node's label, its neighbours' labels and its
+    label's label.
     """
-    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), "labels")
+    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
+    labels = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = written(step, "labels")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        next_ = written(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        changed = not is_empty(next_.where(F.col("label") != F.col("old")))
-        dropped(labels, step)
-        labels = next_.drop("old")
-        if not changed:
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = F.least("label", "near", "far")
+        next_ = labels.drop("moved").join(seen, "node").join(jump, "label", "left").select("node", new.alias("label"), (new != F.col("label")).alias("moved"))
+        next_ = written(next_, "labels")
+        dropped(labels)
+        labels = next_
+        if is_empty(labels.where("moved")):
             dropped(both)
-            return labels
+            return labels.drop("moved")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80,
-    bands: int = 32, rows: int = 6, rounds: int = 3, margin: float = 0.1, block: int = 64,
+    bands: int = 32, rows: int = 6, rounds: int = 2, margin: float = 0.1, block: int = 64,
 ) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept.
 
@@ -260,22 +272,16 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches(size, bands, rows, False), "id long, n long, cls binary, bands array<long>"), "sketches")
     usable = sketches.where("id is not null and cls is not null")
-    classes = usable.groupBy("cls").agg(F.min("id").alias("first_id"))
+    classes = written(usable.groupBy("cls").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands")), "classes")
 
     # members: classes that share a bucket with another class
-    keyed = usable.select("cls", F.explode("bands").alias("bucket"))
+    keyed = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
-    members = written(keyed.join(shared, "bucket", "left_semi").distinct(), "members")
-    nodes = members.select("cls").distinct()
-    chosen = classes.join(nodes, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct()
-    features = (
-        docs.join(chosen, "id", "left_semi")
-        .mapInArrow(_sketches(size, bands, rows, True), "id long, n long, cls binary, registers binary, shingles array<long>")
-        .join(classes.withColumnRenamed("first_id", "id").join(nodes, "cls", "left_semi"), ["cls", "id"], "left_semi")
-        .dropDuplicates(["cls"])
-        .drop("id")
-    )
-    features = written(features, "features")
+    members = written(keyed.join(shared, "bucket", "left_semi"), "members")
+    chosen = classes.join(members, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct()
+    # rows that share an id may bring classes that nothing asks for
+    features = docs.join(chosen, "id", "left_semi").mapInArrow(_sketches(size, bands, rows, True), "id long, n long, cls binary, registers binary, fine binary, shingles array<long>")
+    features = written(features.where("cls is not null").drop("id").dropDuplicates(["cls"]), "features")
 
     labels = None  # (node, label) of classes that have a link
     links = None
@@ -302,9 +308,9 @@ def near_duplicates(
         merged = found if links is None else links.union(found)
         links = written(merged, "all-links")
         labels = components(links)
-    reach = classes
+    reach = classes.select("cls", "first_id")
     if labels is not None:
-        reach = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        reach = reach.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         lowest = reach.groupBy("label").agg(F.min("first_id").alias("lowest"))
         reach = reach.join(lowest, "label").select("cls", F.col("lowest").alias("first_id"))
     component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("first_id", "id"))

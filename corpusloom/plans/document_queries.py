@@ -332,6 +332,11 @@ def h21(spark, sf):
     return ad.read(spark, sf, "part").select("p_partkey", tx.highlight(F.col("p_name"), "PA").alias("marked"))
 
 
+@query("h22_normalize_book", "SELECT p_partkey, lower(trim(p_name)) AS book FROM part")
+def h22(spark, sf):
+    return ad.read(spark, sf, "part").select("p_partkey", tx.normalize_book(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("book"))
+
+
 @query("u2_reference_lists", "SELECT l_orderkey, a, list_filter(list_sort(list_distinct(a)), lambda x: NOT list_contains(b, x)) AS diff, list_filter(a, lambda x: list_contains(b, x)) AS shared FROM (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS a, list(l_linestatus ORDER BY l_linenumber, l_linestatus) || ['R'] AS b FROM lineitem GROUP BY 1)")
 def u2(spark, sf):
     item = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col(c).alias("x")))), lambda s: s["x"])

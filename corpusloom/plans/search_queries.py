@@ -20,15 +20,15 @@ from .document_queries import long_
 DOCS, GRAPH, VERSES = ad.DOCUMENTS_SQL, ad.GRAPH_SQL, ad.VERSES_SQL
 K = 10
 
-# Queries: every vector whose id is divisible by 25 asks with its vector; the text of the
+# Queries: every vector whose id is divisible by 100 asks with its vector; the text of the
 # same document's second and third word is the query string.
 ASK_SQL = r"""asks AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label,
-  array_to_string((list_filter(regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+'), lambda x: length(x) > 3))[1:2], ' ') AS query FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 25 = 0)"""
+  array_to_string((list_filter(regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+'), lambda x: length(x) > 3))[1:2], ' ') AS query FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0)"""
 
 
 def asks(spark, sf):
     words = F.filter(sx.tokens(F.col("text")), lambda w: F.length(w) > 3)
-    v = ad.vectors(spark, sf).where("vec_id % 25 = 0")
+    v = ad.vectors(spark, sf).where("vec_id % 100 = 0")
     return v.join(ad.read(spark, sf, "documents"), F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("query_id"), "vector", "label", F.array_join(F.slice(words, 1, 2), " ").alias("query"))
 
 
@@ -130,6 +130,17 @@ def t4(spark, sf):
     return sx.hybrid_search(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), K).select("query_id", "doc_id", "vector", "lexical", "combined", *long_("rank"))
 
 
+@query("h3_weighted_fusion", f"WITH {DOCS}, {VECTOR_SQL}, {LEXICAL_SQL}, {FUSED_SQL} SELECT query_id, doc_id, combined FROM fused")
+def h3(spark, sf):
+    return sx.weighted_fusion(vec(spark, sf), lex(spark, sf), 1000).select("query_id", "doc_id", "combined")
+
+
+@query("k2_over_fetch", f"WITH {VECTOR_SQL} SELECT query_id, count(*) AS fetched FROM vec GROUP BY 1")
+def k2(spark, sf):
+    asked = asks(spark, sf).select("query_id", "vector")
+    return sx.semantic_search(asked, held(spark, sf), sx.over_fetch(K)).groupBy("query_id").agg(F.count("*").alias("fetched"))
+
+
 @query("k1_top_k_per_query", "SELECT o_custkey AS query_id, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3")
 def k1(spark, sf):
     rows = ad.read(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
@@ -138,13 +149,13 @@ def k1(spark, sf):
 
 # evaluation: relevant are the vectors with the same label
 
-TRUTH_SQL = "truth AS (SELECT a.vec_id AS query_id, b.vec_id AS reference FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)"
+TRUTH_SQL = "truth AS (SELECT a.vec_id AS query_id, b.vec_id AS reference FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)"
 
 
 def truth(spark, sf):
     v = ad.vectors(spark, sf)
     b = v.select(F.col("vec_id").alias("reference"), F.col("label").alias("l"))
-    return v.where("vec_id % 25 = 0").join(b, (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("reference"))).select(F.col("vec_id").alias("query_id"), "reference")
+    return v.where("vec_id % 100 = 0").join(b, (F.col("label") == F.col("l")) & (F.col("vec_id") != F.col("reference"))).select(F.col("vec_id").alias("query_id"), "reference")
 
 
 def _runs_sql(ranked: str, name: str = "runs") -> str:
@@ -205,6 +216,12 @@ def w1(spark, sf):
     return ev.assign_rank(vec(spark, sf).drop("rank"), truth(spark, sf), K).select("query_id", "doc_id", "score", *long_("rank"), "expected")
 
 
+@query("w5_first_relevant_rank", f"WITH {VECTOR_SQL}, {TRUTH_SQL} SELECT v.query_id, min(rank) AS first_rank FROM vec v JOIN truth t ON t.query_id = v.query_id AND t.reference = v.doc_id GROUP BY 1")
+def w5(spark, sf):
+    ranked = ev.assign_rank(vec(spark, sf).drop("rank"), truth(spark, sf), 3 * K)
+    return ranked.where("expected").groupBy("query_id").agg(F.min("rank").cast("long").alias("first_rank"))
+
+
 @query("t12_diagnose", f"""WITH {DOCS}, {VECTOR_SQL}, {LEXICAL_SQL}, {TRUTH_SQL}, b AS (SELECT *, 'vector' AS strategy FROM vec UNION ALL SELECT *, 'lexical' FROM lex)
 SELECT b.query_id, doc_id, score, rank, t.reference IS NOT NULL AS expected, strategy FROM b LEFT JOIN truth t ON t.query_id = b.query_id AND t.reference = b.doc_id WHERE rank <= {K}""")
 def t12(spark, sf):
@@ -278,12 +295,13 @@ def a12(spark, sf):
     return gx.graph_stats(*ad.graph(spark, sf))
 
 
-SEEDS = "('P1', 'P2', 'S3')"
+# Seeds: every node whose number is divisible by 100.
+SEEDS = "(SELECT node_id FROM nodes WHERE node_id LIKE '%00')"
 
 
 def seeds(spark, sf):
     nodes, _ = ad.graph(spark, sf)
-    return nodes.where(F.col("node_id").isin("P1", "P2", "S3")).select(F.col("node_id").alias("seed"))
+    return nodes.where("node_id like '%00'").select(F.col("node_id").alias("seed"))
 
 
 @query("j5_related_documents", f"""WITH {GRAPH}, t AS (SELECT source_id AS seed, target_id AS other, relationship_type, edge_id FROM edges WHERE source_id IN {SEEDS} UNION ALL SELECT target_id, source_id, relationship_type, edge_id FROM edges WHERE target_id IN {SEEDS} AND source_id <> target_id),
@@ -308,11 +326,11 @@ def j6(spark, sf):
     return gx.traverse(seeds(spark, sf), _unique_edges(spark, sf), 2).select("seed", *long_("level"), "other", "edge_id")
 
 
-@query("j15_expand_graph", _TRAVERSE + """, x AS (SELECT CASE seed WHEN 'S3' THEN 2 ELSE 1 END AS query_id, seed, CASE seed WHEN 'P2' THEN 2 ELSE 1 END AS rank, CASE WHEN source_id = seed THEN target_id ELSE source_id END AS doc_id, level, edge_id, relationship_type
+@query("j15_expand_graph", _TRAVERSE + """, x AS (SELECT length(seed) AS query_id, seed, substr(seed, 2)::INT AS rank, CASE WHEN source_id = seed THEN target_id ELSE source_id END AS doc_id, level, edge_id, relationship_type
   FROM met QUALIFY row_number() OVER (PARTITION BY seed ORDER BY level, edge_id) <= 30)
 SELECT query_id, doc_id, 0.7::DOUBLE AS score, seed || '>' || relationship_type || '>' || doc_id AS path FROM x QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, level, edge_id) = 1""")
 def j15(spark, sf):
-    c = seeds(spark, sf).select(F.when(F.col("seed") == "S3", 2).otherwise(1).alias("query_id"), F.col("seed").alias("doc_id"), F.when(F.col("seed") == "P2", 2).otherwise(1).alias("rank"))
+    c = seeds(spark, sf).select(F.length("seed").alias("query_id"), F.col("seed").alias("doc_id"), F.substr("seed", F.lit(2)).cast("int").alias("rank"))
     return gx.expand_graph(c, _unique_edges(spark, sf), 2).select(*long_("query_id"), "doc_id", "score", F.array_join("path", ">").alias("path"))
 
 

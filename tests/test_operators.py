@@ -219,12 +219,20 @@ def test_highlight_and_author(spark):
     assert row.select(tx.author_key(F.lit("St. Thomas  Aquinas"))).first()[0] == "thomas_aquinas"
 
 
+def test_save_evaluation(spark, tmp_path):
+    runs = frame(spark, [(1, True, 1.0, 1.0, 1.0)], "query_id int, hit boolean, precision double, recall double, reciprocal_rank double")
+    for _ in range(2):
+        ev.save_evaluation(runs, ev.summarize(runs), {"k": 5}, str(tmp_path / "e"))
+    ig.write_manifests(frame(spark, [("f", "completed")], "file_path string, status string"), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "e/runs")).count() == 2 and spark.read.parquet(str(tmp_path / "e/summaries")).first().configuration == '{"k": 5}'
+
+
 def test_ann_recall(spark):
     from corpusloom import adapters as ad
 
     sf = "/root/testdata/sf0.001"
     v = ad.vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "vector")
     q = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    exact = {(r.query_id, r.doc_id) for r in sx.semantic_search(q, v, 3).collect()}
-    near = {(r.query_id, r.doc_id) for r in sx.ann_search(q, v, 3, bucket=2.0, reach=1.4).collect()}
+    exact = {(r.query_id, r.doc_id) for r in sx.semantic_search(q, v, 10).collect()}
+    near = {(r.query_id, r.doc_id) for r in sx.ann_search(q, v, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
