@@ -4,9 +4,8 @@
   manifest that adds them.
 * ``compact`` puts the manifest's shards into tiers by size; where a tier holds at least
   ``fan_in`` shards below the target, they are merged into files of about the target
-  size and a manifest is committed that has the new files in place of the old. Shards
-  are packed into read partitions of the target size and written as they are read, so
-  no row is shuffled.
+  size and a manifest is committed that has the new files in place of the old. Read
+  partitions are joined and written as they are read, so no row is shuffled.
 * A manifest is a small table (path, rows, bytes, tier, added). It is written aside and
   renamed to its version; the rename is atomic, and a version that is there already is
   never replaced: of two writers one has to take the next version. Readers use one
@@ -89,34 +88,22 @@ class ShardedTable:
         return self.commit(self.manifest().unionByName(self._shards(folder, last + 1)), last)
 
     def compact(self) -> int:
-        """Merge tiers until none holds fan_in shards; the version that stands then."""
+        """Merge tiers until none holds fan_in shards that fewer files can hold; the version
+        that stands then. Every merge lessens the number of files, so it ends."""
         while True:
             last = max(self.versions(), default=0)
             shards = self.manifest()
             tiers = shards.where("tier >= 0").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-            full = [r["tier"] for r in tiers.where(F.col("n") >= self.fan_in).orderBy("tier").collect()]  # some tens of tiers at most
-            if not full:
+            tiers = tiers.withColumn("files", F.ceil(F.col("bytes") / self.target_bytes)).where((F.col("n") >= self.fan_in) & (F.col("files") < F.col("n")))
+            lowest = tiers.orderBy("tier").first()
+            if lowest is None:
                 return last
-            tier = full[0]
-            paths = [r["path"] for r in shards.where(F.col("tier") == tier).select("path").collect()]  # names of one tier's files
+            paths = [r["path"] for r in shards.where(F.col("tier") == lowest["tier"]).select("path").collect()]  # names of one tier's files
             folder = f"{self.root}/data/merged-{uuid.uuid4().hex}"
-            self._merge(paths, folder)
-            merged = self._shards(folder, last + 1)
-            # a merge of small shards may stay in its tier; it is then done for now
-            merged = merged.withColumn("tier", F.when(F.col("tier") <= tier, tier + 1).otherwise(F.col("tier")) if tier >= 0 else F.col("tier"))
-            merged = merged.withColumn("tier", F.when(F.col("bytes") * 4 >= self.target_bytes * 3, -1).otherwise(F.col("tier")))
-            self.commit(shards.where(F.col("tier") != tier).unionByName(merged), last)
-
-    def _merge(self, paths: list[str], folder: str) -> None:
-        settings = {"spark.sql.files.maxPartitionBytes": str(self.target_bytes), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        before = {k: self.spark.conf.get(k, None) for k in settings}
-        try:
-            for k, v in settings.items():
-                self.spark.conf.set(k, v)
-            self.spark.read.schema(self.schema()).parquet(*paths).write.option("compression", "zstd").parquet(folder)
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+            rows = self.spark.read.schema(self.schema()).parquet(*paths)
+            rows.coalesce(lowest["files"]).write.option("compression", "zstd").parquet(folder)
+            kept = shards.where(F.col("tier") != lowest["tier"])
+            self.commit(kept.unionByName(self._shards(folder, last + 1)), last)
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
