@@ -242,16 +242,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that is reachable over links (a, b).
 
     Each step takes the smallest of a node's label, its neighbours' labels and its
-    label's label.
+    label's label. Tables are written in files of some hundred thousand rows, so that
+    small ones cost few tasks and Spark may broadcast them, as their size allows.
     """
-    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
-    labels = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"), F.lit(True).alias("moved")), "labels")
+    files = max(1, -(-2 * links.count() // 200_000))
+    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).coalesce(files), "links")
+    labels = written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"), F.lit(True).alias("moved")).coalesce(files), "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = F.least("label", "near", "far")
         next_ = labels.drop("moved").join(seen, "node").join(jump, "label", "left").select("node", new.alias("label"), (new != F.col("label")).alias("moved"))
-        next_ = written(next_, "labels")
+        next_ = written(next_.coalesce(files), "labels")
         dropped(labels)
         labels = next_
         if is_empty(labels.where("moved")):
