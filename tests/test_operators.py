@@ -137,7 +137,7 @@ def test_retrieve_and_answer(spark):
     q = frame(spark, [(1, "CCC 456", [1.0, 0.0])], "query_id int, query string, vector array<double>")
     v = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id int, vector array<double>")
     edges = gx.resolve_references(docs).withColumn("edge_id", F.xxhash64("source_id", "target_id"))
-    context = rt.retrieve(q, docs, v, edges)
+    context = rt.retrieve(q, docs, v, edges).persist()
     got = {r.doc_id: r for r in context.collect()}
     assert got[1].position == 1 and "graph" in got[4].stages and got[4].path[1] == "church_father_reference"
     out = an.answer(q, context, lambda batch: ["See [1]."] * len(batch)).first()
