@@ -7,6 +7,9 @@ lines, that occur more than once in the corpus are removed wherever they are not
 first occurrence (smallest id, then place), after a comparison of their bytes with the
 first one. Only DataFrame functions are used.
 
+``dedup_passages``, the pipeline's stage, also removes repeated runs of lines that the
+chunks miss because the lines around them differ.
+
 Texts without a repeated chunk are left as they are, null and empty ones among them.
 Rows that repeat both id and text are one document and get the same result; rows of one
 id with different texts are documents of their own; a null id sorts first. Other columns
@@ -27,7 +30,7 @@ ENDS = ("0", "1", "2", "3")
 
 
 def chunks(text: Column, long_words: int = LONG_WORDS, ends: tuple[str, ...] = ENDS) -> Column:
-    """Array of (text, lines, whole) of the chunks of a text; whole: long or of several lines."""
+    """Array of (text, lines, whole, start) of the chunks of a text; whole: long or of several lines."""
     lines = F.split(text, "\n", -1)
 
     def cut(lines: Column) -> Column:
@@ -46,7 +49,7 @@ def chunks(text: Column, long_words: int = LONG_WORDS, ends: tuple[str, ...] = E
         def chunk(start: Column, k: Column, starts: Column) -> Column:
             size = F.coalesce(F.get(starts, k + 1), n) - start
             whole = (size > 1) | F.get(at["marks"], start)["long"]
-            return F.struct(F.array_join(F.slice(at["lines"], start + 1, size), "\n").alias("text"), size.alias("lines"), whole.alias("whole"))
+            return F.struct(F.array_join(F.slice(at["lines"], start + 1, size), "\n").alias("text"), size.alias("lines"), whole.alias("whole"), start.alias("start"))
 
         # the arrays are bound once by a one-element transform, not computed again for each use
         return F.transform(F.array(starts), lambda s: F.transform(s, lambda start, k: chunk(start, k, s)))[0]
@@ -90,10 +93,88 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*names, "removed_lines")
 
 
+def passages(text: Column, words: int = LONG_WORDS) -> Column:
+    """Array of (start, end, hash) of the passages of a text that are looked for elsewhere.
+
+    These are its whole chunks and, from every line on and up to every line, the shortest
+    run of lines that has ``words`` words. A repeated run of lines of so many words is the
+    union of such runs within it, so all of it is found, wherever its neighbours differ.
+    """
+
+    def mark(line: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), F.size(F.array_remove(F.split(line, "[ \t\r]+"), "")).alias("words"), F.sha2(line.cast("binary"), 256).alias("hash"))
+
+    def reach(side: Column) -> Column:
+        more = lambda a, m: F.when(a["words"] >= words, a).otherwise(F.struct((a["words"] + m["words"]).alias("words"), (a["n"] + 1).alias("n")))
+        return F.aggregate(side, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), more)
+
+    def digest(data: Column) -> Column:
+        return F.unhex(F.sha2(data.cast("binary"), 256)).alias("hash")
+
+    def run(at: Column, first: Column, n: Column) -> Column:
+        hashes = F.transform(F.slice(at["full"], first + 1, n), lambda m: m["hash"])
+        end = F.coalesce(F.get(at["full"], first + n)["i"], at["n"])
+        return F.struct(F.get(at["full"], first)["i"].alias("start"), end.alias("end"), digest(F.array_join(hashes, "")))
+
+    def runs(at: Column) -> Column:
+        full = at["full"]
+
+        def onward(m: Column, p: Column) -> Column:
+            found = F.array(reach(F.slice(full, p + 1, words)))
+            return F.transform(found, lambda r: F.when(r["words"] >= words, run(at, p, r["n"])))[0]
+
+        def back(m: Column, p: Column) -> Column:
+            low = F.greatest(p - (words - 1), F.lit(0))
+            found = F.array(reach(F.reverse(F.slice(full, low + 1, p - low + 1))))
+            # the others are shortest from their first line on as well
+            return F.transform(found, lambda r: F.when(r["words"] - m["words"] >= words, run(at, p - r["n"] + 1, r["n"])))[0]
+
+        return F.concat(F.transform(full, onward), F.transform(full, back))
+
+    marks = F.transform(F.split(text, "\n", -1), mark)
+    found = F.transform(F.transform(F.array(marks), lambda a: F.struct(F.filter(a, lambda m: m["words"] > 0).alias("full"), F.size(a).alias("n"))), runs)[0]
+    whole = F.transform(F.filter(chunks(text, words), lambda c: c["whole"]), lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["lines"]).alias("end"), digest(c["text"])))
+    return F.filter(F.concat(whole, found), lambda p: p.isNotNull())
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = LONG_WORDS) -> DataFrame:
+    """docs without lines of a passage that stands earlier in the corpus as well.
+
+    Does what ``dedup_lines`` does, and takes every run of lines of ``words`` words or more,
+    however it is cut into lines and whatever stands around it. Lines without a word do not
+    count and go with the line before. Passages are equal if their SHA-256 is.
+    A passage that overlaps its first occurrence is no repetition of it.
+    """
+    docs = docs.drop("removed_lines")
+    names = docs.columns
+    place = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), "__text": F.xxhash64(text_col)}
+    keyed = docs.withColumns(place)
+    seen = written(keyed.select("__id", "__text", F.explode(passages(F.col(text_col), words)).alias("__p")).select("__id", "__text", "__p.start", "__p.end", "__p.hash"), "passages")
+    spot = F.struct("__id", "__text", "start", "end")
+    repeated = seen.groupBy("hash").agg(F.min(spot).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select(F.col("hash").alias("__hash"), "__first")
+    apart = (F.col("__id") != F.col("__first.__id")) | (F.col("__text") != F.col("__first.__text")) | (F.col("start") >= F.col("__first.end"))
+    later = seen.join(repeated, F.col("hash") == F.col("__hash")).where(apart)
+    claims = later.groupBy("__id", "__text").agg(F.collect_set(F.struct("start", "end")).alias("__claims"))
+    joined = keyed.join(claims, ["__id", "__text"], "left")
+
+    def left(lines: Column) -> Column:
+        gone = F.flatten(F.transform("__claims", lambda c: F.sequence(c["start"], c["end"] - 1)))
+        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.struct(F.transform(at, lambda i: F.get(lines, i)).alias("lines"), F.size(lines).alias("n"))
+
+    kept = F.when(F.col("__claims").isNotNull(), F.transform(F.array(F.split(F.col(text_col), "\n", -1)), left)[0])
+    out = joined.withColumn("__kept", kept)
+    out = out.withColumn("removed_lines", F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.col("__kept.n") - F.size("__kept.lines")).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept.lines", "\n")))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names, "removed_lines")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without repeated passages; a text of which nothing is left goes."""
-    out = dedup_lines(docs)
-    return out.where((F.col("removed_lines") == 0) | (F.length(F.trim("text")) > 0)).drop("removed_lines")
+    out = dedup_passages(docs)
+    return out.where((F.col("removed_lines") == 0) | (F.length(F.trim("text", F.lit(" \t\r\n"))) > 0)).drop("removed_lines")
 
 
 ORACLE = f"""

@@ -128,6 +128,46 @@ def test_line_dedup_equals_brute_force(spark):
     assert left >= {100, 101, 105} and 106 not in left
 
 
+def brute_passages(rows, words=ld.LONG_WORDS):
+    """Lines in any run of words or more that stands earlier, each run tried."""
+    first, runs = {}, []
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        full = [(i, x, len(x.split())) for i, x in enumerate(lines) if x.split()]
+        for a in range(len(full)):
+            for b in range(a + 1, len(full) + 1):
+                if sum(f[2] for f in full[a:b]) >= words:
+                    key = tuple(f[1] for f in full[a:b])
+                    at = (doc_id, full[a][0], full[b][0] if b < len(full) else len(lines))
+                    runs.append((key, at))
+                    first.setdefault(key, at)
+    gone = {(i, k) for key, (i, a, b) in runs if i != first[key][0] or a >= first[key][2] for k in range(a, b)}
+    return {i: [x for k, x in enumerate(t.split("\n")) if (i, k) not in gone] for i, t in rows}
+
+
+def test_passages_of_short_lines_go(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    planted = [[line(words) for _ in range(n)] for n, words in ((3, 20), (4, 13), (5, 12), (6, 10), (10, 20), (30, 2)) for _ in range(20)]
+    around = lambda: [line(r.randint(1, 9)) for _ in range(r.randint(1, 4))]
+    rows = [(k * 1000 + i, "\n".join(around() + p[: len(p) // 2] + [""] * (k == 2) + p[len(p) // 2 :] + around())) for i, p in enumerate(planted) for k in range(3)]
+    rows.append((9000, "\n".join(["ten words of one line that stands here many times"] * 20)))
+    got = {x.doc_id: x.text.split("\n") for x in ld.without_repeats(spark.createDataFrame([(*x, "en", "s", 1) for x in rows], DOCS)).collect()}
+    for i, p in enumerate(planted):
+        assert set(p) <= set(got[i]) and not set(p) & {*got[1000 + i], *got[2000 + i]}
+        for k in range(3):  # and nothing else goes
+            assert [x for x in got[k * 1000 + i] if x not in p] == [x for x in dict(rows)[k * 1000 + i].split("\n") if x and x not in p]
+    assert len(got[9000]) == 3
+    pool = [line(n) for n in (1, 4, 8, 12, 30)]
+    rows = [(i, "\n".join(r.choice([*pool, line(3), ""]) for _ in range(12))) for i in range(40)]
+    found = {x.doc_id: x.text.split("\n") for x in ld.dedup_passages(spark.createDataFrame([(*x, "en", "s", 1) for x in rows], DOCS)).collect()}
+    want = brute_passages(rows)
+    for i, lines in found.items():  # chunks of few words go besides
+        rest = iter(want[i])
+        assert lines == [""] or all(x in rest for x in lines)
+    assert sum(map(len, want.values())) - sum(map(len, found.values())) < 80  # and little else
+
+
 def test_line_dedup_odd_rows(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(None, passage, "en", "s", 1), (1, passage, "en", "s", 1), (1, passage, "en", "s", 1), (2, passage + "\nmore", "en", "s", 1), (2, "other", "en", "s", 1)]
