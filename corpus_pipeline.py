@@ -46,7 +46,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language ID, registers and tokens are not SQL; tests hold run() against brute force.
+#: Language ID, registers and tokens are not SQL. Tests hold language_id, line_dedup and
+#: near_dedup against brute force or planted rows one by one, and run() by its invariants.
 ORACLE_SQL = None
 
 

@@ -57,6 +57,16 @@ def test_language_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_unknown_languages_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    unknown = ["Съешь ещё этих мягких французских булок, да выпей чаю", "我们的语言模型不认识这种文字", "xqzj kwvx zzqp jjxw qqkz vwxj", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar"]
+    text = docs.where("lang = 'de'").first().text
+    planted = spark.createDataFrame([*((-1 - i, t, None) for i, t in enumerate(unknown)), (-50, text, None)], "doc_id long, text string, lang string")
+    kept = li.keep_identified(docs.union(planted))
+    assert kept.where("doc_id >= 0").count() == docs.count()
+    assert [(r.doc_id, r.lang) for r in kept.where("doc_id < 0").collect()] == [(-50, "de")]
+
+
 def digests(turns):
     told = "".join(f"{r}\n{t}\n" for r, t in turns)
     loss = "".join(t for r, t in turns if r == "assistant")
