@@ -4,8 +4,13 @@ Every node of the page's tree gets a density: characters per tag, adjusted for h
 of them are links (composite text density). A node's density sum adds up its children's
 densities, so the node with the greatest sum is the one that holds most text blocks. The
 least density on its path to the body is the threshold: what reaches it elsewhere gives
-its own best subtree too. Nodes that say what they are (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out first.
+its own best subtree too. Without links densities grow with a node's size, so a node of
+several blocks, an article or a main also counts if its characters per tag reach the
+least on that path. Nodes that say what they are (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out first,
+but no form that holds an article or more than half of the page's text. <article> and
+<main> do not choose the best node; beyond the above they only keep what holds them, and headers in them, from being
+left out by name.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are joined by a line end. Null or empty pages have empty text. Each row is on its own,
@@ -134,6 +139,11 @@ def measure(root: Node) -> list[Node]:
             while up is not None and up not in guarded:
                 guarded.add(up)
                 up = up.parent
+    for n in reversed(every):
+        n.chars = sum(len("".join(p.split())) if type(p) is str else 0 if p.skip and p.tag != "form" else p.chars for p in n.parts)
+    for n in every:
+        if n.tag == "form" and (n in guarded or 2 * n.chars > root.chars):
+            n.skip = False  # it wraps the page
     for n in every:
         if n.tag == "header" and not n.skip:
             up = n.parent
@@ -178,23 +188,27 @@ def content(root: Node) -> list[Node]:
         return []
     if not best.total:
         best = max(wanted, key=lambda n: n.density)
-    least, up = math.inf, best
-    article = None
+    least, plain, up = math.inf, math.inf, best
     while up is not None:
-        least = min(least, up.density) if up.chars else least
-        if up.tag in ("article", "main") and article is None:
-            article = up
+        if up.chars:
+            least, plain = min(least, up.density), min(plain, up.chars / max(up.tags, 1))
         up = up.parent
-    chosen = {article or best}
-    if article is None:
-        top = next((n for n in wanted if n.tag == "body"), root)
-        stack = [p for p in top.parts if type(p) is Node and not p.skip]
-        while stack:
-            n = stack.pop()
-            if n.density >= least and n.tag in BLOCK and n is not best and 2 * n.link_chars < n.chars:
-                own = [m for m in _inside(n) if not m.skip]
-                chosen.add(max(own, key=lambda m: m.total) if any(m.total for m in own) else n)
-            stack.extend(p for p in n.parts if type(p) is Node and not p.skip)
+
+    def reaches(n: Node) -> bool:
+        if n.density >= least:
+            return True
+        several = n.tag in ("article", "main") or sum(type(p) is Node and p.tag in BLOCK and p.chars > 0 and not p.skip for p in n.parts) > 1
+        return several and n.chars / max(n.tags, 1) >= plain
+
+    chosen = {best}
+    top = next((n for n in wanted if n.tag == "body"), root)
+    stack = [p for p in top.parts if type(p) is Node and not p.skip]
+    while stack:
+        n = stack.pop()
+        if n.tag in BLOCK and n is not best and 2 * n.link_chars < n.chars and reaches(n):
+            own = [m for m in _inside(n) if not m.skip]
+            chosen.add(max(own, key=lambda m: m.total) if any(m.total for m in own) else n)
+        stack.extend(p for p in n.parts if type(p) is Node and not p.skip)
     out, stack = [], [root]
     while stack:
         n = stack.pop()

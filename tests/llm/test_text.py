@@ -28,6 +28,21 @@ def test_main_text_without_article():
     assert hx.main_text(page).count("A sentence") == 7 and "link text" not in hx.main_text(page)
 
 
+def test_main_text_of_several_articles_and_in_a_form():
+    story = lambda w: f"<p>{w} is a sentence that belongs to the story and goes on for a while.</p>" * 3
+    menu = f"<nav>{'<a href=x>link text</a>' * 20}</nav>"
+    several = f"<body>{menu}<div><article>{story('One')}</article><article>{story('Two')}{story('Two')}</article><article>{story('Three')}</article></div></body>"
+    beside = f"<body>{menu}<main>{story('One')}{story('Two')}</main><div>{story('Three')}</div></body>"
+    for page in (several, beside):
+        text = hx.main_text(page)
+        assert all(w in text for w in ("One", "Two", "Three")) and "link" not in text
+    body = f"{menu}<div><h1>Head</h1>{story('One')}</div>"
+    for inner in (body, f"{menu}<article>{story('One')}</article>"):
+        text = hx.main_text(f"<body><form id='aspnetForm' action='x'><input type='hidden' value='v'>{inner}</form></body>")
+        assert text.count("One is a sentence") == 3 and "link" not in text
+    assert "Subscribe" not in hx.main_text(f"<body><div>{story('One')}</div><form><p>Subscribe to it</p></form></body>")
+
+
 def test_main_text_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain words"), (4, "u", "<p>a < b & c"), (5, None, "<div" * 2000), (6, "u", "<p>" + "x" * 200_000), (6, "u", "<p>twice"), (7, "u", "<b>" * 5000 + "deep")]
     got = [(r.page_id, r.text, r.n_chars) for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
