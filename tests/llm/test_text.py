@@ -1,6 +1,7 @@
 """Main text of pages, languages and chat windows."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,56 @@ def test_main_text_of_several_articles_and_in_a_form():
     assert "Subscribe" not in hx.main_text(f"<body><div>{story('One')}</div><form><p>Subscribe to it</p></form></body>")
 
 
+STORY = "is a sentence that belongs to the story and goes on for a while, with a clause or two."
+MENU = "<ul>" + "<li><a href=x>link text</a></li>" * 12 + "</ul>"
+NOISE = [
+    f"<nav>{MENU}</nav>", f"<div class='nav-bar'>{MENU}</div>", "<div id='cookie-notice'><p>We use cookies, please accept all of them.</p></div>",
+    "<div class='ad'>Buy this now, it is cheap.</div>", "<aside><h3>More</h3><p>Other things to read in the bar.</p></aside>", "<form action='s'><p>Subscribe to it</p><input></form>",
+]
+AFTER = ["<div class='comments'><p>Great post, I liked it.</p><p>So did I.</p></div>", "<footer><p>All rights reserved.</p></footer>", "<div class='related-posts'><a href=y>Next story</a></div>"]
+LAYOUTS = [
+    "<body>{noise}<article>{text}</article>{after}</body>", "<body>{noise}<main><div>{text}</div></main>{after}</body>", "<body>{noise}<div class='layout has-sidebar'><div class='post-body'>{text}</div></div>{after}</body>",
+    "<body><div class='content-with-header'>{noise}<div>{text}</div>{after}</div></body>", "<body><form id='aspnetForm'>{noise}<div>{text}</div>{after}</form></body>", "<body>{noise}<table><tr><td>{text}</td></tr></table>{after}</body>",
+]
+
+
+def gold_pages():
+    for i in range(36):
+        sentences = [f"Part{i}x{k} {STORY}" for k in range(4 + i % 5)]
+        kinds = ["", " class='reply'", " class='social-theory'", " class='search-results-explained'", " id='share'"]
+        text = f"<h1>Title {i}</h1>" + "".join(f"<p{kinds[k % 5] if i % 2 else ''}>{x}</p>" for k, x in enumerate(sentences))
+        yield LAYOUTS[i % 6].format(noise="".join(NOISE[j] for j in range(6) if (i + j) % 3), after="".join(AFTER[: i % 4]), text=text), "\n".join([f"Title {i}", *sentences])
+
+
+def test_main_text_of_gold_pages():
+    for page, want in gold_pages():
+        assert hx.main_text(page) == want, page
+
+
+def test_main_text_of_probe_pages():
+    story = lambda w, n=4: f"<p>{w} {STORY}</p>" * n
+    text = lambda w, n=4: "\n".join([f"{w} {STORY}"] * n)
+    pages = {
+        f"<body><div class='layout has-sidebar'>{NOISE[0]}<div>{story('A')}</div></div></body>": text("A"),
+        f"<body><div class='content-with-header'><div>{story('A')}</div></div></body>": text("A"),
+        f"<body><article>{story('A')}<p class='reply'>One</p><p class='social-theory'>Two</p><p class='search-results-explained'>Three</p></article></body>": text("A") + "\nOne\nTwo\nThree",
+        f"<body><article>{story('A')}</article><article>{story('B', 1)}</article></body>": text("A") + "\n" + text("B", 1),
+        f"<body><div><h1>Head</h1><div>{story('A')}</div></div></body>": "Head\n" + text("A"),
+        f"<body><nav>{MENU}<div>{story('A')}</div></body>": text("A"),
+        f"<body><div>{story('A', 2)}</div><div class='comments'>{story('C', 30)}</div></body>": text("A", 2),
+        f"<body>{NOISE[0]}<footer><p>Copyright of us.</p></footer></body>": "",
+    }
+    for page, want in pages.items():
+        assert hx.main_text(page) == want, page
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    assert hx.main_text("<b>" * 60_000 + "deep" + "</i>" * 60_000 + "<p>" * 20_000 + "end").endswith("end")
+    assert hx.main_text("<div>" * 30_000 + f"<p>{STORY}</p>" * 5).count(STORY) == 5
+    assert time.time() - began < 30
+
+
 def test_main_text_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain words"), (4, "u", "<p>a < b & c"), (5, None, "<div" * 2000), (6, "u", "<p>" + "x" * 200_000), (6, "u", "<p>twice"), (7, "u", "<b>" * 5000 + "deep")]
     got = [(r.page_id, r.text, r.n_chars) for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
