@@ -1,23 +1,27 @@
 """Exact top-k search by the three-phase uniform threshold algorithm.
 
-The dimensions are split into parts. A part gives a query one list of local scores, so
-a vector's score is the sum of its entries in all lists. Vectors lie in shards, queries
-in blocks, and a task holds one shard and one block of bounded size.
-
-1. Each task takes the best k entries of every local list, resolves their whole scores
-   and sends the k best. The k-th best of all tasks is a cutoff that is safe: at least
-   k vectors reach it.
-2. The cutoff of each query is sent to every task of its block. A score at or above
-   the cutoff t has an entry of at least t / parts in some list, so each task collects
-   just the entries that high: they are sufficient.
-3. Collected vectors get their remaining scores exactly; those that reach the cutoff
-   (never more than k of a task) go to the final ranking.
-
-Components are floor(scale * x), scores integers. Vectors that are null or hold a null
-or non-finite component take no part; shorter vectors count as padded with zeros, and
-an empty vector scores 0. Ties go to the smaller id. Rows that repeat an id are
-candidates (and queries) each of their own, except that a row is never matched with its
-own id. Rows without an id take no part. Components beyond 2**31 raise an error.
+The dimensions are split into parts, and a part gives each query one list of local scores:
+a vector's score is the sum of its entries in all lists. Lists are held apart: a task has
+one part of the dimensions of one block of queries and one shard of vectors.
+
+1. Each list sends its k best entries and its least entry. What is known of a vector, and
+   the least entry of each list that did not name it, bound its score from below; the k-th
+   best of these bounds is a cutoff that is safe, as k vectors reach it.
+2. Each list gets the cutoffs t of its queries and sends the entries of at least t / parts.
+   A score that reaches t has such an entry in some list, so these are sufficient.
+3. A vector that some lists named has its remaining scores asked for, from those lists
+   only, unless they cannot lift it to the cutoff. Sums of all parts are exact.
+
+Components are floor(scale * x), scores integers. Vectors that are null or hold a null or
+non-finite component take no part; shorter vectors count as padded with zeros, and an
+empty vector scores 0. Ties go to the smaller id, then to the smaller row. Rows are told
+apart by place, not by id: rows that repeat an id are queries and candidates each of their
+own, and a query is compared with every row but its own. Rows without an id take no part.
+Products of components of 2**20 and more are computed in whole numbers of any size; a
+part's score beyond 2**60 counts as 2**60.
+
+Of rows with equal vectors only the first k + 1 can be in an answer, so a vector with a
+third of all rows brings no more than those.
 """
 
 from __future__ import annotations
@@ -31,104 +35,154 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARTS = 2
-HIT = "query_id long, vec_id long, score long"
+LARGE, MOST = 2.0**20, 1 << 60
+ENTRY = "qrow long, shard int, part int, vrow long, score long, least long"
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(vec_id, v array<long>) of the vectors that take part."""
-    usable = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, v array<double>) of the vectors that take part."""
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of an Arrow list column as float64, which is exact below 2**53."""
+    """Rows of an Arrow list column, padded with zeros."""
     lists = column.combine_chunks()
     lengths = np.diff(np.asarray(lists.offsets))
-    flat = np.asarray(lists.flatten(), dtype=np.int64)
-    if len(flat) and max(flat.max(), -flat.min()) >= 1 << 31:
-        raise ValueError("components of 2**31 and more are not supported")
+    flat = np.asarray(lists.flatten(), dtype=np.float64)
     out = np.zeros((len(lengths), width))
-    if len(flat):
-        rows = np.repeat(np.arange(len(lengths)), lengths)
-        out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
-def _whole_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    if len(q) and len(v) and q.size and v.size and np.abs(q).max() * np.abs(v).max() * q.shape[1] >= 2.0**53:
-        return (q.astype(np.int64) * v.astype(np.int64)).sum(axis=1)
-    return np.einsum("ij,ij->i", q, v).astype(np.int64)
+class Components:
+    """Integer components of many vectors; those of vectors with large ones are kept apart."""
 
+    def __init__(self, raw: np.ndarray, scale: float):
+        with np.errstate(over="ignore"):
+            whole = np.floor(scale * raw)
+        large = ~(np.abs(whole) < LARGE).all(axis=1) if raw.size else np.zeros(len(raw), bool)
+        self.small, self.large, self.raw, self.scale = np.where(large[:, None], 0.0, whole), np.flatnonzero(large), raw, scale
 
-def _cell(k: int, parts: int, second: bool):
-    """What a task does with one block of queries and one shard of vectors."""
+    def whole(self, row: int) -> list[int]:
+        return [math.floor(self.scale * x) if abs(x) < 2.0**53 else math.floor(self.scale) * int(x) for x in self.raw[row].tolist()]
 
-    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+def _product(a: list[int], b: list[int]) -> int:
+    return max(-MOST, min(MOST, sum(x * y for x, y in zip(a, b, strict=True))))
+
+
+def local_scores(q: Components, low: int, high: int, v: Components) -> np.ndarray:
+    """Exact local scores (int64) of the queries from low to high with every vector."""
+    out = (q.small[low:high] @ v.small.T).astype(np.int64)
+    for i in q.large[(q.large >= low) & (q.large < high)].tolist():
+        own = q.whole(i)
+        out[i - low] = [_product(own, v.whole(j)) for j in range(len(v.raw))]
+    for j in v.large.tolist():
+        own = v.whole(j)
+        out[:, j] = [_product(q.whole(i), own) for i in range(low, high)]
+    return out
+
+
+def _entries(k: int, scale: float, phase: int):
+    """One list (of a block, a shard and a part): what it sends in a phase."""
+
+    def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
         if queries.num_rows and vectors.num_rows:
-            width = max(max(int(np.diff(np.asarray(c.combine_chunks().offsets)).max()) for c in (queries["q"], vectors["v"])), 1)
-            vectors = vectors.sort_by("vec_id")
-            q, v = _matrix(queries["q"], width), _matrix(vectors["v"], width)
-            q_ids, v_ids = np.asarray(queries["query_id"]), np.asarray(vectors["vec_id"])
-            edges = np.linspace(0, width, min(parts, width) + 1).astype(int)
-            lists = len(edges) - 1
-            least = np.asarray(queries["cutoff"]) if second else None
-            for low in range(0, len(q), 128):  # bounds the memory of the local lists
-                block = q[low : low + 128]
-                wanted = np.zeros((len(block), len(v)), bool)
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    local = block[:, a:b] @ v[:, a:b].T
-                    if second:
-                        wanted |= local >= np.ceil(least[low : low + 128, None] / lists)
-                    else:
-                        n = min(k + 1, len(v))  # one more, as the query's own row may be among them
-                        wanted[np.arange(len(block))[:, None], np.argpartition(-local, n - 1, axis=1)[:, :n]] = True
-                rows, at = np.nonzero(wanted)
-                other = q_ids[low + rows] != v_ids[at]
-                rows, at = rows[other], at[other]
-                score = np.concatenate([_whole_scores(block[rows[i : i + 65536]], v[at[i : i + 65536]]) for i in range(0, max(len(rows), 1), 65536)])
-                if second:
-                    enough = score >= least[low + rows]
-                    rows, at, score = rows[enough], at[enough], score[enough]
-                order = np.lexsort((at, -score, rows))  # vectors are in order of their ids
-                rows, at, score = rows[order], at[order], score[order]
-                first = np.searchsorted(rows, rows)
-                best = np.arange(len(rows)) - first < k
-                hits.append((q_ids[low + rows[best]], v_ids[at[best]], score[best]))
-        columns = [np.concatenate(c) if hits else np.zeros(0, np.int64) for c in (zip(*hits, strict=True) if hits else ((), (), ()))]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+            width = max(int(np.diff(np.asarray(c.combine_chunks().offsets)).max()) for c in (queries["q"], vectors["v"]))
+            q, v = (Components(_matrix(c, width), scale) for c in (queries["q"], vectors["v"]))
+            qrow, vrow = np.asarray(queries["qrow"]), np.asarray(vectors["vrow"])
+            cutoff = np.asarray(queries["cutoff"])
+            places = np.argsort(vrow)
+            for low in range(0, len(qrow), 128):  # bounds the memory of the lists
+                high = min(low + 128, len(qrow))
+                if phase == 3:
+                    asked = [np.asarray(x.values) for x in queries["asked"][low:high]]
+                    rows = np.repeat(np.arange(high - low), [len(x) for x in asked])
+                    at = places[np.searchsorted(vrow[places], np.concatenate(asked))]
+                    score = np.einsum("ij,ij->i", q.small[low + rows], v.small[at]).astype(np.int64)
+                    odd = np.flatnonzero(np.isin(low + rows, q.large) | np.isin(at, v.large))
+                    score[odd] = [_product(q.whole(low + rows[o]), v.whole(at[o])) for o in odd.tolist()]
+                    least = np.zeros(len(at), np.int64)
+                else:
+                    local = local_scores(q, low, high, v)
+                    wanted = local >= cutoff[low:high, None] if phase == 2 else np.zeros(local.shape, bool)
+                    if phase == 1:
+                        n = min(k + 1, len(vrow))  # one more, as the query's own row may be among them
+                        wanted[np.arange(high - low)[:, None], np.argpartition(-local, n - 1, axis=1)[:, :n]] = True
+                    rows, at = np.nonzero(wanted)
+                    score, least = local[rows, at], local.min(axis=1)[rows]
+                out.append((qrow[low + rows], vrow[at], score, least))
+        found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        n = len(found[0])
+        columns = [found[0], np.full(n, key[1].as_py()), np.full(n, key[2].as_py()), *found[1:]]
+        return pa.table({c.split()[0]: pa.array(x, pa.int32() if "int" in c.split() else pa.int64()) for c, x in zip(ENTRY.split(", "), columns, strict=True)})
 
     return run
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    scale: float = 64.0, block: int = 1024, shard: int = 8192, parts: int = PARTS,
+    scale: float = 64.0, block: int = 4096, shard: int = 16384, parts: int = PARTS,
 ) -> DataFrame:
     """The k best other rows for every row for which is_query holds.
 
-    block and shard bound the queries and vectors that one task holds.
+    block and shard bound the queries and vectors that one task holds. The result has
+    query_id, rank, vec_id, score and query_row, which tells queries of one id apart.
     """
-    from .common import written
-
-    usable = written(integer_vectors(vectors, id_col, vector_col, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors")
-    total, asked = usable.agg(F.count("*"), F.count_if("is_query")).first()
+    from .common import dropped, written
+
+    usable = vectors.withColumn("__is_query", F.coalesce(is_query, F.lit(False)))
+    kept = usable_vectors(usable, id_col, vector_col).columns
+    flagged = usable.where("__is_query")
+    rows = usable_vectors(usable.where("not __is_query"), id_col, vector_col).withColumn("is_query", F.lit(False))
+    rows = rows.unionByName(usable_vectors(flagged, id_col, vector_col).withColumn("is_query", F.lit(True)))
+    rows = written(rows.select(*kept, "is_query", F.monotonically_increasing_id().alias("row")), "vectors")
+    total, asked, width = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("v"))).first()
     shards, blocks = max(1, math.ceil(total / shard)), max(1, math.ceil(asked / block))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))
+    edges = [round(p * (width or 0) / parts) for p in range(parts + 1)]
+    spread = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = usable.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), spread(blocks).cast("int").alias("block"))
-    rows = usable.select("vec_id", "v", spread(shards).cast("int").alias("shard")).withColumn("block", every(blocks))
-
-    def cells(asking: DataFrame, second: bool) -> DataFrame:
-        spread_out = asking.withColumn("shard", every(shards))
-        return spread_out.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInArrow(_cell(k, parts, second), HIT)
-
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    local = written(cells(queries, False), "local")
-    # fewer than k rows in all: every score is wanted
-    cutoffs = ranked(local).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("cutoff"))
+    pieces = lambda v: F.posexplode(F.array(*[F.slice(v, a + 1, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
+    first = W.partitionBy("v").orderBy("vec_id", "row")
+    able = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    held = able.select(F.col("row").alias("vrow"), spread(shards).alias("shard"), pieces(F.col("v")).alias("part", "v")).withColumn("block", every(blocks))
+    queries = rows.where("is_query").select(F.col("row").alias("qrow"), spread(blocks).alias("block"), pieces(F.col("v")).alias("part", "q")).withColumn("shard", every(shards))
+
+    def lists(asking: DataFrame, phase: int, name: str) -> DataFrame:
+        names = ["block", "shard", "part"]
+        extra = {"cutoff": F.lit(0).cast("long"), "asked": F.array().cast("array<bigint>")}
+        whole = asking.withColumns({c: x for c, x in extra.items() if c not in asking.columns})
+        sent = whole.groupBy(*names).cogroup(held.groupBy(*names)).applyInArrow(_entries(k, scale, phase), ENTRY)
+        return written(sent, name)
+
+    best = lambda by: W.partitionBy("qrow").orderBy(*by)
+    one = lists(queries, 1, "best-entries")
+    floor = one.groupBy("qrow", "shard", "part").agg(F.first("least").alias("least")).groupBy("qrow", "shard").agg(F.sum("least").alias("floor"))
+    gains = one.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum(F.col("score") - F.col("least")).alias("gain"))
+    bounds = gains.join(floor, ["qrow", "shard"]).select("qrow", (F.col("floor") + F.col("gain")).alias("bound"))
+    ranked = bounds.withColumn("n", F.row_number().over(best([F.desc("bound")]))).where(F.col("n") <= k)
+    # fewer than k vectors in all: every entry is wanted
+    cutoffs = ranked.groupBy("qrow").agg(F.when(F.count("*") >= k, F.min("bound")).alias("t")).where("t is not null")
+    cutoffs = written(cutoffs.select("qrow", "t", F.expr(f"if(t % {parts} > 0, t div {parts} + 1, t div {parts})").alias("cutoff")), "cutoffs")
+
     lowest = F.lit(-(1 << 62)).cast("long")
-    second = queries.join(cutoffs, "query_id", "left").select("query_id", "q", "block", F.coalesce("cutoff", lowest).alias("cutoff"))
-    return ranked(cells(second, True)).select("query_id", "rank", "vec_id", "score")
+    two = lists(queries.join(cutoffs, "qrow", "left").withColumn("cutoff", F.coalesce("cutoff", lowest)), 2, "sufficient-entries")
+    named = two.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum("score").alias("known"), F.collect_set("part").alias("parts"))
+    named = named.join(cutoffs, "qrow", "left").where(F.col("t").isNull() | (F.col("known") + (parts - F.size("parts")) * (F.col("cutoff") - 1) >= F.col("t")))
+    named = written(named.select("qrow", "shard", "vrow", "known", "t", F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), "parts").alias("missing")), "named")
+    ask = named.select("qrow", "shard", "vrow", F.explode("missing").alias("part")).groupBy("qrow", "shard", "part").agg(F.collect_list("vrow").alias("asked"))
+    three = lists(queries.join(ask, ["qrow", "shard", "part"]), 3, "remaining-scores")
+    rest = three.groupBy("qrow", "vrow").agg(F.sum("score").alias("rest"))
+    scored = named.join(rest, ["qrow", "vrow"], "left").withColumn("score", F.col("known") + F.coalesce("rest", F.lit(0).cast("long")))
+    scored = scored.where(F.col("t").isNull() | (F.col("score") >= F.col("t")))
+    label = lambda row, id_: rows.select(F.col("row").alias(row), F.col("vec_id").alias(id_))
+    told = scored.select("qrow", "vrow", "score").join(label("vrow", "vec_id"), "vrow")
+    ordered = told.withColumn("rank", F.row_number().over(best([F.desc("score"), "vec_id", "vrow"]))).where(F.col("rank") <= k)
+    out = ordered.join(label("qrow", "query_id"), "qrow").select("query_id", "rank", "vec_id", "score", F.col("qrow").alias("query_row"))
+    out = written(out, "answers")
+    dropped(rows, one, cutoffs, two, named, three)
+    return out
