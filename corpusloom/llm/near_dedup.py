@@ -13,11 +13,15 @@
 4. A pair's similarity is estimated jointly by maximum likelihood from the registers (in
    the last round then from the low bytes of 2048 more); what is more than three standard
    deviations below the threshold goes, and all else is confirmed on the full sets.
-5. Components come from label propagation over confirmed links.
-
-Nulls, empty texts and texts without words have an empty set and are linked with
-nothing. A row without an id takes no part and keeps a null component. Rows that repeat
-an id are each reported with the component of their own text.
+5. Components come from label propagation over confirmed links; each round propagates its
+   new links only, between the labels so far.
+
+Sets hold 64-bit hashes of shingles; a word's hash has no structured collisions (see
+``wordhash``). Nulls, empty texts and texts without words have an empty set and are linked
+with nothing. Rows without an id take part like others: their component is the smallest id
+that is reachable, null if there is none. Rows that repeat an id are each reported with the
+component of their own text. Of a group of near duplicates ``without_near_duplicates``
+keeps one row, even where rows repeat both id and text.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: More registers of which the low byte is kept, for a closer look at pairs in blocks.
 FINE, FINE_MARGIN = 2048, 0.036
 SLICE_BYTES = 1 << 20
+#: Into so many parts rows of one class, or members of one bucket, are dealt for joins.
+SALTS = 64
+NO_ID = -(1 << 63)
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -75,6 +82,11 @@ def set_sketch(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
+def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Registers of the union of two sets, from those of the sets."""
+    return np.maximum(a, b)
+
+
 def class_key(shingles: np.ndarray) -> bytes:
     """128 bits that name the set."""
     sums = np.array([shingles.sum(dtype=np.uint64), mix(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)], dtype=np.uint64)
@@ -98,8 +110,7 @@ def _sketches(size: int, bands: int, rows: int, full: bool):
         coarse = bands * rows
         factors, shifts = register_coefficients(coarse + (FINE if full else 0))
         for batch in batches:
-            ids = batch.column(0)
-            for low, high, data, offsets in text_slices(batch.column(1)):
+            for low, high, data, offsets in text_slices(batch.column(2)):
                 words, at = word_hashes(data, offsets)
                 sets = [shingle_hashes(words[at[i] : at[i + 1]], size) for i in range(high - low)]
                 filled = [i for i, s in enumerate(sets) if len(s)]
@@ -109,7 +120,8 @@ def _sketches(size: int, bands: int, rows: int, full: bool):
                 has = np.zeros(len(sets), bool)
                 has[filled] = True
                 keys = [class_key(s) if len(s) else None for s in sets]
-                columns = [ids.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
+                own = [batch.column(k).slice(low, high - low) for k in (0, 1)]
+                columns = [*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
                 if full:
                     columns.append(pa.array([r[:coarse].tobytes() for r in sketch], pa.binary()))
                     columns.append(pa.array([r[coarse:].astype(np.uint8).tobytes() for r in sketch], pa.binary()))
@@ -120,7 +132,7 @@ def _sketches(size: int, bands: int, rows: int, full: bool):
                     counts = np.where(has, bands, 0)
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(sketch[has], bands).ravel())))
-                names = ["id", "n", "cls", "registers", "fine", "shingles"] if full else ["id", "n", "cls", "bands"]
+                names = ["id", "h", "n", "cls", "registers", "fine", "shingles"] if full else ["id", "h", "n", "cls", "bands"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -214,16 +226,22 @@ def _blocks(bands: int, percent: int, margin: float):
 def open_pairs(placed: DataFrame, features: DataFrame, bands: int, percent: int, margin: float, block: int) -> DataFrame:
     """All likely pairs (a, b) of bucket members that lie across components.
 
-    placed has (bucket, cls, label) of buckets with several components. Members are
-    dealt into blocks, and blocks of a bucket are compared in numpy, so pairs that are
-    not likely are never rows.
+    placed has (bucket, cls, label) of buckets with several components. Members are dealt
+    into blocks, and pairs of blocks by bucket and block, so a bucket of any size is many
+    small tasks. Blocks are compared in numpy: pairs that are not likely are never rows,
+    and two blocks that lie in one component are not compared.
     """
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     spread = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("i")
-    dealt = placed.join(sizes, "bucket").select("bucket", "cls", "label", spread).join(features.select("cls", "n", "registers", "fine"), "cls")
-    grouped = written(dealt.groupBy("bucket", "i").agg(F.collect_list(F.struct("cls", "label", "n", "registers", "fine")).alias("left")), "blocks")
-    other = grouped.select("bucket", F.col("i").alias("j"), F.col("left").alias("right"))
-    return grouped.join(other, "bucket").where("i <= j").mapInArrow(_blocks(bands, percent, margin), "a binary, b binary")
+    dealt = placed.join(sizes, "bucket").select("bucket", "blocks", "cls", "label", spread).join(features.select("cls", "n", "registers", "fine"), "cls")
+    grouped = dealt.groupBy("bucket", "blocks", "i").agg(F.collect_list(F.struct("cls", "label", "n", "registers", "fine")).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
+    grouped = written(grouped, "blocks")
+    narrow = grouped.select("bucket", "blocks", "i", "low", "high")
+    other = narrow.select("bucket", F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    asked = narrow.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))).join(other, ["bucket", "j"])
+    asked = asked.where("not (low = high and low2 = high2 and low = low2)").select("bucket", "i", "j")
+    pairs = asked.join(grouped.select("bucket", "i", "left"), ["bucket", "i"]).join(grouped.select("bucket", F.col("i").alias("j"), F.col("left").alias("right")), ["bucket", "j"])
+    return pairs.select("bucket", "i", "j", "left", "right").mapInArrow(_blocks(bands, percent, margin), "a binary, b binary")
 
 
 def confirmed(near: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -261,70 +279,106 @@ def components(links: DataFrame) -> DataFrame:
             return labels.drop("moved")
 
 
-def near_duplicates(
+def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (node, label) after new links (a, b), which are propagated between labels only."""
+    if labels is None:
+        return components(found)
+    of = lambda links, side: links.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left").withColumn(side, F.coalesce(f"{side}_label", side)).drop(f"{side}_label")
+    between = of(of(found.select("a", "b"), "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    moved = components(written(between, "label-links"))
+    far = moved.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    old = labels.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    return written(old.union(new), "all-labels")
+
+
+def grouped_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80,
     bands: int = 32, rows: int = 6, rounds: int = 2, margin: float = 0.1, block: int = 64,
 ) -> DataFrame:
-    """One row for each input row: id, n_shingles, component_id, kept.
-
-    size is the words of a shingle, percent the least similarity. With 32 bands of 6
-    registers a pair at 0.8 shares a bucket with probability 0.9999. margin is more
-    than three standard deviations of the estimate from 192 registers at 0.8.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = written(docs.mapInArrow(_sketches(size, bands, rows, False), "id long, n long, cls binary, bands array<long>"), "sketches")
-    usable = sketches.where("id is not null and cls is not null")
-    classes = written(usable.groupBy("cls").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands")), "classes")
+    """(id, h, n, first) for each row: h is a hash of the text, first the (id, h) of the
+    first row of the row's group, by id with nulls last, and null for a text without words."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    sketches = written(docs.mapInArrow(_sketches(size, bands, rows, False), "id long, h long, n long, cls binary, bands array<long>"), "sketches")
+    salt = F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int")
+    spot = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    classes = sketches.where("cls is not null").groupBy("cls").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands"), F.collect_set(salt).alias("salts"))
+    classes = written(classes, "classes")
 
     # members: classes that share a bucket with another class
     keyed = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("bucket")
-    members = written(keyed.join(shared, "bucket", "left_semi"), "members")
-    chosen = classes.join(members, "cls", "left_semi").select(F.col("first_id").alias("id")).distinct()
-    # rows that share an id may bring classes that nothing asks for
-    features = docs.join(chosen, "id", "left_semi").mapInArrow(_sketches(size, bands, rows, True), "id long, n long, cls binary, registers binary, fine binary, shingles array<long>")
-    features = written(features.where("cls is not null").drop("id").dropDuplicates(["cls"]), "features")
+    members = written(keyed.join(shared, "bucket", "left_semi").withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")), "members")
+    known = lambda id_: F.coalesce(id_, F.lit(NO_ID))
+    chosen = classes.join(members, "cls", "left_semi").select(known(F.col("spot.id")).alias("key"), F.col("spot.h").alias("h")).distinct()
+    read = docs.withColumn("key", known(F.col("id"))).join(chosen, ["key", "h"], "left_semi").select("id", "h", "text")
+    features = read.mapInArrow(_sketches(size, bands, rows, True), "id long, h long, n long, cls binary, registers binary, fine binary, shingles array<long>")
+    features = written(features.where("cls is not null").drop("id", "h").dropDuplicates(["cls"]), "features")
 
     labels = None  # (node, label) of classes that have a link
-    links = None
+    made = [sketches, classes, members, features]
     for round_ in range(rounds + 1):
         if labels is None:
             placed = members.withColumn("label", F.col("cls"))
         else:
             placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_ = placed.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.min("label").alias("low"), F.max("label").alias("high"), F.collect_set("part").alias("parts"),
             F.min(F.struct(F.xxhash64("cls", F.lit(round_)).alias("draw"), "cls", "label")).alias("centre"),
         ).where("low <> high")
+        # a bucket's members meet its centre in several parts
+        centres = open_.select("bucket", "centre", F.explode("parts").alias("part"))
         if round_ < rounds:
-            pairs = placed.join(open_.select("bucket", "centre"), "bucket").where("label <> centre.label").select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b"))
+            pairs = placed.join(centres, ["bucket", "part"]).where("label <> centre.label").select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b"))
             near = likely_pairs(pairs.distinct(), features, percent, margin)
         else:
-            near = open_pairs(placed.join(open_, "bucket", "left_semi"), features, bands, percent, margin, block)
+            left = placed.join(centres.drop("centre"), ["bucket", "part"]).select("bucket", "cls", "label")
+            near = open_pairs(left, features, bands, percent, margin, block)
         found = written(confirmed(near, features, percent), "found")
-        if is_empty(found):
-            if round_ < rounds:
-                continue
-            break
-        # links between the components so far: a component's other classes follow its label
-        merged = found if links is None else links.union(found)
-        links = written(merged, "all-links")
-        labels = components(links)
-    reach = classes.select("cls", "first_id")
+        made.append(found)
+        if not is_empty(found):
+            labels = relabelled(labels, found)
+            made.append(labels)
+    reach = classes.select("cls", "spot", "salts")
     if labels is not None:
         reach = reach.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        lowest = reach.groupBy("label").agg(F.min("first_id").alias("lowest"))
-        reach = reach.join(lowest, "label").select("cls", F.col("lowest").alias("first_id"))
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("first_id", "id"))
-    return (
-        sketches.select("id", "n", "cls")
-        .join(reach, "cls", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    )
+        first = reach.groupBy("label").agg(F.min("spot").alias("first"))
+        reach = reach.join(first, "label").select("cls", F.col("first").alias("spot"), "salts")
+    reach = reach.select("cls", F.explode("salts").alias("salt"), F.struct("spot.id", "spot.h").alias("first"))
+    # rows of one class lie in several parts; those without a set match nothing and are spread
+    told = sketches.select("id", "h", "n", "cls").withColumn("salt", salt).join(reach, ["cls", "salt"], "left").select("id", "h", "n", "first")
+    told = written(told, "groups")
+    dropped(*made)
+    return told
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80, **options) -> DataFrame:
+    """One row for each input row: id, n_shingles, component_id, kept.
 
-def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of the smallest id."""
-    gone = near_duplicates(docs, size=size, percent=percent, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    size is the words of a shingle, percent the least similarity. With 32 bands of 6
+    registers (the options ``bands`` and ``rows``) a pair at 0.8 shares a bucket with
+    probability 0.9999. ``margin`` is more than three standard deviations of the estimate
+    from 192 registers at 0.8.
+    """
+    found = grouped_rows(docs, id_col, text_col, size, percent, **options)
+    component = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    out = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest id.
+
+    Rows are told apart by id and text, so of rows that share an id only those go whose own
+    text repeats another. Of rows that repeat both, one stays, that of the smallest hash of
+    its columns. Rows without words all stay.
+    """
+    found = grouped_rows(docs, id_col, text_col, size, percent, **options)
+    key = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("__key")
+    counted = found.where("first is not null").select(key, F.col("h").alias("__h"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("__stays"))
+    told = counted.groupBy("__key", "__h").agg(F.max("__stays").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1")
+    keyed = docs.withColumns({"__key": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__h": F.xxhash64(text_col)})
+    alone = keyed.join(told, ["__key", "__h"], "left_anti").select(*docs.columns)
+    again = keyed.join(told.where("__stays").select("__key", "__h"), ["__key", "__h"], "left_semi")
+    one = again.groupBy("__key", "__h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return alone.unionByName(one.select("__row.*"))

@@ -13,9 +13,9 @@ import unicodedata
 
 import numpy as np
 
-from .wordhash import SYMBOLS, span_hashes
+from .wordhash import span_hashes
 
-EDGE = len(SYMBOLS)
+EDGE = 304
 SLICE_CHARS = 400_000
 SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
 #: Contractions that the vocabulary's pattern takes as one word, after the apostrophe.
@@ -173,7 +173,7 @@ class WordTokenizer:
         begins, stops = at[:-1], at[1:]
         word = kind[begins] != SPACE
         begins, stops = begins[word], stops[word]
-        keys = span_hashes(SYMBOLS[low], begins, stops)
+        keys = span_hashes(low.astype("<u2").view(np.uint8), 2 * begins, 2 * stops)  # two bytes a character
         if self.table.count > self.most_words:
             self.table = WordTable()
         numbers = self.table.find(keys)

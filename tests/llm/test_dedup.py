@@ -64,10 +64,55 @@ def test_near_duplicates_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (4, "a b", "x"), (4, "a b", "x"), (5, "A\tb", "x"), (None, "a b", "x"), (6, long, "x"), (7, long + " word", "x"), (8, "ä b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, cls string").withColumns({"n": F.lit(1), "bands": F.lit(2), "label": F.lit(3)})
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(docs).collect()), key=repr)
-    assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 4, False), (None, 1, None, True), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 8, True)], key=repr)
+    assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (5, 1, 4, False), (None, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 8, True)], key=repr)
     assert nd.near_duplicates(docs.limit(0)).collect() == []
     kept = nd.without_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 6, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8]
+    assert nd.without_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    t, u, x = ("".join(f"{w}{i} " for i in range(30)) for w in "tux")
+    rows = [(3, t, 1), (5, t, 2), (5, u, 3), (7, x, 4), (7, x, 5), (7, x, 4), (None, u + "more", 6), (None, "only here", 7), (None, "only here", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long")
+    got = sorted(((r.doc_id or 0), r.text) for r in nd.without_near_duplicates(docs).collect())
+    assert got == sorted([(3, t), (5, u), (7, x), (0, "only here")])
+
+
+def test_repetitive_words_do_not_collide(spark):
+    thue = [0]
+    while len(thue) < 4096:
+        thue += [1 - k for k in thue]
+    for n in (1024, 2048, 4096):
+        one, two = "".join("ab"[k] for k in thue[:n]), "".join("ba"[k] for k in thue[:n])
+        data = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+        words, _ = word_hashes(data, np.array([0, len(data)]))
+        assert words[0] != words[1]
+
+
+def test_recall_just_above_the_threshold(spark):
+    r = np.random.default_rng(11)
+    factors, shifts = nd.register_coefficients(192 + nd.FINE)
+    lost = tried = 0
+    for n in (10, 50, 200, 900):
+        for _ in range(60):
+            shared = int(np.ceil(0.8 * n))  # similarity from 0.80 to 0.82
+            pool = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            a, b = pool[: shared + (n - shared) // 2], np.concatenate([pool[:shared], pool[shared + (n - shared) // 2 :]])
+            x, y = nd.set_sketch(a, factors, shifts)[None], nd.set_sketch(b, factors, shifts)[None]
+            banded = (nd.band_keys(x[:, :192], 32) == nd.band_keys(y[:, :192], 32)).any()
+            near = nd.joint_estimate(x[:, :192], y[:, :192], np.array([float(len(a))]), np.array([float(len(b))]))[0] >= 0.7
+            fine = nd.same_share(x[:, 192:].astype(np.uint8), y[:, 192:].astype(np.uint8))[0] >= 0.8 - nd.FINE_MARGIN
+            tried, lost = tried + 1, lost + (not (banded and near and fine))
+    assert lost <= 0.01 * tried
+
+
+def test_bucket_of_unlinked_members(spark):
+    """Pages of one template, at a similarity of 0.76, share buckets and stay apart."""
+    shared = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join(shared + [f"own{i}x{k}" for k in range(60)])) for i in range(300)] + [(1000, " ".join(shared + [f"own7x{k}" for k in range(59)]))]
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert got == {i: 7 if i == 1000 else i for i, _ in rows}
 
 
 def test_estimates_and_hashes():
@@ -79,7 +124,7 @@ def test_estimates_and_hashes():
         a, b = np.unique(pool[:1000]), np.unique(pool[1000 - n : 2000 - n])
         e = nd.joint_estimate(nd.set_sketch(a, factors, shifts)[None], nd.set_sketch(b, factors, shifts)[None], np.array([1000.0]), np.array([1000.0]))[0]
         assert abs(e - j) < 0.12
-    union = np.maximum(nd.set_sketch(pool[:900], factors, shifts), nd.set_sketch(pool[900:], factors, shifts))
+    union = nd.merge_registers(nd.set_sketch(pool[:900], factors, shifts), nd.set_sketch(pool[900:], factors, shifts))
     assert (union == nd.set_sketch(pool, factors, shifts)).all()  # registers merge by maximum
     data = np.frombuffer(b"Ab ab\x0bcAb  ", np.uint8)
     words, at = word_hashes(data, np.array([0, 6, 6, 11]))
