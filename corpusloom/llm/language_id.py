@@ -6,9 +6,10 @@ profile by the out-of-place distance: for each of the document's n-grams the dif
 of the two ranks, or the profile's length where the profile lacks it. The language with
 the least distance wins; the score is how far the second one is behind, 0 to 1.
 
-Profiles are learned from a bounded sample of labelled rows (``sample`` documents a
-language, expected; whole texts); predictions read every whole text. The profiles that
-tasks get have ``size`` rows a language.
+Profiles are learned from a bounded sample of labelled rows: at most ``sample`` documents
+a language, whole texts, drawn by a hash of id and text, so a group of copies is drawn in
+its proportion. The draw comes before any shuffle. Predictions read every whole text. The
+profiles that tasks get have ``size`` rows a language.
 
 ``keep_identified`` takes a text for one in an unknown language if the winning profile has
 less than ``FAMILIAR`` of its n-grams; predictions name the nearest language all the same.
@@ -77,12 +78,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(sums)], names=["lang", "gram", "n"])
 
 
-def learn(labelled: DataFrame, size: int = SIZE, sample: int = SAMPLE, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Profiles (lang, gram, rank) with at most size rows a language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def draw(rows: DataFrame, sample: int) -> DataFrame:
+    """At most sample rows (lang, text) of each language of rows (id, lang, text).
+
+    About twice as many are drawn where they lie, and of these the first in order of the
+    draw are kept, so only the sample is moved. The counts that are broadcast have one row
+    for each language, fewer than the profiles that the driver gets.
+    """
     counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = rows.join(counts, "lang").where(draw * F.col("rows") < sample).select("lang", "text")
+    own = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = rows.withColumn("draw", own).join(F.broadcast(counts), "lang").where(F.col("draw") * F.col("rows") < 2 * sample)
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    return near.select("lang", "text", place.alias("place")).where(F.col("place") <= sample).select("lang", "text")
+
+
+def learn(labelled: DataFrame, size: int = SIZE, sample: int = SAMPLE, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Profiles (lang, gram, rank) with at most size rows a language."""
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    drawn = draw(known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), sample)
     total = drawn.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     return total.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "gram", "rank")

@@ -2,6 +2,8 @@
 
 import hashlib
 import time
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -110,6 +112,44 @@ def test_language_accuracy_on_held_out(spark):
     assert n > 20 and right / n > 0.97
 
 
+def brute_grams(text):
+    words = "".join(c if c.isalpha() or c.isnumeric() and not c.isdecimal() else " " for c in text.lower())
+    padded = " " + " ".join(words.split()) + " "
+    found = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+    return Counter(g for g in found if g != " " and not (len(g) == 3 and g[1] == " "))
+
+
+def brute_rank(counts, size):
+    """Ties in order of the gram's number, 21 bits a letter, as for the profiles."""
+    number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return [number(g) for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))[:size]]
+
+
+def test_languages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r for r in docs.collect() if r.text]
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    totals = {}
+    for r in rows:
+        if not held(r) and r.lang:
+            totals.setdefault(r.lang, Counter()).update(brute_grams(r.text))
+    size = 120
+    profiles = {k: {g: i for i, g in enumerate(brute_rank(c, size))} for k, c in totals.items()}
+    got = {r.doc_id: r for r in li.identify(docs, size=size).collect()}
+    for r in rows:
+        own = brute_rank(brute_grams(r.text), size)
+        if own:
+            apart = {k: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+            best = sorted(apart, key=lambda k: (apart[k], k))
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (best[0], held(r))
+            assert abs(got[r.doc_id].score - (1 - apart[best[0]] / apart[best[1]])) < 1e-9
+
+
+def test_sample_is_bounded(spark):
+    rows = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 100 == 0, "a").otherwise("b").alias("lang"), F.lit("one text of all").alias("text"))
+    assert {r[0]: r[1] for r in li.draw(rows, 100).groupBy("lang").count().collect()} == {"a": 40, "b": 100}
+
+
 def test_language_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "", "en"), (-3, "123 ²½ !!", "de"), (None, "the thing and the other", None), (-5, "the thing and the other", "en"), (-5, "the thing and the other", "en")], "doc_id long, text string, lang string")
