@@ -6,27 +6,39 @@
   ``fan_in`` shards below the target, they are merged into files of about the target
   size and a manifest is committed that has the new files in place of the old. Read
   partitions are joined and written as they are read, so no row is shuffled.
-* A manifest is a small table (path, rows, bytes, tier, added). It is written aside and
-  renamed to its version; the rename is atomic, and a version that is there already is
-  never replaced: of two writers one has to take the next version. Readers use one
-  version and are not disturbed; ``vacuum`` deletes files that no kept version names.
-
-Rows are kept as they are, with all columns, nulls, empty texts and repeats; an empty
-arrival commits a version without new shards. Only DataFrame functions are used.
+* A commit writes only what it changes, a small table (path, rows, bytes, tier, added, gone);
+  a version is the sum of the changes up to it. The table is written aside and renamed to
+  its version, which is atomic where a rename is (HDFS, local disks; not on object stores).
+  A version that is there already is never replaced: the writer takes the next one, and a
+  merge whose shards another writer has meanwhile replaced is given up. Readers use one
+  version and are not disturbed.
+* A writer leaves a note (an intent) before its first file and takes it away after its
+  commit. ``vacuum`` deletes files that no kept version names, but none under a note
+  younger than a day, and sums older changes up into one table.
+
+The driver lists the paths that it reads, as Spark's own file index does; files of the
+target size keep that list short. Rows are kept as they are, with all columns, nulls, empty
+texts and repeats; an empty arrival commits a version without new shards. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-MANIFEST = "path string, rows long, bytes long, tier int, added int"
+MANIFEST = "path string, rows long, bytes long, tier int, added int, gone boolean"
 FLOOR_BYTES, FAN_IN, TARGET_BYTES = 64 << 10, 4, 64 << 20
+#: After so many seconds a writer that left its note is taken for dead.
+STALE = 86_400
 
 
 class ShardedTable:
@@ -37,29 +49,62 @@ class ShardedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list:
+        path, fs = self._path(folder)
+        return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(m[1]) for n, _ in self._names("manifests") if (m := re.fullmatch(rf"{kind}(\d+)", n)))
+
     def versions(self) -> list[int]:
-        path, fs = self._path("manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)", n)))
+        """Versions that can be read."""
+        base = max(self._numbers("sum"), default=0)
+        return [v for v in self._numbers("v") if v >= base]
 
     def manifest(self, version: int | None = None) -> DataFrame:
+        """Rows of the shards of a version, the last one by default."""
         found = self.versions()
-        version = found[-1] if version is None and found else version
-        if not version:
+        version = found[-1] if version is None and found else version or 0
+        base = max((v for v in self._numbers("sum") if v <= version), default=0)
+        parts = [f"{self.root}/manifests/v{v:08d}" for v in found if base < v <= version]
+        if base:
+            parts.append(f"{self.root}/manifests/sum{base:08d}")
+        if not parts:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v{version:08d}")
+        changes = self.spark.read.schema(MANIFEST).parquet(*parts)
+        return changes.groupBy("path").agg(*[F.max(c).alias(c) for c in ("rows", "bytes", "tier", "added", "gone")]).where("not gone")
 
-    def commit(self, entries: DataFrame, after: int) -> int:
-        """Make entries version after + 1, unless another writer was first."""
+    def commit(self, changes: DataFrame, holds: Callable[[], bool] = lambda: True) -> int | None:
+        """Make changes the next version that is free; None if holds() no longer does."""
         aside = f"manifests/aside-{uuid.uuid4().hex}"
-        entries.coalesce(1).write.parquet(f"{self.root}/{aside}")
-        (source, fs), (target, _) = self._path(aside), self._path(f"manifests/v{after + 1:08d}")
-        if fs.exists(target) or not fs.rename(source, target):
-            fs.delete(source, True)
-            raise RuntimeError(f"version {after + 1} was committed by another writer")
-        if self._path(f"manifests/v{after + 1:08d}/{source.getName()}")[1].exists(self._path(f"manifests/v{after + 1:08d}/{source.getName()}")[0]):
-            raise RuntimeError(f"version {after + 1} was committed by another writer")  # renamed into it
-        return after + 1
+        changes.coalesce(1).write.parquet(f"{self.root}/{aside}")
+        source, fs = self._path(aside)
+        while True:
+            version = max([*self._numbers("v"), *self._numbers("sum")], default=0) + 1
+            if not holds():
+                fs.delete(source, True)
+                return None
+            target, _ = self._path(f"manifests/v{version:08d}")
+            if fs.exists(target) or not fs.rename(source, target):
+                continue
+            nested, _ = self._path(f"manifests/v{version:08d}/{source.getName()}")
+            if not fs.exists(nested):
+                return version
+            fs.rename(nested, source)  # another writer was first, and the folder went into its own
+
+    @contextmanager
+    def _intent(self, kind: str):
+        """Folder of a write, under a note that it is in flight. A failed write's files go."""
+        name = f"{kind}-{uuid.uuid4().hex}"
+        note, fs = self._path(f"intents/{name}")
+        fs.create(note, True).close()
+        try:
+            yield f"{self.root}/data/{name}"
+        except BaseException:
+            fs.delete(self._path(f"data/{name}")[0], True)
+            raise
+        finally:
+            fs.delete(note, False)
 
     def _tier(self):
         """Tier of a file: powers of fan_in from the smallest size; -1 at the target size."""
@@ -70,7 +115,7 @@ class ShardedTable:
         """Manifest rows of the files in folder."""
         rows = self.spark.read.schema(self.schema()).parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         sums = rows.groupBy("path", "bytes").agg(F.count("*").alias("rows"))
-        return sums.select("path", "rows", "bytes", self._tier().alias("tier"), F.lit(version).alias("added"))
+        return sums.select("path", "rows", "bytes", self._tier().alias("tier"), F.lit(version).alias("added"), F.lit(False).alias("gone"))
 
     def schema(self):
         return self.spark.read.parquet(f"{self.root}/schema").schema
@@ -81,29 +126,31 @@ class ShardedTable:
         path, fs = self._path("schema")
         if not fs.exists(path):
             kept.limit(0).coalesce(1).write.parquet(f"{self.root}/schema")
-        last = max(self.versions(), default=0)
-        folder = f"{self.root}/data/arrivals-{uuid.uuid4().hex}"
-        writer = rows.write.option("compression", "zstd")
-        (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
-        return self.commit(self.manifest().unionByName(self._shards(folder, last + 1)), last)
+        with self._intent("arrivals") as folder:
+            writer = rows.write.option("compression", "zstd")
+            (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
+            return self.commit(self._shards(folder, max(self.versions(), default=0) + 1))
 
     def compact(self) -> int:
         """Merge tiers until none holds fan_in shards that fewer files can hold; the version
         that stands then. Every merge lessens the number of files, so it ends."""
         while True:
-            last = max(self.versions(), default=0)
             shards = self.manifest()
             tiers = shards.where("tier >= 0").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
             tiers = tiers.withColumn("files", F.ceil(F.col("bytes") / self.target_bytes)).where((F.col("n") >= self.fan_in) & (F.col("files") < F.col("n")))
             lowest = tiers.orderBy("tier").first()
             if lowest is None:
-                return last
-            paths = [r["path"] for r in shards.where(F.col("tier") == lowest["tier"]).select("path").collect()]  # names of one tier's files
-            folder = f"{self.root}/data/merged-{uuid.uuid4().hex}"
-            rows = self.spark.read.schema(self.schema()).parquet(*paths)
-            rows.coalesce(lowest["files"]).write.option("compression", "zstd").parquet(folder)
-            kept = shards.where(F.col("tier") != lowest["tier"])
-            self.commit(kept.unionByName(self._shards(folder, last + 1)), last)
+                return max(self.versions(), default=0)
+            old = shards.where(F.col("tier") == lowest["tier"])
+            rows = old.collect()  # of the files of one tier
+            paths = {r["path"] for r in rows}
+            with self._intent("merged") as folder:
+                merged = self.spark.read.schema(self.schema()).parquet(*paths)
+                merged.coalesce(lowest["files"]).write.option("compression", "zstd").parquet(folder)
+                gone = self.spark.createDataFrame([(r["path"], r["rows"], r["bytes"], r["tier"], r["added"], True) for r in rows], MANIFEST)
+                still = lambda: self.manifest().where("tier >= 0").select("path").where(F.col("path").isin(*paths)).count() == len(paths)
+                if self.commit(gone.unionByName(self._shards(folder, max(self.versions()) + 1)), still) is None:
+                    self._path("data")[1].delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = [r["path"] for r in self.manifest(version).select("path").collect()]
@@ -111,30 +158,44 @@ class ShardedTable:
         return reader.parquet(*paths) if paths else reader.parquet(f"{self.root}/schema")
 
     def vacuum(self, keep: int = 1) -> None:
-        """Delete the files that none of the last ``keep`` versions names, and older manifests."""
-        kept = {r["path"].rsplit("/", 1)[-1] for v in self.versions()[-keep:] for r in self.manifest(v).select("path").collect()}
+        """Delete the files that none of the last ``keep`` versions names, and older versions.
+
+        Files are listed before notes, and notes before versions, so a write that commits
+        meanwhile is seen either in flight or committed.
+        """
         path, fs = self._path("data")
-        if fs.exists(path):
-            files = fs.listFiles(path, True)
-            gone = []
-            while files.hasNext():
-                file = files.next().getPath()
-                if file.getName().endswith(".parquet") and file.getName() not in kept:
-                    gone.append(file)
-            for file in gone:
+        files = fs.listFiles(path, True) if fs.exists(path) else None
+        found = []
+        while files is not None and files.hasNext():
+            file = files.next().getPath()
+            if file.getName().endswith(".parquet"):
+                found.append(file)
+        live = {n for n, at in self._names("intents") if at / 1000 > time.time() - STALE}
+        versions = self.versions()[-keep:]
+        kept = {r["path"].rsplit("/", 1)[-1] for v in versions for r in self.manifest(v).select("path").collect()}
+        for file in found:
+            if file.getName() not in kept and not any(f"/{name}/" in file.toString() for name in live):
                 fs.delete(file, False)
-        for v in self.versions()[:-keep]:
-            fs.delete(self._path(f"manifests/v{v:08d}")[0], True)
+        if versions and versions[0] > max(self._numbers("sum"), default=0):
+            aside = f"manifests/aside-{uuid.uuid4().hex}"
+            self.manifest(versions[0]).write.parquet(f"{self.root}/{aside}")
+            if not fs.rename(self._path(aside)[0], self._path(f"manifests/sum{versions[0]:08d}")[0]):
+                return
+            for v in self._numbers("v"):
+                if v < versions[0]:
+                    fs.delete(self._path(f"manifests/v{v:08d}")[0], True)
+            for v in self._numbers("sum")[:-1]:
+                fs.delete(self._path(f"manifests/sum{v:08d}")[0], True)
 
 
 def shard(docs: DataFrame, arrivals: int = 8) -> ShardedTable:
     """A compacted sharded table of docs in the shared folder.
 
-    Rows arrive in slices by id, as they would day by day.
+    Rows arrive in slices by a hash of the id, as they would day by day.
     """
     table = ShardedTable(docs.sparkSession, scratch_path(docs.sparkSession, "shards"))
-    slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))
-    table.append(docs.withColumn("__arrival", slice_), "__arrival")
+    name = f"arrival-{uuid.uuid4().hex}"  # no column of docs
+    table.append(docs.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), name)
     table.compact()
     table.vacuum()
     return table
