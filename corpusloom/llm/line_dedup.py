@@ -24,6 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns whose names begin with __ renamed, as such names are used here."""
+    names = [c for c in docs.columns if c != "removed_lines"]
+    return docs.select(*[F.col(f"`{c}`").alias(f"in_{c}" if c.startswith("__") else c) for c in names]), names
+
+
+def _given_back(out: DataFrame, names: list[str]) -> DataFrame:
+    return out.select(*[F.col(f"`in_{c}`").alias(c) if c.startswith("__") else F.col(f"`{c}`") for c in names], "removed_lines")
+
 LONG_WORDS = 25
 #: First digits of a rolling hash after which a chunk ends: a fourth of all.
 ENDS = ("0", "1", "2", "3")
@@ -59,8 +69,7 @@ def chunks(text: Column, long_words: int = LONG_WORDS, ends: tuple[str, ...] = E
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
     """docs with repeated chunks removed from their texts."""
-    docs = docs.drop("removed_lines")
-    names = docs.columns
+    docs, names = _set_aside(docs)
     place = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), "__text": F.xxhash64(text_col)}
     keyed = docs.withColumns(place)
     cut = keyed.select("__id", "__text", F.posexplode(chunks(F.col(text_col), long_words)).alias("__k", "__c")).where("__c.whole")
@@ -90,7 +99,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.withColumn("removed_lines", removed).withColumn(text_col, text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names, "removed_lines")
+    return _given_back(out, names)
 
 
 def passages(text: Column, words: int = LONG_WORDS) -> Column:
@@ -145,8 +154,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count and go with the line before. Passages are equal if their SHA-256 is.
     A passage that overlaps its first occurrence is no repetition of it.
     """
-    docs = docs.drop("removed_lines")
-    names = docs.columns
+    docs, names = _set_aside(docs)
     place = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), "__text": F.xxhash64(text_col)}
     keyed = docs.withColumns(place)
     seen = written(keyed.select("__id", "__text", F.explode(passages(F.col(text_col), words)).alias("__p")).select("__id", "__text", "__p.start", "__p.end", "__p.hash"), "passages")
@@ -168,7 +176,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = out.withColumn(text_col, F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept.lines", "\n")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names, "removed_lines")
+    return _given_back(out, names)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def mix(
 
     The budget is numerator / denominator of the tokens of docs.
     """
-    docs = docs.drop("epoch", "n_tokens", "domain")
+    given = [c for c in docs.columns if c not in ("epoch", "n_tokens", "domain")]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") if c.startswith("__") else F.col(f"`{c}`") for c in given])  # __ names are used here
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     leaf = {"__domain": domain_of(blank("source")), "__lang": blank("lang"), "__source": blank("source")}
     counted = docs.withColumns(leaf).withColumn("n_tokens", token_count(F.col("text")))
@@ -115,11 +116,12 @@ def mix(
     return (
         counted.join(chosen, list(leaf)).withColumn("__times", times).where("__times > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
-        .select(*docs.columns, F.col("__domain").alias("domain"), "n_tokens", "epoch")
+        .select(*[F.col(f"`in_{c}`").alias(c) if c.startswith("__") else F.col(f"`{c}`") for c in given], F.col("__domain").alias("domain"), "n_tokens", "epoch")
     )
 
 
-def _oracle(numerator: int = 3, denominator: int = 5) -> str:
+def oracle(numerator: int = 3, denominator: int = 5, max_epochs: int = MAX_EPOCHS) -> str:
+    """The SQL of ``mix`` with the default weights."""
     case = lambda column, weights: "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {OTHER_WEIGHT} END" if weights else str(OTHER_WEIGHT)
 
     def level(name: str, nodes: str, parent: str, by: str) -> str:
@@ -139,7 +141,7 @@ WITH t AS (
     (coalesce(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), ''), '0')::BIGINT % 4)::VARCHAR AS domain,
     coalesce(len(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '')), 0)::BIGINT AS n_tokens
   FROM documents
-), leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {MAX_EPOCHS} AS c FROM t GROUP BY ALL HAVING sum(n_tokens) > 0
+), leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {max_epochs} AS c FROM t GROUP BY ALL HAVING sum(n_tokens) > 0
 ), langs AS (SELECT domain, lang, sum(c)::BIGINT AS c FROM leaf GROUP BY ALL
 ), tops AS (SELECT domain, sum(c)::BIGINT AS c FROM langs GROUP BY ALL
 ), total AS (SELECT (sum(tokens)::BIGINT * {numerator}) // {denominator} AS budget FROM leaf
@@ -154,4 +156,4 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, epochs + CASE WHE
 """
 
 
-ORACLE = _oracle()
+ORACLE = oracle()

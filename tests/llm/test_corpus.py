@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import exact_topk, mixing, packing, queries, sharding
+from corpusloom.llm.common import written
 from corpusloom.llm.tokens import WordTokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -200,6 +201,10 @@ def test_mixing_shares_shortages(spark):
     again = mixing.mix(docs, 1, 2, max_epochs=2, domains={}, languages={})
     assert sorted((r.doc_id or 0, r.epoch) for r in again.collect()) == sorted((r.doc_id or 0, r.epoch) for r in again.collect())
     assert mixing.mix(docs.limit(0)).collect() == []
+    odd = docs.withColumns({"__domain": F.lit("x"), "__source": F.lit(3)})
+    kept = mixing.mix(odd.union(odd.where("doc_id < 20")), 1, 2, max_epochs=2, domains={}, languages={})  # repeated rows, ties
+    assert {(r["__domain"], r["__source"]) for r in kept.collect()} == {("x", 3)}
+    assert all(r["n"] == 2 * (r["doc_id"] < 20) + (r["doc_id"] >= 20) for r in kept.where("doc_id < 300").groupBy("doc_id", "epoch").agg(F.count("*").alias("n")).collect())
 
 
 @pytest.fixture(scope="module")
@@ -219,11 +224,88 @@ def test_query_equals_its_sql(spark, duck, name):
     assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in found.fetchall())
 
 
+def pipeline_rows():
+    """Documents with all that the stages look for, and what each stage should leave."""
+    r = random.Random(12)
+    docs = [x for x in duckdb.sql(f"SELECT text, lang FROM '{SF}/documents.parquet' WHERE length(text) BETWEEN 300 AND 2000 AND position(chr(10) IN text) = 0 AND n_chars > 300").fetchall()]
+    words = {lang: sorted({w for t, k in docs if k == lang for w in t.split()}) for lang in ("en", "de", "fr", "es")}
+    line = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    langs = list(words)
+    passage = [line("en", 12) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        lang = langs[i % 4]
+        lines = [line(lang, r.randint(16, 24)) for _ in range(6)]
+        if i in (8, 20, 32):
+            lines[2:2] = passage
+        rows.append((i * 10, "\n".join(lines), lang, f"s{i % 3}"))
+    near = rows[40][1].split(" ")
+    near[50] = "changed"
+    rows += [(2000, " ".join(near), "en", "s1"), (2001, rows[41][1], "de", "s1"), (rows[42][0], rows[43][1], "fr", "s2"), (2002, rows[44][1], None, None), (2002, rows[44][1], None, None)]
+    rows += [(3000, None, "en", "s0"), (3001, "", None, "s0"), (3002, "123 !!", "de", "s0"), (3003, "Съешь ещё этих мягких французских булок, да выпей чаю", None, "s1"), (None, line("en", 30), None, None)]
+    return rows, passage
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from .test_dedup import brute_components, brute_passages
+
+    rows, passage = pipeline_rows()
+    docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], DOCS).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stages, found = dict(corpus_pipeline.STAGES), {}
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("language_id", "line_dedup", "near_dedup", "mixing"):
+        kept = written(stages[name](spark, kept, str(tmp_path)), name)
+        assert kept.columns == docs.columns, name
+        found[name] = [tuple(x)[:4] for x in kept.collect()]
+    texts = lambda rows: Counter((i, t) for i, t, *_ in rows)
+    # languages: all but null, empty, without letters, in no known language; null ones filled
+    want = [x for x in rows if x[1] and x[0] not in (3002, 3003)]
+    assert texts(found["language_id"]) == texts(want)
+    assert all(lang for _, _, lang, _ in found["language_id"])
+    # lines: the passage stays once, in its first document; exact repeats of long texts go whole
+    order = {k: n for n, k in enumerate(sorted({(x[0] if x[0] is not None else -(1 << 63), x[1]) for x in want}))}
+    numbered = [(n, k[1]) for k, n in order.items()]
+    lines = {n: "\n".join(x) for n, x in brute_passages(numbered).items()}
+    want = Counter((x[0], lines[order[x[0] if x[0] is not None else -(1 << 63), x[1]]]) for x in want)
+    want = Counter({k: n for k, n in want.items() if k[1].strip()})
+    assert texts(found["line_dedup"]) == want
+    # near duplicates: one row of each group
+    left = sorted(want, key=lambda x: (x[0] is None, x[0] or 0))
+    groups = brute_components(list(enumerate(t for _, t in left)), size=5)
+    assert texts(found["near_dedup"]) == Counter(x for n, x in enumerate(left) if groups[n][1] == n)
+    # mixing: the same rows as its SQL
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", found["near_dedup"])
+    told = con.execute(mixing.oracle(4, 5, 1)).fetchall()
+    assert Counter(x[0] for x in found["mixing"]) == Counter(x[0] if x[0] is not None else None for x in told)
+    # packing: each row's own ids, cut and placed without gaps, in as few sequences as the tokens allow and one
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    ids = Counter((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for i, t, *_ in found["mixing"])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((p.doc_id, p.length) for p in packed) == ids and all(p.start == 0 for p in packed)
+    spans = defaultdict(list)
+    for p in packed:
+        spans[p.sequence_id].append((p.offset, p.length))
+    for span in spans.values():
+        assert [o for o, _ in sorted(span)] == list(itertools.accumulate([0] + [n for _, n in sorted(span)]))[:-1] and sum(n for _, n in span) <= 2048
+    assert len(spans) <= -(-sum(k[1] * n for k, n in ids.items()) // 2048) + 1
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], DOCS)
+    for n, table in enumerate((docs, docs.withColumns({"__id": F.lit(1), "__key": F.lit("x"), "score": F.lit(2)}), spark.createDataFrame([(None, None, None, None, None), (1, "words", None, None, 5)], DOCS))):
+        path = tmp_path / str(n)
+        table.write.parquet(str(path / "documents.parquet"))
+        assert corpus_pipeline.run(spark, str(path)).count() <= 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, columns = docs, docs.columns
-    from corpusloom.llm.common import written
-
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = written(stage(spark, kept, SF), name)
         assert after.columns == columns, name
