@@ -46,8 +46,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language ID, registers and tokens are not SQL. Tests hold language_id, line_dedup and
-#: near_dedup against brute force or planted rows one by one, and run() by its invariants.
+#: Language ID, registers and tokens are not SQL. A test holds each stage of run() against a
+#: brute-force version on a small fixture (tests/llm/test_corpus.py).
 ORACLE_SQL = None
 
 
