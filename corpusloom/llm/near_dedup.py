@@ -186,7 +186,7 @@ def likely_pairs(pairs: DataFrame, features: DataFrame, percent: int, margin: fl
 
 
 def _blocks(bands: int, percent: int, margin: float):
-    """Arrow mapper: two blocks of a bucket's members to the likely pairs across components.
+    """Arrow mapper: two chunks of a bucket's members to the likely pairs across components.
 
     A pair that shares several buckets comes from that of its first shared band alone.
     """
@@ -195,7 +195,8 @@ def _blocks(bands: int, percent: int, margin: float):
         for batch in batches:
             found: list[tuple[bytes, bytes]] = []
             for row in batch.to_pylist():
-                left, right = row["left"], row["right"]
+                left = [m for m in row["members"] if m["chunk"] == row["i"]]
+                right = left if row["i"] == row["j"] else [m for m in row["members"] if m["chunk"] == row["j"]]
                 cls = [[m["cls"] for m in side] for side in (left, right)]
                 names = {x: i for i, x in enumerate({m["label"] for side in (left, right) for m in side})}
                 label = [np.array([names[m["label"]] for m in side]) for side in (left, right)]
@@ -227,21 +228,27 @@ def open_pairs(placed: DataFrame, features: DataFrame, bands: int, percent: int,
     """All likely pairs (a, b) of bucket members that lie across components.
 
     placed has (bucket, cls, label) of buckets with several components. Members are dealt
-    into blocks, and pairs of blocks by bucket and block, so a bucket of any size is many
-    small tasks. Blocks are compared in numpy: pairs that are not likely are never rows,
-    and two blocks that lie in one component are not compared.
+    into chunks of about block; a component with so many members in a bucket has chunks of
+    its own. Pairs of chunks are compared in numpy, one pair at a time, so a bucket of any
+    size is many small tasks and pairs that are not likely are never rows. Chunks of one
+    component are not compared with each other, so members of a large one are sent only to
+    where the few others are.
     """
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    spread = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("i")
-    dealt = placed.join(sizes, "bucket").select("bucket", "blocks", "cls", "label", spread).join(features.select("cls", "n", "registers", "fine"), "cls")
-    grouped = dealt.groupBy("bucket", "blocks", "i").agg(F.collect_list(F.struct("cls", "label", "n", "registers", "fine")).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
-    grouped = written(grouped, "blocks")
-    narrow = grouped.select("bucket", "blocks", "i", "low", "high")
-    other = narrow.select("bucket", F.col("i").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    asked = narrow.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))).join(other, ["bucket", "j"])
-    asked = asked.where("not (low = high and low2 = high2 and low = low2)").select("bucket", "i", "j")
-    pairs = asked.join(grouped.select("bucket", "i", "left"), ["bucket", "i"]).join(grouped.select("bucket", F.col("i").alias("j"), F.col("left").alias("right")), ["bucket", "j"])
-    return pairs.select("bucket", "i", "j", "left", "right").mapInArrow(_blocks(bands, percent, margin), "a binary, b binary")
+    own = placed.groupBy("bucket", "label").agg(F.count("*").alias("own"))
+    large = F.col("own") >= block
+    sizes = own.groupBy("bucket").agg(F.sum(F.when(large, 0).otherwise(F.col("own"))).alias("rest"))
+    own = own.where(large)
+    told = placed.join(own, ["bucket", "label"], "left").join(sizes, "bucket")
+    part = F.pmod(F.xxhash64("cls", "bucket"), F.greatest(F.ceil(F.coalesce("own", "rest") / block), F.lit(1)))
+    chunk = F.xxhash64(F.when(F.col("own").isNotNull(), F.col("label")).otherwise(F.lit(b"")), part)
+    dealt = written(told.select("bucket", "cls", "label", chunk.alias("chunk")), "chunks")
+    sums = dealt.groupBy("bucket", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = sums.select("bucket", F.col("chunk").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    cells = sums.withColumnRenamed("chunk", "i").join(other, "bucket").where("i <= j and not (low = high and low2 = high2 and low = low2)").select("bucket", "i", "j")
+    asked = cells.withColumn("chunk", F.explode(F.array_distinct(F.array("i", "j"))))
+    sent = dealt.join(asked, ["bucket", "chunk"]).join(features.select("cls", "n", "registers", "fine"), "cls")
+    met = sent.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("chunk", "cls", "label", "n", "registers", "fine")).alias("members"))
+    return met.mapInArrow(_blocks(bands, percent, margin), "a binary, b binary")
 
 
 def confirmed(near: DataFrame, features: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +301,7 @@ def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 
 def grouped_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 80,
-    bands: int = 32, rows: int = 6, rounds: int = 2, margin: float = 0.1, block: int = 64,
+    bands: int = 32, rows: int = 6, rounds: int = 2, margin: float = 0.1, block: int = 256,
 ) -> DataFrame:
     """(id, h, n, first) for each row: h is a hash of the text, first the (id, h) of the
     first row of the row's group, by id with nulls last, and null for a text without words."""
