@@ -110,14 +110,19 @@ def pack_context(ranked: DataFrame, limit: int, budget: int) -> DataFrame:
     return rows.join(kept.select("query_id", F.posexplode("ids").alias("position", "doc_id")), ["query_id", "doc_id"]).withColumn("position", F.col("position") + 1)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, profile: Profile = PROFILES["ai_answer"], filters: dict[str, str] | None = None) -> DataFrame:
-    """Context rows for a table of queries (query_id, query, vector)."""
+def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, profile: Profile = PROFILES["ai_answer"], filters: dict[str, str] | None = None, source: dict | None = None) -> DataFrame:
+    """Context rows for a table of queries (query_id, query, vector).
+
+    source (source_type, source_types, source_name, tradition) limits the documents before
+    any ranking, filters the candidates of the searches by metadata.
+    """
+    docs = dx.filter_source(docs, **(source or {}))
     analyzed = tx.expand_queries(tx.analyze_queries(queries))
     asked = analyzed.withColumn("query", F.col("expanded_query")) if profile.use_expansion else analyzed
     deep = sx.over_fetch(profile.top_k, profile.context_limit)
     parts = []
     if profile.use_vector:
-        parts.append(candidates(sx.semantic_search(asked, vectors, deep), "vector"))
+        parts.append(candidates(sx.semantic_search(asked, vectors, deep, allowed=docs if source else None), "vector"))
     if profile.use_lexical:
         parts.append(candidates(sx.lexical_search(asked.select("query_id", "query"), docs, deep), "lexical"))
     rows = union_candidates(*parts)
@@ -125,6 +130,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: Dat
         allowed = dx.filter_candidates(docs, filters).select("doc_id")
         rows = rows.join(allowed, "doc_id", "left_semi")
     if profile.graph_depth > 0 and edges is not None:
+        rows = rows.persist()  # used twice; as many rows as queries times the depth of the searches
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         seeds = rows.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
         rows = union_candidates(rows, candidates(gx.expand_graph(seeds, edges, profile.graph_depth), "graph"))

@@ -9,11 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.frames import union_by
-from corpusloom.functions.vectors import cosine
+from . import documents as dx
 
-#: Field weights: reference and title, source name, content.
+# Field weights of reference and title, source name, content.
 WEIGHTS = {"reference": 1.0, "title": 1.0, "source_name": 0.4, "content": 0.2}
 TOKEN = "[a-z0-9à-öø-ÿ]+"
+#: Tables of terms with no more rows than this are broadcast.
+BROADCAST_ROWS = 100_000
+#: Applied to each token of documents and queries alike, for instance a stemmer.
+Normalizer = Callable[[Column], Column]
 
 
 def top_k_per_query(rows: DataFrame, k: int, score: str = "score", query: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -29,15 +33,16 @@ def over_fetch(k: int, context_limit: int = 0, multiplier: int = 3) -> int:
 # lexical
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column, normalize: Normalizer | None = None) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return found if normalize is None else F.transform(found, normalize)
 
 
-def build_postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS, gap: int = 1_000_000) -> DataFrame:
+def build_postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS, gap: int = 1_000_000, normalize: Normalizer | None = None) -> DataFrame:
     """(token, doc_id, pos, weight); each field has its own range of positions."""
     out = None
     for i, (field, w) in enumerate(weights.items()):
-        part = docs.select("doc_id", F.posexplode(tokens(F.col(field))).alias("p", "token"))
+        part = docs.select("doc_id", F.posexplode(tokens(F.col(field), normalize)).alias("p", "token"))
         part = part.select("token", "doc_id", (F.col("p") + F.lit(i * gap)).alias("pos"), F.lit(w).alias("weight"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -61,10 +66,45 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     return rows.select("query_id", kind.alias("kind"), F.trim(bare).alias("term"), group.cast("int").alias("group")).where("term <> ''")
 
 
-def _wanted(queries: DataFrame) -> DataFrame:
-    """(query_id, token, term, n_terms): distinct tokens that a document must hold."""
-    own = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("t"))
-    return own.select("query_id", F.size("t").alias("n_terms"), F.posexplode("t").alias("term", "token"))
+def search_terms(queries: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
+    """(query_id, token, place, size, alternative, term, n_terms): what to look up.
+
+    term numbers the things that a document must hold, each in one of its alternatives; an
+    alternative of several tokens is a phrase, and place counts within it. term is -1 for
+    what a document must not hold.
+    """
+    one = query_terms(queries).dropDuplicates(["query_id", "kind", "term"]).withColumn("t", tokens(F.col("term"), normalize)).where(F.size("t") > 0)
+    asked = F.when(F.col("kind") != "not", F.col("group"))
+    order = W.partitionBy("query_id", F.col("kind") == "not").orderBy("group")
+    number = F.when(F.col("kind") == "not", -1).otherwise(F.dense_rank().over(order) - 1)
+    n = F.size(F.collect_set(asked).over(W.partitionBy("query_id")))
+    rows = one.select("query_id", "t", F.size("t").alias("size"), F.concat_ws(" ", "kind", "term").alias("alternative"), number.alias("term"), n.alias("n_terms"))
+    return rows.select("*", F.posexplode("t").alias("place", "token")).drop("t")
+
+
+def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
+    """(query_id, doc_id, term, pos, weight, n_terms) in the documents that match.
+
+    A document matches if it holds every term and none that is unwanted; a query of
+    unwanted terms alone matches nothing.
+    """
+    terms = search_terms(queries, normalize)
+    rows, longest = terms.agg(F.count("*"), F.max("size")).first()
+    small = rows <= BROADCAST_ROWS
+    hits = postings.join(F.broadcast(terms) if small else terms, "token")
+    spot = ["query_id", "doc_id", "term", "alternative"]
+    if (longest or 1) > 1:  # all tokens of a phrase, one after the other in one field
+        hits = hits.withColumn("pos", F.col("pos") - F.col("place"))
+        hits = hits.groupBy(*spot, "size", "n_terms", "pos").agg(F.count_distinct("place").alias("found"), F.min("weight").alias("weight")).where("found = size")
+    pair = W.partitionBy("query_id", "doc_id")  # one pass over the occurrences, without a join with themselves
+    held = F.size(F.collect_set(F.when(F.col("term") >= 0, F.col("term"))).over(pair))
+    told = hits.select("query_id", "doc_id", "term", "pos", "weight", "n_terms").withColumn("held", held).withColumn("bad", F.min("term").over(pair) < 0)
+    return told.where("held = n_terms and not bad").drop("held", "bad")
+
+
+def lexical_matches(queries: DataFrame, docs: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
+    """(query_id, doc_id) of the documents whose text matches."""
+    return occurrences(queries, build_postings(docs, normalize=normalize), normalize).select("query_id", "doc_id").distinct()
 
 
 def cover_density(occurrences: DataFrame, most_terms: int) -> DataFrame:
@@ -92,40 +132,48 @@ def cover_density(occurrences: DataFrame, most_terms: int) -> DataFrame:
     return covers.groupBy(*doc).agg(F.sum(value).alias("rank"))
 
 
-def single_term_rank(occurrences: DataFrame) -> DataFrame:
-    """Rank of one-term queries: the sum of the weights."""
-    return occurrences.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("rank"))
+def filtered(docs: DataFrame, filters: dict | None) -> DataFrame:
+    """docs that pass filters: source_type(s), source_name, tradition, or keys of metadata."""
+    own = ("source_type", "source_types", "source_name", "tradition")
+    given = filters or {}
+    docs = dx.filter_source(docs, **{k: v for k, v in given.items() if k in own})
+    return dx.filter_metadata(docs, **{k: v for k, v in given.items() if k not in own})
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFrame | None = None) -> DataFrame:
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFrame | None = None, filters: dict | None = None, normalize: Normalizer | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents of each query.
 
-    score = cover density + 10 if the reference is the query + 5 if the reference holds
-    it + 2 if the source name holds it; any of these, or all terms in the text, match.
+    Queries may hold "phrases", or, and -unwanted words. score = cover density + 10 if the
+    reference is the query + 5 if the reference holds it + 2 if the source name holds it;
+    any of these, or a match of the text, count. Filters come before the ranking.
     """
-    postings = build_postings(docs) if postings is None else postings
-    hits = postings.join(_wanted(queries), "token")
-    single = single_term_rank(hits.where("n_terms = 1"))
-    every = hits.where("n_terms > 1")
-    full = every.groupBy("query_id", "doc_id").agg(F.count_distinct("token").alias("held"), F.first("n_terms").alias("n")).where("held = n").select("query_id", "doc_id")
-    most = queries.agg(F.max(F.size(F.array_distinct(tokens(F.col("query")))))).first()[0] or 1
-    text = union_by(["query_id", "doc_id"], single, cover_density(every.join(full, ["query_id", "doc_id"], "left_semi"), most))
+    docs = filtered(docs, filters)
+    if postings is None:
+        postings = build_postings(docs, normalize=normalize)
+    elif filters:
+        postings = postings.join(docs.select("doc_id"), "doc_id", "left_semi")
+    hits = occurrences(queries, postings, normalize)
+    most = queries.select(F.max(F.size(tokens(F.col("query")))).alias("n")).first()[0] or 1
+    pair = ["query_id", "doc_id"]
+    text = cover_density(hits, most)  # of one term: the sum of its weights
     q = F.lower(F.trim("query"))
-    # names are matched against distinct values only, not against every document
     contains = lambda c: F.contains(F.lower(F.col(c)), q)
-    names = docs.select("source_name").distinct()
-    by_name = queries.join(names, contains("source_name")).select("query_id", "source_name")
-    boosts = docs.select("doc_id", "source_name").join(by_name, "source_name").select("query_id", "doc_id", F.lit(2.0).alias("boost"))
-    asked = queries.select("query_id", "query", F.explode(tokens(F.col("query"))).alias("token")).dropDuplicates(["query_id"])
     # a reference can hold the query only if it has the query's first token
+    asked = queries.select("query_id", "query", F.explode(tokens(F.col("query"))).alias("token")).dropDuplicates(["query_id"])
     refs = docs.select("doc_id", "reference", F.explode(F.array_distinct(tokens(F.col("reference")))).alias("token"))
     near = refs.join(asked, "token").where(contains("reference"))
     exact = F.when(F.lower("reference") == q, F.lit(10.0)).otherwise(F.lit(0.0))
-    boosts = union_by(["query_id", "doc_id"], boosts, near.select("query_id", "doc_id", (exact + 5.0).alias("boost")))
-    total = boosts.groupBy("query_id", "doc_id").agg(F.sum("boost").alias("boost"))
-    zero = F.lit(0.0)
-    score = F.round(F.coalesce("rank", zero) + F.coalesce("boost", zero), 6)
-    return top_k_per_query(text.join(total, ["query_id", "doc_id"], "full").select("query_id", "doc_id", score.alias("score")), k)
+    found = union_by(pair, text.select(*pair, F.col("rank").alias("points")), near.select(*pair, (exact + 5.0).alias("points"))).groupBy(*pair).agg(F.sum("points").alias("points"))
+    # names are matched against distinct values only; of a name's documents the first k by id can rank
+    names = docs.select("source_name").distinct()
+    by_name = queries.join(names, contains("source_name")).select("query_id", "source_name", F.lit(2.0).alias("boost"))
+    found = found.join(docs.select("doc_id", "source_name"), "doc_id").join(by_name, ["query_id", "source_name"], "left")
+    found = found.select(*pair, (F.col("points") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+    first = W.partitionBy("source_name").orderBy("doc_id")
+    lead = docs.select("doc_id", "source_name").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
+    only = lead.join(by_name, "source_name").select(*pair, F.col("boost").alias("score"))
+    total = union_by(pair, found, only).groupBy(*pair).agg(F.round(F.max("score"), 6).alias("score"))
+    return top_k_per_query(total, k)
 
 
 # vectors
@@ -136,72 +184,96 @@ def _nearest(k: int, least: float | None):
     import numpy as np
     import pandas as pd
 
-    def unit(column: pd.Series, width: int) -> np.ndarray:
-        out = np.zeros((len(column), width))
-        for i, v in enumerate(column):
-            out[i, : len(v)] = v
-        return out
-
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
+        out = []
         if len(asked) and len(held):
             held = held.sort_values("doc_id", ignore_index=True)
-            sizes = held["vector"].map(len).to_numpy()
-            for size in np.unique(asked["q"].map(len)):  # cosine is over the shorter of two lengths
-                group = asked[asked["q"].map(len) == size]
-                q = unit(group["q"], size)
+            sizes, widths = held["vector"].map(len).to_numpy(), asked["q"].map(len).to_numpy()
+            for width in np.unique(widths):  # cosine is over the shorter of two lengths
+                group = asked[widths == width]
                 for other in np.unique(sizes):
                     at = np.flatnonzero(sizes == other)
-                    short = min(size, other)
-                    v = unit(held["vector"].iloc[at], other)[:, :short]
-                    norm = np.sqrt((q[:, :short] ** 2).sum(axis=1))[:, None] * np.sqrt((v**2).sum(axis=1))
-                    score = np.round(np.divide(q[:, :short] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6) + 0.0
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    for i, query_id in enumerate(group["query_id"]):
-                        for j in best[i]:
-                            if least is None or score[i, j] >= least:
-                                rows.append((query_id, held["doc_id"].iloc[at[j]], score[i, j]))
-        return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
+                    short = min(width, other)
+                    q = np.stack(group["q"].to_list())[:, :short].astype(float)
+                    v = np.stack(held["vector"].iloc[at].to_list())[:, :short].astype(float)
+                    norm = np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((v**2).sum(axis=1))
+                    score = np.round(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6) + 0.0
+                    n = min(k, len(at))
+                    enough = score >= np.partition(score, len(at) - n, axis=1)[:, [len(at) - n]]
+                    if least is not None:
+                        enough &= score >= least
+                    row, col = np.nonzero(enough)
+                    order = np.lexsort((col, -score[row, col], row))  # held is in order of ids
+                    row, col = row[order], col[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col = row[best], col[best]
+                    out.append(pd.DataFrame({"query_id": group["query_id"].to_numpy()[row], "doc_id": held["doc_id"].to_numpy()[at[col]], "score": score[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
 
     return run
 
 
-def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = 512, shard: int = 4096) -> DataFrame:
+def _dealt(asked: DataFrame, held: DataFrame, keys: list[str], k: int, least: float | None) -> DataFrame:
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {dict(held.dtypes)['doc_id']}, score double"
+    return top_k_per_query(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_nearest(k, least), schema), k)
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.where("vector is not null and size(vector) > 0")
+
+
+def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = 512, shard: int = 4096, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest vectors by cosine for each query.
 
-    queries (query_id, vector), vectors (doc_id, vector). Queries are dealt into blocks,
-    vectors into shards of bounded size; a task multiplies one block with one shard and
-    sends on only the k best of each query.
+    queries (query_id, vector), vectors (doc_id, vector); allowed (doc_id) limits the
+    vectors before the ranking. Queries are dealt into blocks, vectors into shards of
+    bounded size; a task multiplies one block with one shard and sends on only the k best
+    of each query.
     """
-    usable = lambda df: df.where("vector is not null and size(vector) > 0")
-    asked, held = usable(queries), usable(vectors)
+    asked, held = _usable(queries), _usable(vectors if allowed is None else vectors.join(allowed.select("doc_id"), "doc_id", "left_semi"))
     blocks, shards = max(1, -(-asked.count() // block)), max(1, -(-held.count() // shard))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     asked = asked.select("query_id", F.col("vector").alias("q"), part("query_id", blocks).alias("b")).withColumn("s", every(shards))
     held = held.select("doc_id", "vector", part("doc_id", shards).alias("s")).withColumn("b", every(blocks))
-    schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {dict(held.dtypes)['doc_id']}, score double"
-    hits = asked.groupBy("b", "s").cogroup(held.groupBy("b", "s")).applyInPandas(_nearest(k, least), schema)
-    return top_k_per_query(hits, k)
+    return _dealt(asked, held, ["b", "s"], k, least)
 
 
-def ann_search(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 2.0, tables: int = 4, reach: float = 1.35) -> DataFrame:
-    """Approximate search: random-projection LSH for candidates, exact cosine for scores.
+def probed_clusters(queries: DataFrame, vectors: DataFrame, clusters: int, probes: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """queries with each cluster that they look into, and all vectors with their cluster.
 
-    Every vector is indexed. reach is the largest distance of unit vectors (1.35 is a
-    cosine of 0.09); wider buckets and more tables find more and cost more. The defaults
-    find over nine tenths of the exact results on loosely clustered 64-d vectors.
+    The centres are learned from the sample vectors that come first by a hash of the id.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = Normalizer(inputCol="raw", outputCol="features")
-    dense = lambda df, id_: unit.transform(df.where("size(vector) > 0").select(id_, "vector", array_to_vector("vector").alias("raw")))
-    left, right = dense(queries, "query_id"), dense(vectors, "doc_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(right)
-    near = model.approxSimilarityJoin(left, right, reach, "distance")
-    pairs = near.select("datasetA.query_id", "datasetB.doc_id", cosine(F.col("datasetA.vector"), F.col("datasetB.vector")).alias("score"))
-    return top_k_per_query(pairs, k)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    some = F.exists("vector", lambda x: x != 0)
+    drawn = vectors.where(some).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(array_to_vector("vector").alias("features"))
+    if drawn.isEmpty():
+        return queries.withColumn("cluster", F.lit(0)), vectors.withColumn("cluster", F.lit(0))
+    centres = [c.tolist() for c in KMeans(k=clusters, distanceMeasure="cosine", maxIter=20, seed=7).fit(drawn).clusterCenters()]
+    length = lambda c: sum(x * x for x in c) ** 0.5
+    near = lambda v: F.array_sort(F.array(*[F.struct((-dot(v, F.lit([x / length(c) for x in c]))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]))
+    asked = queries.withColumn("cluster", F.explode(F.transform(F.slice(near(F.col("vector")), 1, probes), lambda s: s["i"])))
+    return asked, vectors.withColumn("cluster", near(F.col("vector"))[0]["i"])
+
+
+def ann_search(queries: DataFrame, vectors: DataFrame, k: int, clusters: int = 16, probes: int = 12, sample: int = 20_000, shard: int = 4096) -> DataFrame:
+    """Approximate search: exact cosines within the nearest clusters (an inverted file).
+
+    Every vector is indexed, in the cluster of its nearest centre; centres are learned from
+    a bounded sample. A query looks into ``probes`` of the ``clusters``, so it reads about
+    probes / clusters of the vectors; large clusters are split into shards. Vectors that
+    lie in groups need few probes. Those of the test tables do not (the ten nearest have
+    cosines of 0.32 to 0.42): there the defaults find over nine tenths by reading three
+    quarters, and the exact search is the better choice.
+    """
+    asked, held = probed_clusters(_usable(queries), _usable(vectors), clusters, probes, sample)
+    sizes = F.broadcast(held.groupBy("cluster").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))  # one row for each cluster
+    held = held.join(sizes, "cluster").select("doc_id", "vector", "cluster", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int").alias("s"))
+    asked = asked.join(sizes, "cluster").select("query_id", F.col("vector").alias("q"), "cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s"))
+    return _dealt(asked, held, ["cluster", "s"], k, None)
 
 
 # fusion
@@ -229,7 +301,11 @@ def weighted_fusion(vector: DataFrame, lexical: DataFrame, k: int, least: float
 Fusion = Callable[[DataFrame, DataFrame, int, float], DataFrame]
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, fusion: Fusion = weighted_fusion, postings: DataFrame | None = None) -> DataFrame:
+def hybrid_search(
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, fusion: Fusion = weighted_fusion,
+    postings: DataFrame | None = None, filters: dict | None = None, normalize: Normalizer | None = None,
+) -> DataFrame:
     """Vector and lexical search at three times the depth, fused. queries: query_id, query, vector."""
     deep = over_fetch(k)
-    return fusion(semantic_search(queries, vectors, deep), lexical_search(queries, docs, deep, postings), k, least)
+    near = semantic_search(queries, vectors, deep, allowed=filtered(docs, filters) if filters else None)
+    return fusion(near, lexical_search(queries, docs, deep, postings, filters, normalize), k, least)

@@ -80,9 +80,9 @@ def s15(spark, sf):
 # filters
 
 
-@query("f1_filter_source", f"WITH {DOCS} SELECT doc_id FROM docs WHERE source_type IN ('bible_verse', 'catechism') AND source_name = 'src3' AND tradition = 'catholic'")
+@query("f1_filter_source", f"WITH {DOCS} SELECT doc_id FROM docs WHERE source_type IN ('bible_verse', 'catechism') AND source_name = 'src10' AND tradition = 'catholic'")
 def f1(spark, sf):
-    return dx.filter_source(ad.documents(spark, sf), source_types=["bible_verse", "catechism"], source_name="src3", tradition="catholic").select("doc_id")
+    return dx.filter_source(ad.documents(spark, sf), source_types=["bible_verse", "catechism"], source_name="src10", tradition="catholic").select("doc_id")
 
 
 @query("f2_filter_metadata_json", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")

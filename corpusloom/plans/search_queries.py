@@ -103,11 +103,8 @@ def t3(spark, sf):
 
 @query("w7_cover_density", f"WITH {DOCS}, {ASK_SQL}, {LEXICAL_SQL} SELECT query_id, doc_id, round(rank, 6) AS rank FROM ranks")
 def w7(spark, sf):
-    hits = sx.build_postings(ad.documents(spark, sf)).join(sx._wanted(asks(spark, sf).select("query_id", "query")), "token")
-    full = hits.groupBy("query_id", "doc_id").agg(F.count_distinct("token").alias("held"), F.first("n_terms").alias("n")).where("held = n")
-    hits = hits.join(full, ["query_id", "doc_id"], "left_semi")
-    both = sx.cover_density(hits.where("n_terms > 1"), 2).unionByName(sx.single_term_rank(hits.where("n_terms = 1")))
-    return both.select("query_id", "doc_id", F.round("rank", 6).alias("rank"))
+    hits = sx.occurrences(asks(spark, sf).select("query_id", "query"), sx.build_postings(ad.documents(spark, sf)))
+    return sx.cover_density(hits, 2).select("query_id", "doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query("t1_lexical_search", f"WITH {DOCS}, {ASK_SQL}, {LEXICAL_SQL} SELECT query_id, doc_id, score, rank FROM lex")
@@ -115,6 +112,33 @@ def t1(spark, sf):
     return lex(spark, sf).select("query_id", "doc_id", "score", *long_("rank"))
 
 
+# queries with a phrase, alternatives and an unwanted word, made of words of the documents
+
+SYNTAX_SQL = r"""words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+') AS t FROM documents WHERE doc_id % 100 = 0),
+bodies AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(reference), '[a-z0-9à-öø-ÿ]+'), ' ') || ' | ' || array_to_string(regexp_extract_all(lower(title), '[a-z0-9à-öø-ÿ]+'), ' ') || ' | ' || array_to_string(regexp_extract_all(lower(source_name), '[a-z0-9à-öø-ÿ]+'), ' ') || ' | ' || array_to_string(regexp_extract_all(lower(content), '[a-z0-9à-öø-ÿ]+'), ' ') || ' ' AS b FROM docs)"""
+
+
+@query("t1_search_syntax", f"WITH {DOCS}, {SYNTAX_SQL} SELECT w.doc_id AS query_id, d.doc_id FROM words w JOIN bodies d ON len(t) >= 6 AND (contains(b, ' ' || t[1] || ' ' || t[2] || ' ') OR contains(b, ' ' || t[3] || ' ')) AND contains(b, ' ' || t[4] || ' ') AND NOT contains(b, ' ' || t[6] || ' ')")
+def t1_syntax(spark, sf):
+    t = sx.tokens(F.col("text"))
+    q = ad.read(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), t.alias("t")).where("size(t) >= 6")
+    asked = F.format_string('"%s %s" or %s %s -%s', *[F.col("t")[i] for i in (0, 1, 2, 3, 5)])
+    return sx.lexical_matches(q.select("query_id", asked.alias("query")), ad.documents(spark, sf))
+
+
+def _only(sql: str) -> str:
+    """A query's SQL over the documents of two source types and one tradition."""
+    return sql.replace("FROM documents d)", "FROM documents d WHERE doc_id % 4 IN (0, 2) AND doc_id % 5 = 0)").replace("FROM embeddings))", "FROM embeddings WHERE vec_id % 4 IN (0, 2) AND vec_id % 5 = 0 AND vec_id IN (SELECT doc_id FROM documents)))")
+
+
+FILTERS = {"source_types": ["bible_verse", "catechism"], "tradition": "catholic"}
+
+
+@query("t4_filtered_search", _only(f"WITH {DOCS}, {VECTOR_SQL}, {LEXICAL_SQL}, {FUSED_SQL} SELECT query_id, doc_id, combined, rank FROM hybrid"))
+def t4_filtered(spark, sf):
+    return sx.hybrid_search(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), K, filters=FILTERS).select("query_id", "doc_id", "combined", *long_("rank"))
+
+
 @query("h2_normalize_scores", f"WITH {VECTOR_SQL} SELECT query_id, doc_id, round(greatest(score, 0) / max(score) OVER (PARTITION BY query_id), 6) AS score FROM vec")
 def h2(spark, sf):
     return sx.normalize_scores(vec(spark, sf)).select("query_id", "doc_id", "score")
@@ -276,9 +300,10 @@ def k3(spark, sf):
 # graph
 
 
-@query("j3_disconnected_nodes", f"WITH {GRAPH} SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT source_id FROM edges) AND node_id NOT IN (SELECT target_id FROM edges)")
+@query("j3_disconnected_nodes", f"WITH {GRAPH}, few AS (SELECT * FROM edges WHERE relationship_type = 'A' AND edge_id % 10 = 1) SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT source_id FROM few) AND node_id NOT IN (SELECT target_id FROM few)")
 def j3(spark, sf):
-    return gx.disconnected_nodes(*ad.graph(spark, sf))
+    nodes, edges = ad.graph(spark, sf)
+    return gx.disconnected_nodes(nodes, edges.where("relationship_type = 'A' and edge_id % 10 = 1"))
 
 
 @query("j4_broken_edges", f"WITH {GRAPH} SELECT * FROM edges WHERE source_id NOT IN (SELECT node_id FROM nodes) OR target_id NOT IN (SELECT node_id FROM nodes)")
@@ -347,33 +372,46 @@ def gx_delete(nodes, edges, gone):
     return delete_documents(nodes, edges, gone, "node_id")
 
 
-# references: a document cites the one before it, and one that is not there
+# references: a document cites one before it of its own type, and one that is not there
+
+NAMES = {"bible_verse": "Genesis 1:", "bible_chapter": "Exodus 2:", "catechism": "CCC ", "church_father": "Father "}
+KEYS = {"bible_verse": "scripture_references", "bible_chapter": "scripture_references", "catechism": "catechism_references", "church_father": "church_father_references"}
+EDGES = {"bible_verse": "related_verse", "bible_chapter": "scripture_reference", "catechism": "catechism_reference", "church_father": "church_father_reference"}
+_by_type = lambda names: "CASE source_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+CITING_SQL = f"""cites AS (SELECT doc_id, source_type, {_by_type(NAMES)} || (doc_id - back) AS cited FROM docs, (SELECT unnest([4, -100000]) AS back)),
+named AS (SELECT doc_id, {_by_type(NAMES)} || doc_id AS reference FROM docs)"""
 
-CITING_SQL = """cites AS (SELECT doc_id, source_type, reference AS own, 'CCC ' || (doc_id - 4) AS cited FROM docs WHERE source_type = 'catechism' UNION ALL SELECT doc_id, source_type, reference, 'CCC ' || (doc_id + 100000) FROM docs WHERE source_type = 'catechism'),
-named AS (SELECT doc_id, 'CCC ' || doc_id AS reference FROM docs WHERE source_type = 'catechism')"""
 
+def citing(spark, sf, back=4):
+    def of(values):
+        out = F.lit(None)
+        for k, v in values.items():
+            out = F.when(F.col("source_type") == k, v).otherwise(out)
+        return out
 
-def citing(spark, sf):
-    meta = F.concat(F.lit('{"catechism_references":["CCC '), (F.col("doc_id") - 4).cast("string"), F.lit('","CCC '), (F.col("doc_id") + 100000).cast("string"), F.lit('"]}'))
-    docs = ad.documents(spark, sf).where("source_type = 'catechism'")
-    return docs.select("doc_id", "source_type", F.concat(F.lit("CCC "), "doc_id").alias("reference"), meta.alias("metadata"))
+    name, docs = of(NAMES), ad.documents(spark, sf)
+    told = F.concat(F.lit('{"'), of(KEYS), F.lit('":["'), name, F.col("doc_id") - back, F.lit('","'), name, F.col("doc_id") + 100000, F.lit('"]}'))
+    return docs.select("doc_id", "source_type", F.concat(name, "doc_id").alias("reference"), told.alias("metadata"))
 
 
-@query("j1_resolve_references", f"WITH {DOCS}, {CITING_SQL} SELECT c.doc_id AS source_id, n.doc_id AS target_id, 'catechism_reference' AS relationship_type, cited AS reference FROM cites c JOIN named n ON n.reference = cited")
+@query("j1_resolve_references", f"WITH {DOCS}, {CITING_SQL} SELECT c.doc_id AS source_id, n.doc_id AS target_id, {_by_type(EDGES)} AS relationship_type, cited AS reference FROM cites c JOIN named n ON n.reference = cited")
 def j1(spark, sf):
     return gx.resolve_references(citing(spark, sf)).select("source_id", "target_id", "relationship_type", "reference")
 
 
-@query("j2_orphan_references", f"WITH {DOCS}, {CITING_SQL} SELECT c.doc_id, 'catechism' AS resolver, cited AS reference FROM cites c ANTI JOIN named n ON n.reference = cited WHERE regexp_matches(cited, '^CCC\\s+\\d+$')")
+RESOLVER_OF = {"bible_verse": "scripture", "bible_chapter": "scripture", "catechism": "catechism", "church_father": "church_father"}
+
+
+@query("j2_orphan_references", f"WITH {DOCS}, {CITING_SQL} SELECT c.doc_id, {_by_type(RESOLVER_OF)} AS resolver, cited AS reference FROM cites c ANTI JOIN named n ON n.reference = cited WHERE NOT regexp_matches(cited, '(CCC|:) ?-')")
 def j2(spark, sf):
-    return gx.orphan_references(citing(spark, sf)).where("resolver = 'catechism'")
+    return gx.orphan_references(citing(spark, sf))
 
 
-@query("t9_build_graph", f"WITH {DOCS}, {CITING_SQL} SELECT c.doc_id AS source_id, n.doc_id AS target_id FROM cites c JOIN named n ON n.reference = cited")
+@query("t9_build_graph", f"WITH {DOCS}, {CITING_SQL} SELECT doc_id AS source_id, doc_id - CASE WHEN doc_id % 8 < 4 THEN 4 ELSE 8 END AS target_id FROM docs WHERE doc_id - CASE WHEN doc_id % 8 < 4 THEN 4 ELSE 8 END IN (SELECT doc_id FROM docs)")
 def t9(spark, sf):
+    first = gx.resolve_references(citing(spark, sf, 8))  # the references of half of the documents have changed since
     docs = citing(spark, sf)
-    first = gx.resolve_references(docs)
-    return gx.update_graph(first, docs, docs.where("doc_id % 8 = 2")).select("source_id", "target_id")
+    return gx.update_graph(first, docs, docs.where("doc_id % 8 < 4")).select("source_id", "target_id")
 
 
 # the engine
@@ -431,10 +469,19 @@ def w6(spark, sf):
     return rt.pack_context(ranked, 8, 2500).select("query_id", "doc_id", *long_("position"))
 
 
-@query("t5_retrieve", f"WITH RECURSIVE {RERANK_SQL}, {PACK_SQL} SELECT query_id, unnest(ids) AS doc_id FROM fold QUALIFY i = max(i) OVER (PARTITION BY query_id)")
+CANDIDATE_SQL = "cand AS (SELECT query_id, doc_id, max(v) AS v, max(l) AS l FROM (SELECT query_id, doc_id, score AS v, NULL::DOUBLE AS l FROM vec UNION ALL SELECT query_id, doc_id, NULL, score FROM lex) GROUP BY 1, 2)"
+RETRIEVE_SQL = f"""{DOCS}, {CITING_SQL}, {VECTOR_SQL}, {LEXICAL_SQL}, {CANDIDATE_SQL}, kept AS (SELECT cand.* FROM cand JOIN docs USING (doc_id) WHERE lang = 'en'),
+ties AS (SELECT c.doc_id AS source_id, n.doc_id AS target_id FROM cites c JOIN named n ON n.reference = cited),
+near AS (SELECT source_id AS seed, target_id AS other FROM ties UNION SELECT target_id, source_id FROM ties),
+grown AS (SELECT DISTINCT query_id, other AS doc_id, 1 AS g FROM kept JOIN near ON seed = doc_id),
+fz AS (SELECT query_id, doc_id, round(coalesce(0.45::DOUBLE * v, 0) + coalesce(0.25::DOUBLE * l, 0) + coalesce(0.15::DOUBLE * 0.85::DOUBLE * g, 0), 6) AS score FROM kept FULL JOIN grown USING (query_id, doc_id)),
+rr AS (SELECT query_id, doc_id, round(score + 0.05::DOUBLE * CASE source_type WHEN 'bible_chapter' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score, content FROM fz JOIN docs USING (doc_id))"""
+
+
+@query("t5_retrieve", f"WITH RECURSIVE {RETRIEVE_SQL}, {PACK_SQL} SELECT query_id, unnest(ids) AS doc_id FROM fold QUALIFY i = max(i) OVER (PARTITION BY query_id)")
 def t5(spark, sf):
-    profile = rt.PROFILES["ai_answer"].override(graph_depth=0)
-    return rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), None, profile).select("query_id", "doc_id")
+    edges = gx.resolve_references(citing(spark, sf)).withColumn("edge_id", F.col("source_id"))
+    return rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), edges, rt.PROFILES["ai_answer"], {"language": "en"}).select("query_id", "doc_id")
 
 
 # answers
@@ -484,7 +531,16 @@ def h18(spark, sf):
     return an.score_answers(an.validate_answers(_answers(spark, sf))).select("conv_id", "turn", "citation_coverage", "faithfulness", "completeness")
 
 
-@query("t7_answer")
+_A = an.NO_EVIDENCE.replace("'", "''")
+ANSWER_SQL = f"""{DOCS}, {VECTOR_SQL}, {LEXICAL_SQL}, {CANDIDATE_SQL},
+rr AS (SELECT query_id, doc_id, round(coalesce(0.5::DOUBLE * v, 0) + coalesce(0.45::DOUBLE * l, 0), 6) AS score, content FROM cand JOIN docs USING (doc_id)),
+{PACK_SQL.replace("2500", "2000").replace("len(ids) < 8", "len(ids) < 10")},
+used AS (SELECT query_id, unnest(ids) AS doc_id FROM fold QUALIFY i = max(i) OVER (PARTITION BY query_id)),
+sums AS (SELECT query_id, count(*) AS n, avg(least(1.0::DOUBLE, score)) AS r, avg(CASE source_type WHEN 'bible_chapter' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END) AS a FROM used JOIN rr USING (query_id, doc_id) JOIN docs USING (doc_id) GROUP BY 1)"""
+
+
+@query("t7_answer", f"""WITH RECURSIVE {ANSWER_SQL} SELECT query_id, '{_A}' AS answer, coalesce(n, 0) AS citations, true AS valid, CASE WHEN n > 0 THEN '{an.UNCITED}' ELSE '{an.NO_SOURCES}' END AS warnings,
+  coalesce(round(least(1.0::DOUBLE, 0.45::DOUBLE * r + 0.25::DOUBLE * least(1.0::DOUBLE, n / 3) + 0.2::DOUBLE * a), 4), 0) AS confidence FROM asks LEFT JOIN sums USING (query_id)""")
 def t7(spark, sf):
     docs, q = ad.documents(spark, sf), asks(spark, sf)
     context = rt.retrieve(q, docs, held(spark, sf), None, rt.PROFILES["search"])
