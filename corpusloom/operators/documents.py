@@ -129,11 +129,13 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table after the upsert, with status created, updated, skipped or kept.
 
     Rows match on source type, source name and reference. A null in incoming leaves the
-    value that is there. A change makes the embedding pending again.
+    value that is there. A change makes the embedding pending again. Of incoming rows that
+    repeat a key the last one stands, by file_path and position where there are such columns.
     """
     values = ["title", "content", "tradition", "metadata"]
     rest = [c for c in existing.columns if c not in [*KEY, *values, "embedding_status"]]
-    incoming = incoming.dropDuplicates(KEY)
+    later = F.struct(*[c for c in ("file_path", "position") if c in incoming.columns], F.xxhash64(*values))
+    incoming = incoming.groupBy(*KEY).agg(F.max_by(F.struct(*values), later).alias("__v")).select(*KEY, "__v.*")
     right = incoming.select(*[F.col(c).alias(f"__{c}") for c in [*KEY, *values]], F.lit(True).alias("__new"))
     same_key = [F.col(c) == F.col(f"__{c}") for c in KEY]
     joined = existing.withColumn("__old", F.lit(True)).join(right, same_key, "full")

@@ -38,19 +38,28 @@ def checksum_files(raw: DataFrame) -> DataFrame:
     return raw.withColumn("checksum", F.sha2(F.col("value").cast("binary"), 256))
 
 
-def detect_source(raw: DataFrame) -> DataFrame:
-    """Adds importer: bible, catechism, church_fathers or null; the first that fits."""
-    name = F.lower("file_name")
-    parsed = F.get_json_object
-    has = lambda key: parsed("value", f"$.{key}").isNotNull()
-    json_ = F.endswith(name, F.lit(".json"))
-    named = lambda *parts: F.coalesce(*[F.when(F.contains(name, F.lit(p)), F.lit(True)) for p in parts], F.lit(False))
-    importer = (
-        F.when(json_ & (named("bible") | has("books") | (has("book") & has("verses"))), "bible")
-        .when(named("catechism") | (json_ & (has("paragraphs") | has("lessons"))), "catechism")
-        .when(named("father") | (json_ & (has("sections") | has("author"))), "church_fathers")
-    )
-    return raw.withColumn("importer", importer)
+def _has(*keys: str) -> Column:
+    """A JSON file with one of the keys at its top."""
+    found = F.lit(False)
+    for k in keys:
+        found = found | F.get_json_object("value", f"$.{k}").isNotNull()
+    return _json() & found
+
+
+def _json() -> Column:
+    return F.endswith(F.lower("file_name"), F.lit(".json"))
+
+
+def _named(part: str) -> Column:
+    return F.contains(F.lower("file_name"), F.lit(part))
+
+
+def detect_source(raw: DataFrame, importers: tuple[Importer, ...] | None = None) -> DataFrame:
+    """Adds importer: the name of the first importer that supports the file, or null."""
+    name = F.lit(None).cast("string")
+    for i in reversed(IMPORTERS if importers is None else importers):
+        name = F.when(i.supports(), i.name).otherwise(name)
+    return raw.withColumn("importer", name)
 
 
 def skip_unchanged(files: DataFrame, manifests: DataFrame, force: bool = False) -> DataFrame:
@@ -99,7 +108,18 @@ def bible_documents(verses: DataFrame, tradition: str = "catholic") -> DataFrame
     return single.unionByName(chapters.select("file_path", *_document("bible_chapter", name, cref, cref, F.col("content"), tradition, cmeta)))
 
 
-SCRIPTURE_MENTION = r"\b(?:[1-3]\s)?[A-Z][a-z]+\s\d+:\d+(?:[-–]\d+)?\b"
+# Books that a mention in running text can name.
+SCRIPTURE_BOOKS = (
+    "Genesis", "Exodus", "Leviticus", "Numbers", "Deuteronomy", "Joshua", "Judges", "Ruth", "Matthew", "Mark", "Luke", "John",
+    "Acts", "Romans", "Philippians", "Ephesians", "Corinthians", "Galatians", "Hebrews", "James", "Peter", "Jude", "Revelation",
+)
+
+
+def scripture_mention(books: tuple[str, ...] = SCRIPTURE_BOOKS) -> str:
+    return r"(?i)\b(?:[1-3]\s+)?(?:" + "|".join(books) + r")\s+\d+:\d+(?:[-–]\d+)?"
+
+
+SCRIPTURE_MENTION = scripture_mention()
 
 
 def read_catechism_json(raw: DataFrame, tradition: str = "catholic") -> DataFrame:
@@ -179,11 +199,13 @@ def replace_slice(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 @dataclass(frozen=True)
 class Importer:
-    """A source family: how to read its files, and which rows are wrong."""
+    """A source family: which files are its own, how to read them, which rows are wrong."""
 
     name: str
     read: Callable[[DataFrame], DataFrame]
     errors: Callable[[DataFrame], DataFrame] | None = None
+    supports: Callable[[], Column] = lambda: F.lit(False)
+    """Condition over file_name and value"""
 
 
 def _verse_errors(raw: DataFrame) -> DataFrame:
@@ -205,41 +227,60 @@ def _content_errors(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFra
 
 
 IMPORTERS = (
-    Importer("bible", lambda raw: bible_documents(read_bible_json(raw)), _verse_errors),
-    Importer("catechism", read_catechism_json, _content_errors(read_catechism_json)),
-    Importer("church_fathers", read_fathers_json, _content_errors(read_fathers_json)),
+    Importer("bible", lambda raw: bible_documents(read_bible_json(raw)), _verse_errors, lambda: _json() & _named("bible") | _has("books") | (_has("book") & _has("verses"))),
+    Importer("catechism", read_catechism_json, _content_errors(read_catechism_json), lambda: _named("catechism") | _json() & _named("ccc") | _has("paragraphs", "lessons")),
+    Importer("church_fathers", read_fathers_json, _content_errors(read_fathers_json), lambda: _named("father") | _has("sections", "author")),
 )
 
 
 def verify_sources(raw: DataFrame, importers: tuple[Importer, ...] = IMPORTERS) -> DataFrame:
     """(file_path, status, errors): verified, unsupported or failed."""
-    routed = detect_source(raw)
-    errors = None
+    routed = detect_source(raw, importers)
+    errors = raw.limit(0).select("file_path", F.lit("").alias("reference"), F.lit("").alias("error"))
     for i in importers:
+        if i.errors is None:
+            continue
         own = routed.where(F.col("importer") == i.name)
-        part = i.errors(own)
-        errors = part if errors is None else union_by(["file_path"], errors, part)
+        errors = union_by(["file_path"], errors, i.errors(own))
     grouped = errors.groupBy("file_path").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "reference", "error"))).alias("errors"))
     out = routed.select("file_path", "importer").join(grouped, "file_path", "left")
     status = F.when(F.col("importer").isNull(), "unsupported").when(F.size("errors") > 0, "failed").otherwise("verified")
     return out.select("file_path", status.alias("status"), F.coalesce("errors", F.array().cast(_REFS)).alias("errors"))
 
 
+def running_manifests(files: DataFrame) -> DataFrame:
+    """Import attempts that have begun, to be written before the import."""
+    return files.select("file_path", "checksum", "importer", F.lit("running").alias("status"), F.current_timestamp().alias("started_at"))
+
+
+def changed_documents(upserted: DataFrame) -> DataFrame:
+    """The documents of an import that are to be embedded."""
+    return upserted.where(F.col("status").isin("created", "updated"))
+
+
 def import_sources(raw: DataFrame, existing: DataFrame, manifests: DataFrame, importers: tuple[Importer, ...] = IMPORTERS, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents after the upsert with their status, import attempts) of scanned files.
 
     Files without changes since a completed import are skipped; any error rejects its
-    whole file.
+    whole file. An attempt counts its file's records: total, created, updated, skipped,
+    failed. Of records that repeat a key the last one stands, by file and place.
     """
-    from corpusloom.operators.documents import upsert_documents
+    from corpusloom.operators.documents import KEY, upsert_documents
 
-    files = skip_unchanged(detect_source(checksum_files(raw)).where("importer is not null"), manifests, force)
+    files = skip_unchanged(detect_source(checksum_files(raw), importers).where("importer is not null"), manifests, force)
     checked = verify_sources(files.drop("importer"), importers)
     good = files.join(checked.where("status = 'verified'").select("file_path"), "file_path", "left_semi")
-    incoming = None
+    incoming = every = None
     for i in importers:
         part = i.read(good.where(F.col("importer") == i.name))
         incoming = part if incoming is None else incoming.unionByName(part)
-    upserted = upsert_documents(existing, incoming.drop("file_path"))
-    attempts = files.select("file_path", "checksum", "importer").join(checked, "file_path").select("file_path", "checksum", "importer", F.when(F.col("status") == "verified", "completed").otherwise("failed").alias("status"), F.array_join("errors", "; ").alias("error_message"), F.current_timestamp().alias("finished_at"))
-    return upserted, attempts
+        records = i.read(files.where(F.col("importer") == i.name)).groupBy("file_path").agg(F.count("*").alias("total_records"))
+        every = records if every is None else every.unionByName(records)
+    upserted = upsert_documents(existing, incoming)
+    told = incoming.select("file_path", *KEY).join(upserted.select(*KEY, "status"), KEY)
+    counts = told.groupBy("file_path").agg(*[F.count_if(F.col("status") == x).alias(f"{x}_records") for x in ("created", "updated", "skipped")])
+    failed = checked.withColumn("error_message", F.array_join("errors", "; ")).withColumn("status", F.when(F.col("status") == "verified", "completed").otherwise("failed"))
+    attempts = files.select("file_path", "checksum", "importer").join(failed, "file_path").join(every, "file_path", "left").join(counts, "file_path", "left")
+    names = ["total_records", "created_records", "updated_records", "skipped_records"]
+    attempts = attempts.fillna(0, names).withColumn("failed_records", F.when(F.col("status") == "failed", F.greatest("total_records", F.size("errors"))).otherwise(0).cast("long"))
+    return upserted, attempts.select("file_path", "checksum", "importer", "status", "error_message", *names, "failed_records", F.current_timestamp().alias("finished_at"))

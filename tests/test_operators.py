@@ -209,8 +209,36 @@ def test_import_is_idempotent(spark, tmp_path):
     assert json.loads(father.metadata)["scripture_references"] == ["John 1:14"] and json.loads(father.metadata)["author_key"] == "augustine"
     left = ig.skip_unchanged(ig.detect_source(ig.checksum_files(raw)), spark.read.parquet(str(tmp_path / "manifests"))).where("importer is not null")
     assert [r.file_name for r in left.collect()] == ["bad-bible.json"]
-    again, _ = ig.import_sources(raw, kept, manifests)
-    assert {r.status for r in again.collect()} == {"skipped"}
+    again, second = ig.import_sources(raw, kept, manifests)
+    assert {r.status for r in again.collect()} == {"skipped"} and ig.changed_documents(again).count() == 0
+    names = ["total_records", "created_records", "updated_records", "skipped_records", "failed_records"]
+    counted = lambda attempts: {r.file_path.rsplit("/", 1)[1]: tuple(r[n] for n in names) for r in attempts.collect()}
+    first = counted(spark.read.parquet(str(tmp_path / "manifests")))
+    assert first["bible.json"] == (5, 5, 0, 0, 0) and first["bad-bible.json"][1:4] == (0, 0, 0) and first["bad-bible.json"][4] > 0
+    assert counted(second)["fathers.json"] == (1, 0, 0, 1, 0)
+    assert {r.status for r in ig.running_manifests(left).collect()} == {"running"}
+
+
+def test_added_importer_and_known_books(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "hymns.json").write_text(json.dumps({"hymn": "One"}))
+    mine = ig.Importer("hymns", lambda raw: raw, None, lambda: ig._has("hymn"))
+    raw = ig.scan_sources(spark, str(tmp_path / "in"))
+    assert ig.detect_source(raw).first().importer is None
+    assert ig.detect_source(raw, (*ig.IMPORTERS, mine)).first().importer == "hymns"
+    assert ig.verify_sources(raw, (*ig.IMPORTERS, mine)).first().status == "verified"
+    text = frame(spark, [("Chapter 3:4 and 1 Corinthians 13:4-7, John 1:14",)], "t string")
+    assert text.select(tx.extract_references(F.col("t"), ig.SCRIPTURE_MENTION)).first()[0] == ["1 Corinthians 13:4-7", "John 1:14"]
+
+
+def test_search_syntax_and_filters(spark):
+    docs = frame(spark, [(1, "a", "R1", "law", "the law of faith"), (2, "b", "R2", "x", "grace and faith"), (3, "b", "R3", "x", "faith of law")], "doc_id long, source_type string, reference string, title string, content string")
+    docs = docs.withColumns({"source_name": F.lit("s"), "tradition": F.lit("t"), "metadata": F.format_string('{"book": "%s"}', F.col("reference"))})
+    found = lambda q, **more: [r.doc_id for r in sx.lexical_search(frame(spark, [(1, q)], "query_id long, query string"), docs, 5, **more).orderBy("rank").collect()]
+    assert set(found("faith -grace")) == {1, 3} and found('"law of faith"') == [1] and set(found("grace or law")) == {1, 2, 3}
+    assert found('"faith of" or grace -law') == [2] and found("-law") == []
+    assert found("faith", filters={"source_types": ["b"]}) == [2, 3] and found("faith", filters={"book": "R3"}) == [3]
+    assert found("laws", normalize=lambda t: F.regexp_replace(t, "s$", "")) != [] and found("laws") == []
 
 
 def test_highlight_and_author(spark):
@@ -236,3 +264,18 @@ def test_ann_recall(spark):
     exact = {(r.query_id, r.doc_id) for r in sx.semantic_search(q, v, 10).collect()}
     near = {(r.query_id, r.doc_id) for r in sx.ann_search(q, v, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_ann_prunes_grouped_vectors(spark):
+    import random
+
+    r = random.Random(3)
+    centres = [[r.gauss(0, 1) for _ in range(32)] for _ in range(20)]
+    rows = [(i, [x + r.gauss(0, 0.3) for x in centres[i % 20]]) for i in range(1000)] + [(1000, [0.0] * 32)]
+    v = frame(spark, rows, "doc_id long, vector array<double>")
+    q = v.where("doc_id % 50 = 0 and doc_id < 1000").withColumnRenamed("doc_id", "query_id")
+    asked, held = sx.probed_clusters(q, v, 16, 3, 500)
+    assert held.count() == 1001 and asked.join(held.groupBy("cluster").count(), "cluster").agg(F.sum("count")).first()[0] < 0.5 * 20 * 1001
+    exact = {(x.query_id, x.doc_id) for x in sx.semantic_search(q, v, 10).collect()}
+    near = {(x.query_id, x.doc_id) for x in sx.ann_search(q, v, 10, probes=3).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
