@@ -4,9 +4,10 @@ The dimensions are split into parts, and a part gives each query one list of loc
 a vector's score is the sum of its entries in all lists. Lists are held apart: a task has
 one part of the dimensions of one block of queries and one shard of vectors.
 
-1. Each list sends its k best entries and its least entry. What is known of a vector, and
-   the least entry of each list that did not name it, bound its score from below; the k-th
-   best of these bounds is a cutoff that is safe, as k vectors reach it.
+1. Each list sends its best entries, five times k. The vectors that they name get their
+   remaining scores from the other lists, and the k-th best whole score is a cutoff that is
+   safe, as k vectors reach it. (Bounds from the least entries of the other lists, which
+   spare that step, are useless for scores of either sign: half of all entries passed.)
 2. Each list gets the cutoffs t of its queries and sends the entries of at least t / parts.
    A score that reaches t has such an entry in some list, so these are sufficient.
 3. A vector that some lists named has its remaining scores asked for, from those lists
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 
 PARTS = 2
 LARGE, MOST = 2.0**20, 1 << 60
-ENTRY = "qrow long, shard int, part int, vrow long, score long, least long"
+ENTRY = "qrow long, shard int, part int, vrow long, score long"
+#: Best entries that a list sends first, in multiples of k.
+FIRST = 5
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -106,17 +109,16 @@ def _entries(k: int, scale: float, phase: int):
                     score = np.einsum("ij,ij->i", q.small[low + rows], v.small[at]).astype(np.int64)
                     odd = np.flatnonzero(np.isin(low + rows, q.large) | np.isin(at, v.large))
                     score[odd] = [_product(q.whole(low + rows[o]), v.whole(at[o])) for o in odd.tolist()]
-                    least = np.zeros(len(at), np.int64)
                 else:
                     local = local_scores(q, low, high, v)
                     wanted = local >= cutoff[low:high, None] if phase == 2 else np.zeros(local.shape, bool)
                     if phase == 1:
-                        n = min(k + 1, len(vrow))  # one more, as the query's own row may be among them
+                        n = min(FIRST * k + 1, len(vrow))  # one more, as the query's own row may be among them
                         wanted[np.arange(high - low)[:, None], np.argpartition(-local, n - 1, axis=1)[:, :n]] = True
                     rows, at = np.nonzero(wanted)
-                    score, least = local[rows, at], local.min(axis=1)[rows]
-                out.append((qrow[low + rows], vrow[at], score, least))
-        found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+                    score = local[rows, at]
+                out.append((qrow[low + rows], vrow[at], score))
+        found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         n = len(found[0])
         columns = [found[0], np.full(n, key[1].as_py()), np.full(n, key[2].as_py()), *found[1:]]
         return pa.table({c.split()[0]: pa.array(x, pa.int32() if "int" in c.split() else pa.int64()) for c, x in zip(ENTRY.split(", "), columns, strict=True)})
@@ -126,7 +128,7 @@ def _entries(k: int, scale: float, phase: int):
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    scale: float = 64.0, block: int = 4096, shard: int = 16384, parts: int = PARTS,
+    scale: float = 64.0, block: int = 1024, shard: int = 8192, parts: int = PARTS,
 ) -> DataFrame:
     """The k best other rows for every row for which is_query holds.
 
@@ -160,29 +162,38 @@ def top_k(
         return written(sent, name)
 
     best = lambda by: W.partitionBy("qrow").orderBy(*by)
-    one = lists(queries, 1, "best-entries")
-    floor = one.groupBy("qrow", "shard", "part").agg(F.first("least").alias("least")).groupBy("qrow", "shard").agg(F.sum("least").alias("floor"))
-    gains = one.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum(F.col("score") - F.col("least")).alias("gain"))
-    bounds = gains.join(floor, ["qrow", "shard"]).select("qrow", (F.col("floor") + F.col("gain")).alias("bound"))
-    ranked = bounds.withColumn("n", F.row_number().over(best([F.desc("bound")]))).where(F.col("n") <= k)
+    made = []
+
+    def named_by(entries: DataFrame) -> DataFrame:
+        """(qrow, shard, vrow, known, missing) of the vectors that some lists named."""
+        made.append(entries)
+        sums = entries.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum("score").alias("known"), F.collect_set("part").alias("parts"))
+        return sums.withColumn("missing", F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), "parts")).drop("parts")
+
+    def resolved(named: DataFrame, name: str) -> DataFrame:
+        """named with the whole score, the missing parts of which the lists are asked for."""
+        named = written(named, f"{name}-named")
+        ask = named.select("qrow", "shard", "vrow", F.explode("missing").alias("part")).groupBy("qrow", "shard", "part").agg(F.collect_list("vrow").alias("asked"))
+        answers = lists(queries.join(ask, ["qrow", "shard", "part"]), 3, f"{name}-remaining")
+        made.extend([named, answers])
+        rest = answers.groupBy("qrow", "vrow").agg(F.sum("score").alias("rest"))
+        return named.join(rest, ["qrow", "vrow"], "left").withColumn("score", F.col("known") + F.coalesce("rest", F.lit(0).cast("long")))
+
+    first_scores = resolved(named_by(lists(queries, 1, "best-entries")), "best")
+    ranked = first_scores.withColumn("n", F.row_number().over(best([F.desc("score")]))).where(F.col("n") <= k)
     # fewer than k vectors in all: every entry is wanted
-    cutoffs = ranked.groupBy("qrow").agg(F.when(F.count("*") >= k, F.min("bound")).alias("t")).where("t is not null")
+    cutoffs = ranked.groupBy("qrow").agg(F.when(F.count("*") >= k, F.min("score")).alias("t")).where("t is not null")
     cutoffs = written(cutoffs.select("qrow", "t", F.expr(f"if(t % {parts} > 0, t div {parts} + 1, t div {parts})").alias("cutoff")), "cutoffs")
 
     lowest = F.lit(-(1 << 62)).cast("long")
     two = lists(queries.join(cutoffs, "qrow", "left").withColumn("cutoff", F.coalesce("cutoff", lowest)), 2, "sufficient-entries")
-    named = two.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum("score").alias("known"), F.collect_set("part").alias("parts"))
-    named = named.join(cutoffs, "qrow", "left").where(F.col("t").isNull() | (F.col("known") + (parts - F.size("parts")) * (F.col("cutoff") - 1) >= F.col("t")))
-    named = written(named.select("qrow", "shard", "vrow", "known", "t", F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), "parts").alias("missing")), "named")
-    ask = named.select("qrow", "shard", "vrow", F.explode("missing").alias("part")).groupBy("qrow", "shard", "part").agg(F.collect_list("vrow").alias("asked"))
-    three = lists(queries.join(ask, ["qrow", "shard", "part"]), 3, "remaining-scores")
-    rest = three.groupBy("qrow", "vrow").agg(F.sum("score").alias("rest"))
-    scored = named.join(rest, ["qrow", "vrow"], "left").withColumn("score", F.col("known") + F.coalesce("rest", F.lit(0).cast("long")))
+    named = named_by(two).join(cutoffs, "qrow", "left").where(F.col("t").isNull() | (F.col("known") + F.size("missing") * (F.col("cutoff") - 1) >= F.col("t")))
+    scored = resolved(named, "sufficient")
     scored = scored.where(F.col("t").isNull() | (F.col("score") >= F.col("t")))
     label = lambda row, id_: rows.select(F.col("row").alias(row), F.col("vec_id").alias(id_))
     told = scored.select("qrow", "vrow", "score").join(label("vrow", "vec_id"), "vrow")
     ordered = told.withColumn("rank", F.row_number().over(best([F.desc("score"), "vec_id", "vrow"]))).where(F.col("rank") <= k)
     out = ordered.join(label("qrow", "query_id"), "qrow").select("query_id", "rank", "vec_id", "score", F.col("qrow").alias("query_row"))
     out = written(out, "answers")
-    dropped(rows, one, cutoffs, two, named, three)
+    dropped(rows, cutoffs, *made)
     return out
