@@ -11,7 +11,8 @@ assistant text is trained on once.
 A turn longer than ``history`` stands in a window of its own; only a turn (with its
 system turn) that is longer than the budget makes a window exceed it, as turns are never
 cut. Running sums are taken within slices of a conversation and then over the slices, so
-one conversation with most of the rows is spread over tasks.
+one conversation with most of the rows is spread over tasks; its windows are counted in the
+same way, before they have texts.
 
 Turns are ordered by turn, role and text, nulls first. Null texts and roles are empty;
 turns of a null conversation form one conversation. Repeated rows are turns of their own.
@@ -60,9 +61,9 @@ def _with_tokens(path: str):
     return run
 
 
-def _running(turns: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def _running(turns: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = ("turn", "role", "text", "tokens")) -> DataFrame:
     """turns with the sums of all earlier turns of the conversation (without the turn itself)."""
-    order = W.partitionBy("conv_id", "slice").orderBy("turn", "role", "text", "tokens").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("conv_id", "slice").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy("conv_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     slices = turns.groupBy("conv_id", "slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
@@ -101,13 +102,17 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     common = ["conv_id", "span", "place", "role", "text", "tokens"]
     leads = spans.where("first > 0").select("conv_id", "span").join(systems, F.col("conv_id").eqNullSafe(F.col("_conv")))
     leads = leads.select("conv_id", "span", F.lit(-1).cast("long").alias("place"), F.lit("system").alias("role"), F.col("system_text").alias("text"), F.col("system").alias("tokens"))
-    told = lambda df, new: df.select(*common).withColumn("new", F.lit(new))
-    rows = union_by(["conv_id", "span"], told(new, True), told(past, False), told(leads, False))
+    told = lambda df, new: df.select(*common, F.lit(new).alias("new"), F.lit(None).cast("long").alias("window"))
+    # windows are counted before they have texts; a window's number comes as a row without a turn
+    counted = _running(spans.select("conv_id", "span", "first", F.floor(F.col("first") / SLICE).alias("slice")), {"window": F.lit(1).cast("long")}, ("first",))
+    none = lambda c: F.lit(None).cast(dict(new.dtypes)[c]).alias(c)
+    numbers = counted.select("conv_id", "span", *[none(c) for c in common[2:]], F.lit(None).cast("boolean").alias("new"), "window")
+    rows = union_by(["conv_id", "span"], told(new, True), told(past, False), told(leads, False), numbers)
 
     text = escaped(F.col("text"))
     head = F.concat(F.lit(BEGIN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
     part = F.struct("place", head.alias("head"), text.alias("body"), "new", (F.col("new") & (F.col("role") == "assistant")).alias("loss"))
-    packed = rows.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("new")).alias("context_turns"), F.count_if("new").alias("n_turns"), F.min(F.when(F.col("new"), F.col("place"))).alias("first"))
+    packed = rows.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), part))).alias("parts"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("new")).alias("context_turns"), F.count_if("new").alias("n_turns"), F.max("window").alias("window"))
     whole = F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))))
     empty = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
@@ -116,8 +121,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
         found = F.struct(at.cast("long").alias("start"), size.cast("long").alias("length"))
         return F.struct((at + size + len(END) + 1).cast("long").alias("at"), F.when(p["loss"], F.concat(s["spans"], F.array(found))).otherwise(s["spans"]).alias("spans"))
 
-    number = F.row_number().over(W.partitionBy("conv_id").orderBy("first")) - 1
-    return packed.select("conv_id", number.alias("window"), "context_turns", "n_turns", "tokens", whole.alias("formatted"), F.aggregate("parts", empty, step)["spans"].alias("loss"))
+    return packed.select("conv_id", "window", "context_turns", "n_turns", "tokens", whole.alias("formatted"), F.aggregate("parts", empty, step)["spans"].alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -193,5 +193,6 @@ def test_chat_round_trip(spark):
     assert got == {c: digests(t) for c, t in groups.items()}
     kept = [r for r in windows.collect() if r.conv_id == 2]
     assert len(kept) > 30 and all(r.tokens <= 256 for r in kept)
+    assert sorted(r.window for r in kept) == list(range(len(kept)))
     assert all("<|im_start|>system\nbe kind<|im_end|>" in r.formatted for r in kept) and any(r.context_turns > 1 for r in kept)
     assert chat.digest(chat.format_conversations(turns.limit(0))).collect() == []
