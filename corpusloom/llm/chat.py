@@ -10,9 +10,11 @@ assistant text is trained on once.
 
 A turn longer than ``history`` stands in a window of its own; only a turn (with its
 system turn) that is longer than the budget makes a window exceed it, as turns are never
-cut. Running sums are taken within slices of a conversation and then over the slices, so
-one conversation with most of the rows is spread over tasks; its windows are counted in the
-same way, before they have texts.
+cut. A conversation is cut into slices of 128 turn numbers, and a window's new turns are
+of one slice, so one conversation with most of the rows is spread over tasks. A slice is
+sent the system turn and the last 4 turns of the slice before it, and the number of windows
+before it, which is counted ahead. Texts are dealt once, by slice: windows are made where
+their turns lie. Only those of several slices are read twice.
 
 Turns are ordered by turn, role and text, nulls first. Null texts and roles are empty;
 turns of a null conversation form one conversation. Repeated rows are turns of their own.
@@ -37,6 +39,13 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (BEGIN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
 BUDGET, HISTORY, HISTORY_TURNS, TURN_COST = 2048, 512, 4, 4
 SLICE = 128
+#: Columns that name a conversation (lost: it has no id), a slice of it, and a turn.
+CONV = ["lost", "conv"]
+SLICED = [*CONV, "slice"]
+TURN = [*SLICED, "turn", "role", "text"]
+#: Rows of a slice, in this order: a note that other slices come before it, the leading system
+#: turn and the last turns of slices before it, its own turns.
+SLICE_INFO, LEAD, PAST, OWN = range(4)
 
 
 def escaped(text: Column) -> Column:
@@ -55,22 +64,42 @@ def _with_tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            n = [len(ids) + TURN_COST for ids in tokenizer.encode(batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["conv_id", "turn", "role", "text", "tokens"])
+            n = [len(ids) + TURN_COST for ids in tokenizer.encode(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tokens"])
 
     return run
 
 
-def _running(turns: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = ("turn", "role", "text", "tokens")) -> DataFrame:
-    """turns with the sums of all earlier turns of the conversation (without the turn itself)."""
-    order = W.partitionBy("conv_id", "slice").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy("conv_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    slices = turns.groupBy("conv_id", "slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    slices = slices.select(F.col("conv_id").alias("_conv"), F.col("slice").alias("_slice"), *[F.coalesce(F.sum(f"_{n}").over(earlier), zero).alias(f"_{n}") for n in sums])
-    inner = turns.withColumns({n: F.coalesce(F.sum(c).over(order), zero) for n, c in sums.items()})
-    joined = inner.join(slices, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("slice") == F.col("_slice")))
-    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_conv", "_slice", *[f"_{n}" for n in sums])
+def _count(condition: Column) -> Column:
+    return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def _windows(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """rows of slices with the window that each turn is new in, and what later windows need.
+
+    rows are turns of a slice (kind OWN) and what other slices send it (SLICE_INFO, LEAD, PAST).
+    """
+    order = W.partitionBy(*SLICED).orderBy("kind", "at", "turn", "role", "text")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    total = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0).cast("long"))
+    own = F.col("kind") == OWN
+    rows = rows.withColumns({"later": F.max(F.col("kind") == SLICE_INFO).over(upto), "owns": total(_count(own), before)})
+    opens = own & (F.col("owns") == 0) & ~F.col("later") & (F.col("role") == "system")
+    rows = rows.withColumn("lead", opens | (F.col("kind") == LEAD))
+    fresh = own & ~F.col("lead")
+    big = fresh & (F.col("tokens") > history)
+    rows = rows.withColumns({
+        "place": F.row_number().over(order),
+        "system": F.coalesce(F.max(F.when(F.col("lead"), F.col("tokens"))).over(upto), F.lit(0).cast("long")),
+        "sum": total(F.when(~F.col("lead"), F.col("tokens")), before),
+        "small": total(F.when(fresh & ~big, F.col("tokens")), before),
+        "bigs": total(_count(big), before),
+    })
+    room = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(history))
+    part = F.when(big | F.col("lead"), F.lit(0).cast("long")).otherwise(F.floor(F.col("small") / room))
+    rows = rows.withColumn("span", F.when(own, F.struct((2 * F.col("bigs") + _count(big)).alias("bigs"), part.alias("part"))))
+    rows = rows.withColumn("starts", own & ~F.lag("span").over(order).eqNullSafe(F.col("span")))
+    return rows.withColumn("window", total(_count(F.col("starts")), upto) - 1)
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer_path: str | None = None) -> DataFrame:
@@ -80,48 +109,77 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     others; loss is an array of (start, length) in code points of formatted, from 1.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
-    turns = turns.mapInArrow(_with_tokens(tokenizer_path or default_tokenizer()), "conv_id long, turn long, role string, text string, tokens long")
-    turns = written(turns.withColumn("slice", F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 62)).cast("long"))), "turns")
-    placed = _running(turns, {"place": F.lit(1).cast("long")}).withColumn("lead", (F.col("place") == 0) & (F.col("role") == "system"))
-    own = F.when(F.col("lead"), F.lit(0).cast("long")).otherwise(F.col("tokens"))
-    big = ~F.col("lead") & (F.col("tokens") > history)
-    placed = placed.withColumn("own", own).withColumn("big", big)
-    placed = written(_running(placed, {"sum": F.col("own"), "small": F.when(big, 0).otherwise(F.col("own")), "bigs": big.cast("long")}), "placed")
-    systems = placed.where("lead").select(F.col("conv_id").alias("_conv"), F.col("tokens").alias("system"), F.col("text").alias("system_text"))
-    placed = placed.join(systems.drop("system_text"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv").withColumn("system", F.coalesce("system", F.lit(0)))
-    room = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(history))
-    span = F.struct((2 * F.col("bigs") + F.col("big").cast("long")).alias("bigs"), F.when(F.col("big"), 0).otherwise(F.floor(F.col("small") / room)).alias("part"))
-    new = placed.withColumn("span", F.when(F.col("lead"), F.struct(F.lit(0).cast("long").alias("bigs"), F.lit(0).cast("long").alias("part"))).otherwise(span))
-    spans = new.groupBy("conv_id", "span").agg(F.min("place").alias("first"), F.min("sum").alias("from"), F.sum("own").alias("new"), F.max("system").alias("system"))
-    # repeated history: the turns just before a window, while the budget lasts
-    back = F.explode(F.sequence(F.greatest(F.col("first") - HISTORY_TURNS, F.lit(0)), F.col("first") - 1))
-    asked = spans.where("first > 0").withColumn("place", back).select(F.col("conv_id").alias("_conv"), "span", "place", "from", F.least(F.lit(history), budget - F.col("system") - F.col("new")).alias("free"))
-    text_of = placed.where("not lead").select("conv_id", F.col("place").alias("_place"), "role", "text", "tokens", "sum")
-    past = asked.join(text_of, F.col("_conv").eqNullSafe(F.col("conv_id")) & (F.col("place") == F.col("_place"))).where("from - sum <= free")
-    common = ["conv_id", "span", "place", "role", "text", "tokens"]
-    leads = spans.where("first > 0").select("conv_id", "span").join(systems, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    leads = leads.select("conv_id", "span", F.lit(-1).cast("long").alias("place"), F.lit("system").alias("role"), F.col("system_text").alias("text"), F.col("system").alias("tokens"))
-    told = lambda df, new: df.select(*common, F.lit(new).alias("new"), F.lit(None).cast("long").alias("window"))
-    # windows are counted before they have texts; a window's number comes as a row without a turn
-    counted = _running(spans.select("conv_id", "span", "first", F.floor(F.col("first") / SLICE).alias("slice")), {"window": F.lit(1).cast("long")}, ("first",))
-    none = lambda c: F.lit(None).cast(dict(new.dtypes)[c]).alias(c)
-    numbers = counted.select("conv_id", "span", *[none(c) for c in common[2:]], F.lit(None).cast("boolean").alias("new"), "window")
-    rows = union_by(["conv_id", "span"], told(new, True), told(past, False), told(leads, False), numbers)
-
-    text = escaped(F.col("text"))
-    head = F.concat(F.lit(BEGIN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    part = F.struct("place", head.alias("head"), text.alias("body"), "new", (F.col("new") & (F.col("role") == "assistant")).alias("loss"))
-    packed = rows.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), part))).alias("parts"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("new")).alias("context_turns"), F.count_if("new").alias("n_turns"), F.max("window").alias("window"))
+    conv = F.col("conv_id").cast("long")
+    turns = conversations.select(conv.isNull().alias("lost"), F.coalesce(conv, F.lit(0).cast("long")).alias("conv"), F.col("turn").cast("long").alias("turn"), blank("role"), blank("text"))
+    turns = turns.withColumn("slice", F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 62)).cast("long"))).select(*TURN)
+    counted = lambda df: df.mapInArrow(_with_tokens(tokenizer_path or default_tokenizer()), "lost boolean, conv long, slice long, turn long, role string, text string, tokens long")
+
+    # conversations of several slices: what a slice must know of others
+    along = W.partitionBy(*CONV).orderBy("slice")
+    slices = turns.groupBy(*SLICED).agg(F.count("*").alias("n"))
+    slices = slices.select(*SLICED, F.lag("slice").over(along).alias("before"), F.lead("slice").over(along).alias("after"))
+    slices = written(slices.where("before is not null or after is not null"), "slices")
+    long = written(counted(turns.join(slices.where("before is null").select(*CONV), CONV, "left_semi").select(*TURN)), "long-turns")
+    inside = W.partitionBy(*SLICED)
+    placed = long.withColumns({
+        "ahead": F.row_number().over(inside.orderBy("turn", "role", "text")),
+        "back": F.row_number().over(inside.orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))),
+    }).where(f"ahead = 1 or back <= {HISTORY_TURNS}").join(slices, SLICED)
+    leads = (F.col("ahead") == 1) & F.col("before").isNull() & (F.col("role") == "system")
+    sent = lambda kind, at: [F.lit(kind).alias("kind"), at.cast("int").alias("at"), "turn", "role", "text", "tokens"]
+    lead = placed.where(leads).drop("slice").join(slices.where("before is not null").select(*SLICED), CONV).select(*SLICED, *sent(LEAD, F.lit(0)))
+    past = placed.where(~leads & (F.col("back") <= HISTORY_TURNS) & F.col("after").isNotNull()).select(*CONV, F.col("after").alias("slice"), *sent(PAST, -F.col("back")))
+    nothing = [F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens")]
+    info = slices.where("before is not null").select(*SLICED, F.lit(SLICE_INFO).alias("kind"), F.lit(0).alias("at"), *nothing)
+    given = written(info.unionByName(lead).unionByName(past), "given")
+    # windows of earlier slices
+    own = lambda df: df.select(*SLICED, *sent(OWN, F.lit(0)))
+    numbers = _windows(union_by(SLICED, own(long), given), budget, history).groupBy(*SLICED).agg(F.sum(_count(F.col("starts"))).alias("n"))
+    earlier = F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1))
+    numbers = numbers.select(*SLICED, earlier.alias("base")).where("base > 0")
+
+    base = numbers.select(*SLICED, F.lit(SLICE_INFO).alias("kind"), F.lit(1).alias("at"), *nothing, "base")
+    none = F.lit(None).cast("long").alias("base")
+    rows = _windows(union_by(SLICED, own(counted(turns)).select("*", none), given.select("*", none), base), budget, history)
+    order = W.partitionBy(*SLICED).orderBy("kind", "at", "turn", "role", "text")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({
+        "window": F.col("window") + F.coalesce(F.max("base").over(upto), F.lit(0)),
+        "system_text": F.max(F.when(F.col("lead"), F.col("text"))).over(upto),
+    })
+    # a turn goes to its own window and, as history, to windows that start soon after it
+    step = lambda window, new, gap: F.struct(window.alias("window"), F.lit(new).alias("new"), gap.cast("long").alias("gap"))
+    after = {f"after{j}": F.lead(F.struct("starts", "window", "sum"), j).over(order) for j in range(1, HISTORY_TURNS + 1)}
+    may_repeat = (F.col("kind") >= PAST) & ~F.col("lead")
+    goals = [F.when(F.col("kind") == OWN, step(F.col("window"), True, F.lit(0)))]
+    goals += [F.when(may_repeat & F.col(f"{a}.starts"), step(F.col(f"{a}.window"), False, F.col(f"{a}.sum") - F.col("sum"))) for a in after]
+    given_lead = F.when(F.col("starts") & ~F.col("lead"), F.col("system_text"))
+    rows = rows.withColumns(after).withColumn("given_lead", given_lead).withColumn("goal", F.explode(F.filter(F.array(*goals), lambda g: g.isNotNull())))
+
+    head = lambda role: F.concat(F.lit(BEGIN), F.replace(escaped(role), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    new = F.col("goal.new")
+    part = F.struct("place", head(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), new.alias("new"), (new & (F.col("role") == "assistant")).alias("loss"), "tokens", "goal.gap")
+    fresh = F.coalesce(F.sum(F.when(new & ~F.col("lead"), F.col("tokens"))), F.lit(0))
+    packed = rows.groupBy(*SLICED, F.col("goal.window").alias("window")).agg(F.collect_list(part).alias("parts"), F.max(F.when(new, F.col("given_lead"))).alias("given_lead"), F.max("system").alias("system"), fresh.alias("fresh"))
+    free = F.least(F.lit(history), budget - F.col("system") - F.col("fresh"))
+    repeated = F.struct(F.lit(0).alias("place"), head(F.lit("system")).alias("head"), escaped(F.col("given_lead")).alias("body"), F.lit(False).alias("new"), F.lit(False).alias("loss"), F.col("system").alias("tokens"), F.lit(0).cast("long").alias("gap"))
+    kept = F.array_sort(F.filter("parts", lambda p: p["new"] | (p["gap"] <= F.col("free"))))
+    packed = packed.withColumn("free", free).withColumn("parts", F.when(F.col("given_lead").isNull(), kept).otherwise(F.concat(F.array(repeated), kept)))
+
     whole = F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))))
     empty = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
-    def step(s: Column, p: Column) -> Column:
+    def mask(s: Column, p: Column) -> Column:
         at, size = s["at"] + F.length(p["head"]), F.length(p["body"])
         found = F.struct(at.cast("long").alias("start"), size.cast("long").alias("length"))
         return F.struct((at + size + len(END) + 1).cast("long").alias("at"), F.when(p["loss"], F.concat(s["spans"], F.array(found))).otherwise(s["spans"]).alias("spans"))
 
-    return packed.select("conv_id", "window", "context_turns", "n_turns", "tokens", whole.alias("formatted"), F.aggregate("parts", empty, step)["spans"].alias("loss"))
+    return packed.select(
+        F.when(~F.col("lost"), F.col("conv")).alias("conv_id"), "window",
+        F.size(F.filter("parts", lambda p: ~p["new"])).cast("long").alias("context_turns"), F.size(F.filter("parts", lambda p: p["new"])).cast("long").alias("n_turns"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["tokens"]).alias("tokens"),
+        whole.alias("formatted"), F.aggregate("parts", empty, mask)["spans"].alias("loss"),
+    )
 
 
 def read_turns(formatted: Column) -> Column:

@@ -5,6 +5,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat
@@ -196,3 +197,66 @@ def test_chat_round_trip(spark):
     assert sorted(r.window for r in kept) == list(range(len(kept)))
     assert all("<|im_start|>system\nbe kind<|im_end|>" in r.formatted for r in kept) and any(r.context_turns > 1 for r in kept)
     assert chat.digest(chat.format_conversations(turns.limit(0))).collect() == []
+
+
+def brute_windows(turns, budget, history, sizes):
+    """Windows of one conversation: (context turns, new turns), by the rules of the module."""
+    slices = {}
+    for t in turns:
+        slices.setdefault(t[0] // chat.SLICE, []).append(t)
+    lead = turns[0] if turns[0][1] == "system" else None
+    system = sizes[lead[2]] if lead else 0
+    room = max(budget - history - system, history)
+    out, past = [], []
+    for _, own in sorted(slices.items()):
+        found, small, bigs = {}, 0, 0
+        for t in own:
+            size = sizes[t[2]]
+            if t is lead:
+                key = (0, 0)
+            elif size > history:
+                key, bigs = (2 * bigs + 1, 0), bigs + 1
+            else:
+                key, small = (2 * bigs, small // room), small + size
+            found.setdefault(key, []).append(t)
+        near = [t for t in past if t is not lead]
+        for key in sorted(found):
+            new = found[key]
+            free = min(history, budget - system - sum(sizes[t[2]] for t in new if t is not lead))
+            context, used = [], 0
+            for t in reversed(near[-chat.HISTORY_TURNS:]):
+                used += sizes[t[2]]
+                if used > free or new[0] is lead:
+                    break
+                context.insert(0, t)
+            if lead and new[0] is not lead:
+                context.insert(0, lead)
+            out.append((context, new))
+            near += [t for t in new if t is not lead]
+        past = own[-chat.HISTORY_TURNS:]
+    return out
+
+
+def test_chat_windows_equal_brute_force(spark):
+    draw = np.random.default_rng(5)
+    rows = []
+    for c, n in enumerate([1, 2, 9, 127, 128, 129, 300, 700]):
+        for lead in (0, 1):
+            rows += [(2 * c + lead, i, "system" if lead and i == 0 else ("user", "assistant")[i % 2], "word " * int(draw.choice([1, 9, 40, 90])) + str(i)) for i in range(n)]
+    rows += [(99, 50 * i, "assistant", f"far {i}") for i in range(20)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    count = chat._tokenizer(chat.default_tokenizer())
+    texts = sorted({r[3] for r in rows})
+    sizes = dict(zip(texts, [len(ids) + chat.TURN_COST for ids in count.encode(texts)], strict=True))
+    read = chat.format_conversations(turns, budget=256, history=64).withColumn("turns", chat.read_turns(F.col("formatted")))
+    got = {}
+    for r in sorted(read.collect(), key=lambda r: (r.conv_id, r.window)):
+        told = [(t.role, t.text) for t in r.turns]
+        loss = [r.formatted[s.start - 1 : s.start - 1 + s.length] for s in r.loss]
+        assert loss == [x for role, x in told[r.context_turns :] if role == "assistant"] and len(told) == r.context_turns + r.n_turns
+        assert r.tokens == sum(sizes[x] for _, x in told)
+        got.setdefault(r.conv_id, []).append((r.window, told[: r.context_turns], told[r.context_turns :]))
+    for c in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == c]
+        expected = [(i, [t[1:] for t in context], [t[1:] for t in new]) for i, (context, new) in enumerate(brute_windows(own, 256, 64, sizes))]
+        assert got[c] == expected, c
