@@ -43,9 +43,11 @@ SLICE = 128
 CONV = ["lost", "conv"]
 SLICED = [*CONV, "slice"]
 TURN = [*SLICED, "turn", "role", "text"]
-#: Rows of a slice, in this order: a note that other slices come before it, the leading system
-#: turn and the last turns of slices before it, its own turns.
+#: Rows of a slice, in this order: notes (that other slices come before it, how many windows
+#: they have, that others follow), the leading system turn and the last turns of slices before
+#: it, its own turns.
 SLICE_INFO, LEAD, PAST, OWN = range(4)
+COMES_LATER, WINDOWS_BEFORE, GOES_ON = range(3)
 
 
 def escaped(text: Column) -> Column:
@@ -83,7 +85,7 @@ def _windows(rows: DataFrame, budget: int, history: int) -> DataFrame:
     before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
     total = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0).cast("long"))
     own = F.col("kind") == OWN
-    rows = rows.withColumns({"later": F.max(F.col("kind") == SLICE_INFO).over(upto), "owns": total(_count(own), before)})
+    rows = rows.withColumns({"later": F.max((F.col("kind") == SLICE_INFO) & (F.col("at") == COMES_LATER)).over(upto), "owns": total(_count(own), before)})
     opens = own & (F.col("owns") == 0) & ~F.col("later") & (F.col("role") == "system")
     rows = rows.withColumn("lead", opens | (F.col("kind") == LEAD))
     fresh = own & ~F.col("lead")
@@ -103,10 +105,11 @@ def _windows(rows: DataFrame, budget: int, history: int) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer_path: str | None = None) -> DataFrame:
-    """Windows: conv_id, window, context_turns, n_turns, tokens, formatted, loss.
+    """Windows: conv_id, window, context_turns, n_turns, tokens, formatted, loss, only.
 
     window counts from 0; context_turns is the number of leading turns that repeat
-    others; loss is an array of (start, length) in code points of formatted, from 1.
+    others; loss is an array of (start, length) in code points of formatted, from 1;
+    only tells that a window holds its whole conversation.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     conv = F.col("conv_id").cast("long")
@@ -130,7 +133,8 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     lead = placed.where(leads).drop("slice").join(slices.where("before is not null").select(*SLICED), CONV).select(*SLICED, *sent(LEAD, F.lit(0)))
     past = placed.where(~leads & (F.col("back") <= HISTORY_TURNS) & F.col("after").isNotNull()).select(*CONV, F.col("after").alias("slice"), *sent(PAST, -F.col("back")))
     nothing = [F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("text"), F.lit(0).cast("long").alias("tokens")]
-    info = slices.where("before is not null").select(*SLICED, F.lit(SLICE_INFO).alias("kind"), F.lit(0).alias("at"), *nothing)
+    at = F.when(F.col("before").isNull(), F.lit(GOES_ON)).otherwise(F.lit(COMES_LATER)).alias("at")
+    info = slices.select(*SLICED, F.lit(SLICE_INFO).alias("kind"), at, *nothing)
     given = written(info.unionByName(lead).unionByName(past), "given")
     # windows of earlier slices
     own = lambda df: df.select(*SLICED, *sent(OWN, F.lit(0)))
@@ -138,12 +142,14 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     earlier = F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1))
     numbers = numbers.select(*SLICED, earlier.alias("base")).where("base > 0")
 
-    base = numbers.select(*SLICED, F.lit(SLICE_INFO).alias("kind"), F.lit(1).alias("at"), *nothing, "base")
+    base = numbers.select(*SLICED, F.lit(SLICE_INFO).alias("kind"), F.lit(WINDOWS_BEFORE).alias("at"), *nothing, "base")
     none = F.lit(None).cast("long").alias("base")
     rows = _windows(union_by(SLICED, own(counted(turns)).select("*", none), given.select("*", none), base), budget, history)
     order = W.partitionBy(*SLICED).orderBy("kind", "at", "turn", "role", "text")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
+    alone = ~F.max(F.col("kind") == SLICE_INFO).over(upto) & (F.max("window").over(W.partitionBy(*SLICED)) == 0)
     rows = rows.withColumns({
+        "only": alone,
         "window": F.col("window") + F.coalesce(F.max("base").over(upto), F.lit(0)),
         "system_text": F.max(F.when(F.col("lead"), F.col("text"))).over(upto),
     })
@@ -160,7 +166,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     new = F.col("goal.new")
     part = F.struct("place", head(F.col("role")).alias("head"), escaped(F.col("text")).alias("body"), new.alias("new"), (new & (F.col("role") == "assistant")).alias("loss"), "tokens", "goal.gap")
     fresh = F.coalesce(F.sum(F.when(new & ~F.col("lead"), F.col("tokens"))), F.lit(0))
-    packed = rows.groupBy(*SLICED, F.col("goal.window").alias("window")).agg(F.collect_list(part).alias("parts"), F.max(F.when(new, F.col("given_lead"))).alias("given_lead"), F.max("system").alias("system"), fresh.alias("fresh"))
+    packed = rows.groupBy(*SLICED, F.col("goal.window").alias("window")).agg(F.collect_list(part).alias("parts"), F.max(F.when(new, F.col("given_lead"))).alias("given_lead"), F.max("system").alias("system"), F.max("only").alias("only"), fresh.alias("fresh"))
     free = F.least(F.lit(history), budget - F.col("system") - F.col("fresh"))
     repeated = F.struct(F.lit(0).alias("place"), head(F.lit("system")).alias("head"), escaped(F.col("given_lead")).alias("body"), F.lit(False).alias("new"), F.lit(False).alias("loss"), F.col("system").alias("tokens"), F.lit(0).cast("long").alias("gap"))
     kept = F.array_sort(F.filter("parts", lambda p: p["new"] | (p["gap"] <= F.col("free"))))
@@ -178,7 +184,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
         F.when(~F.col("lost"), F.col("conv")).alias("conv_id"), "window",
         F.size(F.filter("parts", lambda p: ~p["new"])).cast("long").alias("context_turns"), F.size(F.filter("parts", lambda p: p["new"])).cast("long").alias("n_turns"),
         F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["tokens"]).alias("tokens"),
-        whole.alias("formatted"), F.aggregate("parts", empty, mask)["spans"].alias("loss"),
+        whole.alias("formatted"), F.aggregate("parts", empty, mask)["spans"].alias("loss"), "only",
     )
 
 
@@ -201,8 +207,13 @@ def digest(windows: DataFrame) -> DataFrame:
     new = F.slice(turns, F.col("context_turns").cast("int") + 1, F.greatest(F.col("n_turns").cast("int"), F.lit(0)))
     told = F.concat_ws("", F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     loss = F.concat_ws("", F.transform("loss", lambda s: unescaped(F.substr(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))))
-    read = windows.select("conv_id", "window", "n_turns", told.alias("told"), loss.alias("lost"), F.length("formatted").cast("long").alias("chars"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    # a window that holds its whole conversation is hashed where it lies
+    brief = lambda c: F.when(F.col("only"), sha(F.col(c))).otherwise(F.col(c)).alias(c)
+    read = windows.select("conv_id", "window", "n_turns", "only", told.alias("told"), loss.alias("lost"), F.length("formatted").cast("long").alias("chars"))
+    sent = read.select("conv_id", "n_turns", "only", "chars", F.length("lost").cast("long").alias("loss_chars"), F.struct("window", brief("told"), brief("lost")).alias("part"))
+    sums = [F.sum(c).alias(c) for c in ("n_turns", "loss_chars", "chars")]
+    gathered = sent.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("only").alias("only"), *sums)
     joined = lambda c: F.concat_ws("", F.transform("parts", lambda p: p[c]))
-    sha = lambda c: F.sha2(joined(c).cast("binary"), 256)
-    gathered = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "told", "lost"))).alias("parts"), F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
-    return gathered.select("conv_id", "n_turns", sha("told").alias("turns_sha256"), F.length(joined("lost")).cast("long").alias("loss_chars"), sha("lost").alias("loss_sha256"), "formatted_chars")
+    whole = lambda c: F.when(F.col("only"), joined(c)).otherwise(sha(joined(c)))
+    return gathered.select("conv_id", "n_turns", whole("told").alias("turns_sha256"), "loss_chars", whole("lost").alias("loss_sha256"), F.col("chars").alias("formatted_chars"))
