@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def union_by(keys: list[str], *parts: DataFrame) -> DataFrame:
@@ -17,3 +20,18 @@ def union_by(keys: list[str], *parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.repartition(*keys)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session that names no such folder gets one of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        root = tempfile.mkdtemp(prefix="spark-corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _loaded() -> None:
-    from . import document_queries, search_queries  # noqa: F401
+    from . import document_queries, search_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
