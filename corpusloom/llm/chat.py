@@ -105,11 +105,12 @@ def _windows(rows: DataFrame, budget: int, history: int) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer_path: str | None = None) -> DataFrame:
-    """Windows: conv_id, window, context_turns, n_turns, tokens, formatted, loss, only.
+    """Windows: conv_id, window, context_turns, n_turns, tokens, formatted, loss, and
+    lost, conv and slice, by which the rows are dealt, and only.
 
     window counts from 0; context_turns is the number of leading turns that repeat
     others; loss is an array of (start, length) in code points of formatted, from 1;
-    only tells that a window holds its whole conversation.
+    only tells that a slice holds its whole conversation.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     conv = F.col("conv_id").cast("long")
@@ -147,9 +148,8 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     rows = _windows(union_by(SLICED, own(counted(turns)).select("*", none), given.select("*", none), base), budget, history)
     order = W.partitionBy(*SLICED).orderBy("kind", "at", "turn", "role", "text")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
-    alone = ~F.max(F.col("kind") == SLICE_INFO).over(upto) & (F.max("window").over(W.partitionBy(*SLICED)) == 0)
     rows = rows.withColumns({
-        "only": alone,
+        "only": ~F.max(F.col("kind") == SLICE_INFO).over(upto),
         "window": F.col("window") + F.coalesce(F.max("base").over(upto), F.lit(0)),
         "system_text": F.max(F.when(F.col("lead"), F.col("text"))).over(upto),
     })
@@ -181,7 +181,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
         return F.struct((at + size + len(END) + 1).cast("long").alias("at"), F.when(p["loss"], F.concat(s["spans"], F.array(found))).otherwise(s["spans"]).alias("spans"))
 
     return packed.select(
-        F.when(~F.col("lost"), F.col("conv")).alias("conv_id"), "window",
+        F.when(~F.col("lost"), F.col("conv")).alias("conv_id"), *SLICED, "window",
         F.size(F.filter("parts", lambda p: ~p["new"])).cast("long").alias("context_turns"), F.size(F.filter("parts", lambda p: p["new"])).cast("long").alias("n_turns"),
         F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["tokens"]).alias("tokens"),
         whole.alias("formatted"), F.aggregate("parts", empty, mask)["spans"].alias("loss"), "only",
@@ -208,12 +208,14 @@ def digest(windows: DataFrame) -> DataFrame:
     told = F.concat_ws("", F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     loss = F.concat_ws("", F.transform("loss", lambda s: unescaped(F.substr(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int")))))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    # a window that holds its whole conversation is hashed where it lies
+    # a conversation that is one slice is hashed where its windows lie
     brief = lambda c: F.when(F.col("only"), sha(F.col(c))).otherwise(F.col(c)).alias(c)
-    read = windows.select("conv_id", "window", "n_turns", "only", told.alias("told"), loss.alias("lost"), F.length("formatted").cast("long").alias("chars"))
-    sent = read.select("conv_id", "n_turns", "only", "chars", F.length("lost").cast("long").alias("loss_chars"), F.struct("window", brief("told"), brief("lost")).alias("part"))
+    joined = lambda c: F.concat_ws("", F.transform("parts", lambda p: p[c])).alias(c)
+    read = windows.select("conv_id", *SLICED, "window", "n_turns", "only", F.struct("window", told.alias("told"), loss.alias("masked")).alias("part"), F.length("formatted").cast("long").alias("chars"))
+    slices = read.groupBy(*SLICED).agg(F.array_sort(F.collect_list("part")).alias("parts"), *[F.max(c).alias(c) for c in ("conv_id", "only", "window")], *[F.sum(c).alias(c) for c in ("n_turns", "chars")])
+    slices = slices.select("conv_id", "window", "n_turns", "only", "chars", joined("told"), joined("masked"))
+    sent = slices.select("conv_id", "n_turns", "only", "chars", F.length("masked").cast("long").alias("loss_chars"), F.struct("window", brief("told"), brief("masked")).alias("part"))
     sums = [F.sum(c).alias(c) for c in ("n_turns", "loss_chars", "chars")]
     gathered = sent.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("only").alias("only"), *sums)
-    joined = lambda c: F.concat_ws("", F.transform("parts", lambda p: p[c]))
     whole = lambda c: F.when(F.col("only"), joined(c)).otherwise(sha(joined(c)))
-    return gathered.select("conv_id", "n_turns", whole("told").alias("turns_sha256"), "loss_chars", whole("lost").alias("loss_sha256"), F.col("chars").alias("formatted_chars"))
+    return gathered.select("conv_id", "n_turns", whole("told").alias("turns_sha256"), "loss_chars", whole("masked").alias("loss_sha256"), F.col("chars").alias("formatted_chars"))
