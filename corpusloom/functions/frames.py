@@ -22,6 +22,13 @@ def union_by(keys: list[str], *parts: DataFrame) -> DataFrame:
     return out.repartition(*keys)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that later uses do not compute it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir).
 

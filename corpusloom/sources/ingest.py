@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.frames import union_by
+from corpusloom.functions.frames import union_by, written
 
 _REFS = "array<string>"
 # Layouts of the JSON payloads.
@@ -263,19 +263,22 @@ def import_sources(raw: DataFrame, existing: DataFrame, manifests: DataFrame, im
 
     Files without changes since a completed import are skipped; any error rejects its
     whole file. An attempt counts its file's records: total, created, updated, skipped,
-    failed. Of records that repeat a key the last one stands, by file and place.
+    failed. Of records that repeat a key the last one stands, by file and place. The files to
+    import, their checks and their records are written to the shared folder, as all of them
+    are used several times.
     """
     from corpusloom.operators.documents import KEY, upsert_documents
 
-    files = skip_unchanged(detect_source(checksum_files(raw), importers).where("importer is not null"), manifests, force)
-    checked = verify_sources(files.drop("importer"), importers)
-    good = files.join(checked.where("status = 'verified'").select("file_path"), "file_path", "left_semi")
-    incoming = every = None
+    files = written(skip_unchanged(detect_source(checksum_files(raw), importers).where("importer is not null"), manifests, force), "files")
+    checked = written(verify_sources(files.drop("importer"), importers), "checked")
+    good = checked.where("status = 'verified'").select("file_path")
+    records = None
     for i in importers:
-        part = i.read(good.where(F.col("importer") == i.name))
-        incoming = part if incoming is None else incoming.unionByName(part)
-        records = i.read(files.where(F.col("importer") == i.name)).groupBy("file_path").agg(F.count("*").alias("total_records"))
-        every = records if every is None else every.unionByName(records)
+        part = i.read(files.where(F.col("importer") == i.name))
+        records = part if records is None else records.unionByName(part)
+    records = written(records, "records")
+    incoming = records.join(good, "file_path", "left_semi")
+    every = records.groupBy("file_path").agg(F.count("*").alias("total_records"))
     upserted = upsert_documents(existing, incoming)
     told = incoming.select("file_path", *KEY).join(upserted.select(*KEY, "status"), KEY)
     counts = told.groupBy("file_path").agg(*[F.count_if(F.col("status") == x).alias(f"{x}_records") for x in ("created", "updated", "skipped")])
