@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, fingerprints, html_extract, language_id, line_dedup, mixing, near_dedup, packing, periodic, sharding
+from . import chat, exact_topk, fingerprints, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, packing, periodic, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.edited(table(spark, sf_dir, "documents"))))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op4_sharding": sharding.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
