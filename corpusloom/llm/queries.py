@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_topk, fingerprints, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, packing, periodic, sharding
+from . import chat, exact_topk, fingerprints, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, packing, periodic, pivot_index, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.edited(table(spark, sf_dir, "documents"))))
 
 
+def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.nearest_found(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_rows(table(spark, sf_dir, "documents"))
 
