@@ -9,21 +9,24 @@ hash, a last one alone becomes its own; a group of one leaf has that leaf as its
 * Levels are built six at a time: 64 consecutive nodes are one group of a shuffle, whatever
   the size of the tree. Each node is written as a row that is linked to its ancestor at the
   end of those levels, with the siblings on the way there.
-* A recursive query climbs these links, from all leaves at once: each step appends the
-  siblings to a leaf's proof and folds the hash that the leaf is claimed to have with them.
-  A step joins the leaves with a sixty-fourth of the nodes, as a leaf's own row holds the
-  first six levels, and a tree of n leaves takes log2(n) / 6 steps.
+* A recursive query climbs these links from all leaves at once: each step appends the
+  siblings to a proof and folds them with the hash that each leaf is claimed to have. The 64
+  leaves of a lowest block climb as one row, as they share what is above it; the proof below
+  follows from their hashes and is put before it at the end. A step so joins a sixty-fourth
+  of the leaves' number of rows, and a tree of n leaves takes log2(n) / 6 steps.
 
 Hashes travel as 32 bytes and are hashed as lowercase hex text. A null group sorts first, as
 does a null id; rows of one id lie by their leaf hash, and equal rows next to each other.
 Null columns are hashed as ``-``, all others as byte count, ``:`` and value, so a null, an
 empty text and a text of ``-`` differ. Texts of any length are hashed whole. An empty table
 gives no rows. Extra columns play no part. The session's limit of rows of a recursive
-query (spark.sql.cteRecursionRowLimit) is lifted, as every leaf is a row of each step.
+query (spark.sql.cteRecursionRowLimit) is lifted, as every block is a row of each step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +84,23 @@ def levels(hashes: Column, steps: Column) -> Column:
     return F.aggregate(upwards, F.array(hashes), lambda built, _: F.concat(built, F.array(above(F.element_at(built, -1)))))
 
 
+def _path(built: Column, k: Column, stride: int) -> Column:
+    """Siblings (32 bytes or null, whether on the left) of node k of the lowest level of built."""
+
+    def beside(t: Column) -> Column:
+        at = F.floor(k / F.pow(F.lit(2), t)).cast("int")
+        left = at % 2 == 1
+        return F.struct(F.unhex(F.get(F.get(built, t), F.when(left, at - 1).otherwise(at + 1))).alias("sibling"), left.alias("left"))
+
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(stride)), lambda t: t < F.size(built) - 1), beside)
+
+
+def appended(path: Column) -> Column:
+    """The siblings of path, one after the other."""
+    none = F.unhex(F.lit(""))
+    return F.aggregate(path, none, lambda p, step: F.concat(p, F.coalesce(step["sibling"], none)))
+
+
 def climbed(path: Column, digest: Column) -> Column:
     """digest (32 bytes) folded with the siblings of path."""
 
@@ -91,40 +111,41 @@ def climbed(path: Column, digest: Column) -> Column:
     return F.unhex(F.aggregate(path, _hex(digest), fold))
 
 
-def linked(nodes: DataFrame, level: int, carried: list[str], stride: int = STRIDE) -> DataFrame:
-    """Rows of nodes (tree, n, top_idx, idx, hash, carried) of one level, linked upwards.
+def blocks(nodes: DataFrame, level: int, carried: list[str], stride: int) -> DataFrame:
+    """Blocks of 2**stride nodes (tree, n, top_idx, idx, hash, carried) of one level, linked upwards.
 
     n is the number of nodes in the tree at this level. Where it fits one block, the block's
     last node is the tree's root, which is node top_idx of the tree of groups.
     """
-    width = 1 << stride
-    keys = ["tree", "n", "top_idx"]
     row = F.struct("idx", "hash", *carried)
-    blocks = nodes.groupBy(*keys, F.shiftright("idx", stride).alias("up_idx")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    whole = F.col("n") <= width
+    found = nodes.groupBy("tree", "n", "top_idx", F.shiftright("idx", stride).alias("at")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    whole = F.col("n") <= 1 << stride
     steps = F.when(whole, F.ceil(F.log2("n"))).otherwise(stride).cast("int")  # exact for the few sizes up to a block
+    return found.select(
+        "tree", F.lit(level).alias("level"), "at", "rows", whole.alias("whole"), steps.alias("steps"),
+        F.when(whole, F.when(F.col("tree") == TOP, ABOVE).otherwise(TOP)).otherwise(F.col("tree")).cast("long").alias("up_tree"),
+        F.when(whole, 0).otherwise(level + stride).alias("up_level"), F.when(whole, F.col("top_idx")).otherwise(F.col("at")).alias("up_idx"),
+    )
 
-    def own(built: Column) -> Column:
-        def beside(k: Column, t: Column) -> Column:
-            at = F.floor(k / F.pow(F.lit(2), t)).cast("int")
-            left = at % 2 == 1
-            return F.struct(F.unhex(F.get(F.get(built, t), F.when(left, at - 1).otherwise(at + 1))).alias("sibling"), left.alias("left"))
 
-        upwards = F.filter(F.sequence(F.lit(0), F.lit(stride)), lambda t: t < F.size(built) - 1)
+def built_levels() -> Column:
+    return levels(F.transform("rows", lambda r: _hex(r["hash"])), F.col("steps"))
+
+
+def linked(found: DataFrame, stride: int) -> DataFrame:
+    """A row for each node of the blocks: its ancestor at their end, and the siblings up to there."""
+
+    def own(built: Column) -> Column:
         root = F.unhex(F.element_at(built, -1)[0])
-        return F.transform("rows", lambda r, k: F.struct(*[r[c].alias(c) for c in ("idx", "hash", *carried)], F.transform(upwards, lambda t: beside(k, t)).alias("path"), root.alias("up_hash")))
+        return F.transform("rows", lambda r, k: F.struct(r["idx"].alias("idx"), _path(built, k, stride).alias("path"), root.alias("up_hash")))
 
-    found = blocks.select("tree", "top_idx", "up_idx", whole.alias("whole"), F.explode(_once(levels(F.transform("rows", lambda r: _hex(r["hash"])), steps), own)).alias("r"))
-    return found.select(
-        "tree", F.lit(level).alias("level"), "r.idx", *[f"r.{c}" for c in ("hash", *carried)], "whole",
-        F.when(F.col("whole"), F.when(F.col("tree") == TOP, ABOVE).otherwise(TOP)).otherwise(F.col("tree")).cast("long").alias("up_tree"),
-        F.when(F.col("whole"), 0).otherwise(level + stride).alias("up_level"), F.when(F.col("whole"), F.col("top_idx")).otherwise(F.col("up_idx")).alias("up_idx"), "r.path", "r.up_hash",
-    )
+    kept = ["tree", "level", "whole", "up_tree", "up_level", "up_idx"]
+    return found.select(*kept, F.explode(_once(built_levels(), own)).alias("r")).select(*kept, "r.idx", "r.path", "r.up_hash")
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", columns: tuple[str, ...] = COLUMNS, claimed: list[Column] | None = None, stride: int = STRIDE) -> tuple[DataFrame, DataFrame]:
-    """(leaves, nodes), both written: leaves with their claimed hash and links up to the
-    first level that is kept, and the parent-linked rows of all levels above.
+    """(blocks of leaves, nodes), both written: leaves with their claimed hash, and the
+    parent-linked rows of all levels that are kept above them.
 
     claimed are the columns that are to be verified, null for a row that claims nothing else.
     """
@@ -133,58 +154,60 @@ def build(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", colu
     ordered = placed(hashed, [F.asc_nulls_first("grp"), F.asc_nulls_first("doc_id"), F.asc("hash")], "leaves")
     trees = placed(ordered.groupBy("grp").agg(F.min("place").alias("tree"), F.count("*").alias("n")), [F.asc("tree")], "trees").withColumnRenamed("place", "top_idx")
     first = ordered.join(trees.withColumnRenamed("grp", "g"), F.col("grp").eqNullSafe(F.col("g"))).withColumn("idx", F.col("place") - F.col("tree"))
-    leaves = written(linked(first, 0, ["doc_id", "claimed"], stride), "linked-leaves")
-
-    def upper(below: DataFrame, level: int) -> DataFrame:
-        """Nodes of the next level that is kept, of the trees that go on."""
-        ends = below.where(f"not whole and idx % {1 << stride} = 0").select("tree", F.col("up_idx").alias("idx"), F.col("up_hash").alias("hash"))
-        fewer = trees.select("tree", F.ceil(F.col("n") / (1 << level)).cast("long").alias("n"), "top_idx")
-        return ends.join(fewer, "tree")
+    root = F.unhex(F.element_at(built_levels(), -1)[0])
+    leaves = written(blocks(first, 0, ["doc_id", "claimed"], stride).withColumn("up_hash", root), "leaf-blocks")
+
+    def ends(below: DataFrame, whole: bool) -> DataFrame:
+        """Ends of the blocks of below: roots of whole trees, or nodes of the next level."""
+        once = below if "rows" in below.columns else below.where(f"idx % {1 << stride} = 0")
+        return once.where("whole" if whole else "not whole").select("tree", F.col("up_idx").alias("idx"), F.col("up_hash").alias("hash"))
+
+    def upwards(below: DataFrame, level: int, most: int, sizes: Callable[[DataFrame, int], DataFrame]) -> list[DataFrame]:
+        """Linked rows of the levels above below, the first of them at level."""
+        kept = []
+        while most > 1 << level:
+            below = written(linked(blocks(sizes(ends(below, False), level), level, [], stride), stride), "linked-nodes")
+            kept.append(below)
+            level += stride
+        return kept
 
     most = trees.agg(F.max("n").alias("n"), F.count("*").alias("trees")).first()
-    roots = [leaves.where("whole and idx = 0")]
-    kept, below, level = [], leaves, stride
-    while (most["n"] or 0) > 1 << level:
-        below = written(linked(upper(below, level), level, [], stride), "linked-nodes")
-        kept.append(below)
-        roots.append(below.where("whole and idx = 0"))
-        level += stride
-    tops = [r.select(F.lit(TOP).cast("long").alias("tree"), F.lit(most["trees"]).cast("long").alias("n"), F.lit(0).cast("long").alias("top_idx"), F.col("up_idx").alias("idx"), F.col("up_hash").alias("hash")) for r in roots]
-    nodes = tops[0]
-    for r in tops[1:]:
-        nodes = nodes.unionByName(r)
-    level, count = 0, most["trees"]
-    while True:
-        top = written(linked(nodes, level, [], stride), "linked-groups")
-        kept.append(top)
-        if count <= 1 << stride:
-            break
-        count, level = -(-count // (1 << stride)), level + stride
-        nodes = top.where(f"idx % {1 << stride} = 0").select("tree", F.lit(count).cast("long").alias("n"), F.lit(0).cast("long").alias("top_idx"), F.col("up_idx").alias("idx"), F.col("up_hash").alias("hash"))
-    every = kept[0].select(*NODE)
+    if not most["trees"]:
+        return leaves, linked(leaves, stride).select(*NODE)
+    of_tree = lambda nodes, level: nodes.join(trees.select("tree", F.ceil(F.col("n") / (1 << level)).cast("long").alias("n"), "top_idx"), "tree")
+    kept = upwards(leaves, stride, most["n"], of_tree)
+    of_top = lambda nodes, level: nodes.select(F.lit(TOP).cast("long").alias("tree"), F.lit(-(-most["trees"] // (1 << level))).cast("long").alias("n"), F.lit(0).cast("long").alias("top_idx"), "idx", "hash")
+    roots = ends(leaves, True)
+    for k in kept:
+        roots = roots.unionByName(ends(k, True))
+    top = written(linked(blocks(of_top(roots, 0), 0, [], stride), stride), "linked-groups")
+    kept += [top, *upwards(top, stride, most["trees"], of_top)]
+    nodes = kept[0].select(*NODE)
     for k in kept[1:]:
-        every = every.unionByName(k.select(*NODE))
-    return leaves, every
+        nodes = nodes.unionByName(k.select(*NODE))
+    return leaves, nodes
 
 
-#: A step: siblings are appended, the claimed hash is folded; the groups' root and the root
-#: are taken along where they are passed.
+#: A step: siblings are appended to the proof that the leaves of a block share, the hash that
+#: each leaf is claimed to have is folded; the group's root and the root are taken along
+#: where they are passed.
 CLIMB = f"""
-WITH RECURSIVE climb(doc_id, leaf, tree, level, idx, proof, folded, subroot, root) AS (
-  SELECT doc_id, leaf, tree, level, idx, proof, folded, subroot, root FROM {{starts}}
+WITH RECURSIVE climb(tree, level, idx, leaves, steps, proof, subroot, root) AS (
+  SELECT tree, level, idx, leaves, steps, proof, subroot, root FROM {{starts}}
   UNION ALL
-  SELECT c.doc_id, c.leaf, n.up_tree, n.up_level, n.up_idx, concat(c.proof, {{siblings}}), {{fold}},
+  SELECT n.up_tree, n.up_level, n.up_idx, {{fold}}, c.steps, concat(c.proof, {{siblings}}),
     coalesce(c.subroot, CASE WHEN n.up_tree = {TOP} THEN n.up_hash END), CASE WHEN n.up_tree = {ABOVE} THEN n.up_hash END
   FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.level = n.level AND c.idx = n.idx
 )
-SELECT doc_id, leaf, subroot, root, proof, folded FROM climb WHERE tree = {ABOVE}
+SELECT leaves AS rows, steps, proof, subroot, root FROM climb WHERE tree = {ABOVE}
 """
 SIBLINGS = "aggregate(n.path, X'', (p, s) -> concat(p, coalesce(s.sibling, X'')))"
-FOLD = """unhex(aggregate(n.path, lower(hex(c.folded)), (own, s) -> sha2(CASE WHEN s.left THEN concat(lower(hex(s.sibling)), own)
-  ELSE concat(own, coalesce(lower(hex(s.sibling)), '')) END, 256)))"""
+FOLD = """transform(c.leaves, x -> named_struct('doc_id', x.doc_id, 'hash', x.hash, 'folded',
+  unhex(aggregate(n.path, lower(hex(x.folded)), (own, s) -> sha2(CASE WHEN s.left THEN concat(lower(hex(s.sibling)), own)
+  ELSE concat(own, coalesce(lower(hex(s.sibling)), '')) END, 256)))))"""
 
 
-def ascend(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+def ascend(leaves: DataFrame, nodes: DataFrame, stride: int = STRIDE) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof, folded) of every leaf, digests as bytes.
 
     proof holds the siblings from the leaf to the root, folded is the root that follows from
@@ -192,13 +215,17 @@ def ascend(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spark = leaves.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    nothing = F.lit(None).cast("binary")
-    siblings = F.aggregate("path", F.unhex(F.lit("")), lambda p, s: F.concat(p, F.coalesce(s["sibling"], F.unhex(F.lit("")))))
+
+    def first(built: Column) -> Column:
+        return F.transform("rows", lambda r, k: F.struct(r["doc_id"].alias("doc_id"), r["hash"].alias("hash"), climbed(_path(built, k, stride), F.coalesce(r["claimed"], r["hash"])).alias("folded")))
+
     starts = leaves.select(
-        "doc_id", F.col("hash").alias("leaf"), F.col("up_tree").alias("tree"), F.col("up_level").alias("level"), F.col("up_idx").alias("idx"), siblings.alias("proof"),
-        climbed(F.col("path"), F.coalesce("claimed", "hash")).alias("folded"), F.when(F.col("up_tree") == TOP, F.col("up_hash")).alias("subroot"), nothing.alias("root"),
+        F.col("up_tree").alias("tree"), F.col("up_level").alias("level"), F.col("up_idx").alias("idx"), _once(built_levels(), first).alias("leaves"), "steps", F.unhex(F.lit("")).alias("proof"),
+        F.when(F.col("up_tree") == TOP, F.col("up_hash")).alias("subroot"), F.lit(None).cast("binary").alias("root"),
     )
-    return spark.sql(CLIMB.format(starts="{starts}", nodes="{nodes}", siblings=SIBLINGS, fold=FOLD), starts=starts, nodes=nodes)
+    ended = spark.sql(CLIMB.format(starts="{starts}", nodes="{nodes}", siblings=SIBLINGS, fold=FOLD), starts=starts, nodes=nodes)
+    told = lambda built: F.transform("rows", lambda r, k: F.struct(r["doc_id"].alias("doc_id"), r["hash"].alias("leaf"), F.concat(appended(_path(built, k, stride)), "proof").alias("proof"), r["folded"].alias("folded")))
+    return ended.select("subroot", "root", F.explode(_once(built_levels(), told)).alias("x")).select("x.doc_id", "x.leaf", "subroot", "root", "x.proof", "x.folded")
 
 
 def tampered() -> list[Column]:

@@ -65,7 +65,7 @@ def odd_rows():
 def test_manifest_equals_plain_version(spark, stride):
     rows = odd_rows()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    found = merkle.ascend(*merkle.build(docs, claimed=merkle.tampered(), stride=stride))
+    found = merkle.ascend(*merkle.build(docs, claimed=merkle.tampered(), stride=stride), stride=stride)
     hexed = lambda c: F.lower(F.hex(c))
     got = found.select("doc_id", hexed("leaf"), hexed("subroot"), hexed("root"), F.sha2(hexed("proof").cast("binary"), 256), hexed("folded"), F.expr("folded = root"))
     want = sorted(plain(rows), key=repr)
