@@ -79,6 +79,11 @@ def update_graph(edges: DataFrame, docs: DataFrame, selected: DataFrame | None =
     return union_by(["source_id"], kept.select(*made.columns), made)
 
 
+def without_sources(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that do not start at one of ids (doc_id), documents that are gone among them."""
+    return edges.join(ids.select(F.col("doc_id").alias("source_id")).distinct(), "source_id", "left_anti")
+
+
 def build_counts(before: DataFrame, after: DataFrame, orphans: DataFrame) -> DataFrame:
     key = ["source_id", "target_id", "relationship_type"]
     created = after.join(before, key, "left_anti").agg(F.count("*").alias("created"))

@@ -407,7 +407,11 @@ def j2(spark, sf):
     return gx.orphan_references(citing(spark, sf))
 
 
-@query("t9_build_graph", f"WITH {DOCS}, {CITING_SQL} SELECT doc_id AS source_id, doc_id - CASE WHEN doc_id % 8 < 4 THEN 4 ELSE 8 END AS target_id FROM docs WHERE doc_id - CASE WHEN doc_id % 8 < 4 THEN 4 ELSE 8 END IN (SELECT doc_id FROM docs)")
+#: Edges of all documents as they are now.
+GRAPH_SQL_OF_DOCUMENTS = f"WITH {DOCS}, {CITING_SQL} SELECT doc_id AS source_id, doc_id - CASE WHEN doc_id % 8 < 4 THEN 4 ELSE 8 END AS target_id FROM docs WHERE doc_id - CASE WHEN doc_id % 8 < 4 THEN 4 ELSE 8 END IN (SELECT doc_id FROM docs)"
+
+
+@query("t9_build_graph", GRAPH_SQL_OF_DOCUMENTS)
 def t9(spark, sf):
     first = gx.resolve_references(citing(spark, sf, 8))  # the references of half of the documents have changed since
     docs = citing(spark, sf)

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import adapters as ad
-from corpusloom.functions.frames import shared_folder
+from corpusloom.functions.frames import Versions, shared_folder
 from corpusloom.operators import evaluation as ev
 from corpusloom.sources import ingest as ig
 from corpusloom.streaming import streams as sm
 
+from . import search_queries as sq
 from .catalogue import query
 
 TEXTS = "SELECT doc_id, md5(text) AS text_md5 FROM documents"
@@ -44,18 +45,31 @@ def _payloads(docs: DataFrame, payload) -> DataFrame:
 
 
 def _mixed_payloads(docs: DataFrame):
-    """By doc_id: one verse, two paragraphs (of one number where doc_id is even), something else."""
-    id_ = F.col("doc_id")
-    verse = F.struct(F.lit("John").alias("book"), (id_ % 5).alias("chapter"), F.concat(F.lit("t"), id_.cast("string")).alias("translation"), F.array(F.struct(F.lit(1).alias("verse"), "text")).alias("verses"))
-    more = F.struct((id_ + id_ % 2).alias("number"), F.lit("more").alias("content"))
-    paragraphs = F.struct(F.concat(F.lit("c"), id_.cast("string")).alias("catechism"), F.array(F.struct(id_.alias("number"), F.col("text").alias("content")), more).alias("paragraphs"))
-    raw = [_payloads(docs.where(id_ % 3 == k), p) for k, p in enumerate((verse, paragraphs, F.struct(F.lit(1).alias("other"))))]
-    return raw[0].unionByName(raw[1]).unionByName(raw[2])
-
-
-_MIXED = """d AS (
-  SELECT doc_id, 'doc-' || doc_id || '.json' AS file_path, doc_id % 3 AS kind, (trim(coalesce(text, ''), ' ') = '')::INT AS blank,
-    CASE WHEN doc_id % 3 = 0 THEN (doc_id % 5 < 1)::INT WHEN doc_id % 3 = 1 THEN (doc_id % 2 = 0)::INT ELSE 0 END AS wrong FROM documents)"""
+    """By doc_id: a verse, two paragraphs (some of one number), something else, broken JSON,
+    and text files of two kinds."""
+    id_, told = F.col("doc_id"), F.col("doc_id").cast("string")
+    verse = F.struct(F.lit("John").alias("book"), (id_ % 5).alias("chapter"), F.concat(F.lit("t"), told).alias("translation"), F.array(F.struct(F.lit(1).alias("verse"), "text")).alias("verses"))
+    more = F.struct((id_ + F.floor(id_ / 6) % 2).alias("number"), F.lit("more").alias("content"))
+    paragraphs = F.struct(F.concat(F.lit("c"), told).alias("catechism"), F.array(F.struct(id_.alias("number"), F.col("text").alias("content")), more).alias("paragraphs"))
+    kinds = (
+        ("doc-", ".json", F.to_json(verse)), ("doc-", ".json", F.to_json(paragraphs)), ("doc-", ".json", F.lit('{"other": 1}')),
+        ("Douay-", ".json", F.concat(F.lit('{"verses": '), F.coalesce("text", F.lit("")))), ("catechism-", ".txt", F.coalesce("text", F.lit(""))), ("Church-Father-", ".md", F.coalesce("text", F.lit(""))),
+    )
+    out = None
+    for k, (before, after, value) in enumerate(kinds):
+        name = F.concat(F.lit(before), told, F.lit(after))
+        part = docs.where(id_ % 6 == k).select("doc_id", name.alias("file_path"), name.alias("file_name"), F.current_timestamp().alias("modified"), value.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(13)"
+_MIXED = f"""d AS (
+  SELECT doc_id, doc_id % 6 AS kind, ['doc-', 'doc-', 'doc-', 'Douay-', 'catechism-', 'Church-Father-'][doc_id % 6 + 1] || doc_id || ['.json', '.json', '.json', '.json', '.txt', '.md'][doc_id % 6 + 1] AS file_path,
+    (trim(coalesce(text, ''), {_ENDS}) = '')::INT AS blank,
+    len(list_filter(string_split_regex(trim(coalesce(text, ''), {_ENDS}), '\n\s*\n'), lambda x: trim(x, {_ENDS}) <> '')) AS parts,
+    CASE doc_id % 6 WHEN 0 THEN doc_id % 5 < 1 WHEN 1 THEN doc_id // 6 % 2 = 0 ELSE doc_id % 6 = 3 END::INT AS wrong FROM documents),
+e AS (SELECT *, CASE WHEN kind = 2 THEN 0 WHEN kind = 3 THEN 1 ELSE blank + wrong END AS errors FROM d)"""
 
 
 @query("s1_scan_sources", TEXTS)
@@ -63,7 +77,7 @@ def s1(spark, sf):
     return _read_back(ig.scan_sources(spark, _text_files(spark, sf)))
 
 
-@query("s2_detect_source", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'bible' WHEN 1 THEN 'catechism' END AS importer FROM documents")
+@query("s2_detect_source", "SELECT doc_id, ['bible', 'catechism', NULL, 'bible', 'catechism', 'church_fathers'][doc_id % 6 + 1] AS importer FROM documents")
 def s2(spark, sf):
     return ig.detect_source(_mixed_payloads(_docs(spark, sf))).select("doc_id", "importer")
 
@@ -121,9 +135,17 @@ def s16(spark, sf):
     return spark.read.parquet(f"{root}/runs").crossJoin(spark.read.parquet(f"{root}/summaries").select("questions"))  # one summary row
 
 
-@query("t10_import_sources", f"""WITH {_MIXED}, s AS (SELECT *, blank + wrong > 0 AS bad, kind = 1 AND doc_id % 4 = 1 AS old FROM d WHERE kind < 2 AND doc_id % 7 <> 0)
-SELECT file_path, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, 2::BIGINT AS total_records, CASE WHEN bad THEN 0 WHEN old THEN 1 ELSE 2 END::BIGINT AS created_records,
-  (NOT bad AND old)::BIGINT AS updated_records, 0::BIGINT AS skipped_records, CASE WHEN bad THEN 2 ELSE 0 END::BIGINT AS failed_records FROM s""")
+_ATTEMPTS = """SELECT file_path, CASE WHEN errors > 0 THEN 'failed' ELSE 'completed' END AS status, n::BIGINT AS total_records, CASE WHEN errors > 0 THEN 0 WHEN old THEN 1 ELSE n END::BIGINT AS created_records,
+  (errors = 0 AND old)::BIGINT AS updated_records, 0::BIGINT AS skipped_records, CASE WHEN errors > 0 THEN greatest(n, errors) ELSE 0 END::BIGINT AS failed_records"""
+_RECORDS = "CASE WHEN kind < 2 THEN 2 WHEN kind = 3 THEN 0 ELSE parts END AS n"
+
+
+def _told(attempts: DataFrame) -> DataFrame:
+    return attempts.select("file_path", "status", *[F.col(f"{c}_records").cast("long").alias(f"{c}_records") for c in ("total", "created", "updated", "skipped", "failed")])
+
+
+@query("t10_import_sources", f"""WITH {_MIXED}, s AS (SELECT *, {_RECORDS}, kind = 1 AND doc_id % 4 = 1 AS old FROM e WHERE kind <> 2 AND doc_id % 7 <> 0)
+{_ATTEMPTS} FROM s""")
 def t10(spark, sf):
     """Some files were imported before, and some paragraphs are there with other titles."""
     docs = _docs(spark, sf)
@@ -131,19 +153,53 @@ def t10(spark, sf):
     done = ig.detect_source(ig.checksum_files(raw.where("doc_id % 7 = 0"))).withColumn("status", F.lit("completed"))
     none = F.lit(None).cast("string")
     id_ = F.col("doc_id").cast("string")
-    existing = docs.where("doc_id % 3 = 1 and doc_id % 4 = 1").select(
+    existing = docs.where("doc_id % 6 = 1 and doc_id % 4 = 1").select(
         F.lit("catechism").alias("source_type"), F.concat(F.lit("c"), id_).alias("source_name"), F.concat(F.lit("CCC "), id_).alias("reference"),
         F.lit("old").alias("title"), F.col("text").alias("content"), F.lit("catholic").alias("tradition"), none.alias("metadata"), F.lit("ready").alias("embedding_status"))
     _, attempts = ig.import_sources(raw.drop("doc_id"), existing, done)
-    return attempts.select("file_path", "status", *[F.col(f"{c}_records").cast("long").alias(f"{c}_records") for c in ("total", "created", "updated", "skipped", "failed")])
+    return _told(attempts)
 
 
 @query("t11_verify_sources", f"""WITH {_MIXED}
-SELECT file_path, CASE WHEN kind = 2 THEN 'unsupported' WHEN blank + wrong > 0 THEN 'failed' ELSE 'verified' END AS status, CASE WHEN kind = 2 THEN 0 ELSE blank + wrong END::BIGINT AS errors FROM d""")
+SELECT file_path, CASE WHEN kind = 2 THEN 'unsupported' WHEN errors > 0 THEN 'failed' ELSE 'verified' END AS status, errors::BIGINT AS errors FROM e""")
 def t11(spark, sf):
     return ig.verify_sources(_mixed_payloads(_docs(spark, sf))).select("file_path", "status", F.size("errors").cast("long").alias("errors"))
 
 
+def _imported(spark: SparkSession, sf: str) -> sm.ImportedTables:
+    """Files of JSON and text for all documents, imported in several batches, of which some
+    ran again after they were done."""
+    folder, tables = shared_folder(spark, "sources"), sm.ImportedTables(spark, shared_folder(spark, "library"))
+    raw = _mixed_payloads(_docs(spark, sf)).drop("doc_id")
+    raw.select("file_path", "file_name", "value").repartition("file_path").write.parquet(folder)
+    files = lambda k: spark.read.parquet(folder).where(F.pmod(F.xxhash64("file_path"), F.lit(3)) == k).withColumn("modified", F.current_timestamp())
+    for number in (0, 1, 1, 2, 2):
+        tables.import_batch(files(number), number)
+    return tables
+
+
+@query("x1_import_batches", f"""WITH {_MIXED}, s AS (SELECT *, {_RECORDS}, FALSE AS old FROM e WHERE kind <> 2)
+{_ATTEMPTS} FROM s""")
+def x1_batches(spark, sf):
+    """One manifest for each file, also of batches that ran twice."""
+    return _told(_imported(spark, sf).manifests())
+
+
+@query("t10_embed_imported", f"""WITH {_MIXED}, s AS (SELECT * FROM e WHERE kind <> 2 AND errors = 0)
+SELECT count(*) FILTER (WHERE kind = 0) * 2 + count(*) FILTER (WHERE kind = 1) * 2 + coalesce(sum(parts) FILTER (WHERE kind > 3), 0) AS documents,
+  count(*) FILTER (WHERE kind = 0) * 2 + count(*) FILTER (WHERE kind = 1) * 2 + coalesce(sum(parts) FILTER (WHERE kind > 3), 0) AS vectors,
+  0::BIGINT AS without_vector, 0::BIGINT AS wrong FROM s""")
+def t10_embed(spark, sf):
+    """Every imported document has the vector of its content; two counts stand in for a model's."""
+    tables, root = _imported(spark, sf), shared_folder(spark, "embedded")
+    sm.stream_embed(tables.changes(), lambda texts: [[len(t), t.count(" ")] for t in texts], 2, root, shared_folder(spark, "progress")).awaitTermination()
+    vectors = sm.latest_vectors(spark, root).select("doc_id", "embedding").withColumn("has", F.lit(1))
+    both = tables.documents().select(ig.document_key().alias("doc_id"), "content").withColumn("is", F.lit(1)).join(vectors, "doc_id", "full")
+    blanks = F.length("content") - F.length(F.replace("content", F.lit(" "), F.lit("")))
+    right = F.array(F.length("content").cast("double"), blanks.cast("double")) == F.col("embedding")
+    return both.agg(F.count("is").alias("documents"), F.count("has").alias("vectors"), F.count_if(F.col("has").isNull()).alias("without_vector"), F.count_if(~F.coalesce(right, F.lit(False))).alias("wrong"))
+
+
 @query("x1_stream_import", TEXTS)
 def x1(spark, sf):
     root = shared_folder(spark, "imported")
@@ -170,3 +226,16 @@ def x4(spark, sf):
     once = sm.dedupe_files(files.unionByName(files)).select("value")
     once.writeStream.format("parquet").option("checkpointLocation", shared_folder(spark, "progress")).trigger(availableNow=True).start(root).awaitTermination()
     return _read_back(spark.read.parquet(root))
+
+
+@query("x3_stream_graph_update", sq.GRAPH_SQL_OF_DOCUMENTS)
+def x3(spark, sf):
+    """All documents come, in several batches; then the references of half of them change."""
+    changed, progress = shared_folder(spark, "changed"), shared_folder(spark, "progress")
+    edges = Versions(spark, shared_folder(spark, "edges"))
+    ids = _docs(spark, sf).select("doc_id")
+    for part, docs in ((ids.repartition(3), sq.citing(spark, sf, 8)), (ids.where("doc_id % 8 < 4").repartition(2), sq.citing(spark, sf))):
+        part.write.mode("append").parquet(changed)
+        stream = spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(changed)
+        sm.stream_graph_update(stream, lambda docs=docs: docs, edges, progress).awaitTermination()
+    return edges.read().select("source_id", "target_id")

@@ -13,18 +13,22 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.frames import union_by, written
 
 _REFS = "array<string>"
-# Layouts of the JSON payloads.
-VERSES = "array<struct<verse:int,number:int,text:string,content:string,cross_references:array<string>,crossReferences:array<string>>>"
-BIBLE = f"""struct<translation:string,language:string,source_edition:string,book:string,book_abbreviation:string,chapter:int,testament:string,verses:{VERSES},
- books:array<struct<book:string,name:string,abbreviation:string,book_abbreviation:string,testament:string,chapters:array<struct<chapter:int,number:int,verses:{VERSES}>>>>>"""
+#: White space at the ends of a text, which does not count.
+BLANKS = " \t\n\r\0\x0b"
+# Layouts of the JSON payloads. Numbers and lists of references are read as text
+# first, so that "3" is a number and a lone reference a list as well.
+_GIVEN = "string"
+VERSES = "array<struct<verse:string,number:string,text:string,content:string,cross_references:string,crossReferences:string>>"
+BIBLE = f"""struct<translation:string,language:string,source_edition:string,book:string,book_abbreviation:string,chapter:string,testament:string,verses:{VERSES},
+ books:array<struct<book:string,name:string,abbreviation:string,book_abbreviation:string,testament:string,chapters:array<struct<chapter:string,number:string,verses:{VERSES}>>>>>"""
 _LEVELS = "part:string,section:string,chapter:string,article:string,paragraph:string"
-CATECHISM = f"""struct<catechism:string,language:string,source_edition:string,publication_year:int,source_url:string,
- paragraphs:array<struct<number:int,title:string,content:string,category:string,topics:array<string>,hierarchy:struct<{_LEVELS}>,{_LEVELS},
-  ccc_references:{_REFS},internal_references:{_REFS},scripture_references:{_REFS},church_father_references:{_REFS},patristic_references:{_REFS}>>,
- lessons:array<struct<lesson:int,title:string,questions:array<struct<number:int,question:string,answer:string>>>>>"""
-FATHERS = f"""struct<author:string,work:string,language:string,original_language:string,translation:string,translator:string,century:string,topics:array<string>,volume:string,source_edition:string,source_url:string,
- sections:array<struct<reference:string,title:string,content:string,section:string,chapter:string,paragraph:string,volume:string,translation:string,topics:array<string>,
-  scripture_references:{_REFS},catechism_references:{_REFS},ccc_references:{_REFS},church_father_references:{_REFS},patristic_references:{_REFS},cross_references:{_REFS}>>>"""
+CATECHISM = f"""struct<catechism:string,language:string,source_edition:string,publication_year:string,source_url:string,
+ paragraphs:array<struct<number:string,title:string,content:string,category:string,topics:string,hierarchy:struct<{_LEVELS}>,{_LEVELS},
+  ccc_references:{_GIVEN},internal_references:{_GIVEN},scripture_references:{_GIVEN},church_father_references:{_GIVEN},patristic_references:{_GIVEN}>>,
+ lessons:array<struct<lesson:string,title:string,questions:array<struct<number:string,question:string,answer:string>>>>>"""
+FATHERS = f"""struct<author:string,work:string,language:string,original_language:string,translation:string,translator:string,century:string,topics:string,volume:string,source_edition:string,source_url:string,
+ sections:array<struct<reference:string,title:string,content:string,section:string,chapter:string,paragraph:string,volume:string,translation:string,topics:string,
+  scripture_references:{_GIVEN},catechism_references:{_GIVEN},ccc_references:{_GIVEN},church_father_references:{_GIVEN},patristic_references:{_GIVEN},cross_references:{_GIVEN}>>>"""
 
 
 def scan_sources(spark: SparkSession, paths: list[str] | str, patterns: tuple[str, ...] = ("*.json", "*.txt", "*.md")) -> DataFrame:
@@ -39,19 +43,47 @@ def checksum_files(raw: DataFrame) -> DataFrame:
 
 
 def _has(*keys: str) -> Column:
-    """A JSON file with one of the keys at its top."""
+    """A JSON file with one of the keys at its top, where it is not null."""
     found = F.lit(False)
     for k in keys:
         found = found | F.get_json_object("value", f"$.{k}").isNotNull()
     return _json() & found
 
 
+def _ending(*names: str) -> Column:
+    return F.lower(F.element_at(F.split("file_name", r"\."), -1)).isin(*names) & F.contains("file_name", F.lit("."))
+
+
 def _json() -> Column:
-    return F.endswith(F.lower("file_name"), F.lit(".json"))
+    return _ending("json")
+
+
+def _named(*parts: str) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(F.lower("file_name"), F.lit(part))
+    return found
+
 
+def _broken(value: Column) -> Column:
+    """Text that is no JSON object, or holds anything besides it."""
+    alone = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    return ~(F.startswith(F.trim(value, F.lit(BLANKS)), F.lit("{")) & F.coalesce(alone, F.lit(False)))
 
-def _named(part: str) -> Column:
-    return F.contains(F.lower("file_name"), F.lit(part))
+
+def _whole(c: Column) -> Column:
+    """A number as it is read: 0 where there is none."""
+    return F.coalesce(F.trim(c).try_cast("int"), F.lit(0))
+
+
+def _list(c: Column) -> Column:
+    """A list as it is given, or a lone value as a list; blank items do not count."""
+    items = F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, _REFS)).when(c.isNotNull(), F.array(c))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def _blank(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(BLANKS)) == ""
 
 
 def detect_source(raw: DataFrame, importers: tuple[Importer, ...] | None = None) -> DataFrame:
@@ -75,15 +107,18 @@ def write_manifests(attempts: DataFrame, root: str) -> None:
 
 
 def read_bible_json(raw: DataFrame, book: str | None = None, chapter: int | None = None) -> DataFrame:
-    """One row a verse: file_path, book, abbreviation, testament, chapter, verse, text, cross_references, position."""
+    """One row a verse: file_path, book, abbreviation, testament, chapter, verse, text, cross_references, position.
+
+    A chapter or verse without a number has number 0. Files that are no JSON have no rows;
+    ``verify_sources`` says so."""
     rows = raw.withColumn("p", F.from_json("value", BIBLE))
     single = F.array(F.struct(F.col("p.book").alias("book"), F.col("p.book").alias("name"), F.col("p.book_abbreviation").alias("abbreviation"), F.col("p.book_abbreviation").alias("book_abbreviation"), F.col("p.testament").alias("testament"), F.array(F.struct(F.col("p.chapter").alias("chapter"), F.col("p.chapter").alias("number"), F.col("p.verses").alias("verses"))).alias("chapters")))
     rows = rows.select("file_path", "p.translation", "p.language", "p.source_edition", F.posexplode(F.coalesce("p.books", single)).alias("bi", "b"))
     rows = rows.select("*", F.posexplode("b.chapters").alias("ci", "c")).select("*", F.posexplode("c.verses").alias("vi", "v"))
     out = rows.select(
         "file_path", "translation", "language", "source_edition", F.coalesce("b.book", "b.name").alias("book"), F.coalesce("b.abbreviation", "b.book_abbreviation").alias("abbreviation"), "b.testament",
-        F.coalesce("c.chapter", "c.number").alias("chapter"), F.coalesce("v.verse", "v.number").alias("verse"), F.coalesce("v.text", "v.content").alias("text"),
-        F.coalesce("v.cross_references", "v.crossReferences", F.array().cast(_REFS)).alias("cross_references"), (F.col("bi").cast("long") * 1_000_000 + F.col("ci") * 1_000 + F.col("vi")).alias("position"),
+        _whole(F.coalesce("c.chapter", "c.number")).alias("chapter"), _whole(F.coalesce("v.verse", "v.number")).alias("verse"), F.coalesce("v.text", "v.content").alias("text"),
+        F.coalesce(_list(F.coalesce("v.cross_references", "v.crossReferences")), F.array().cast(_REFS)).alias("cross_references"), (F.col("bi").cast("long") * 1_000_000 + F.col("ci") * 1_000 + F.col("vi")).alias("position"),
     )
     if book:
         out = out.where(F.lower("book") == book.lower())
@@ -127,18 +162,18 @@ def read_catechism_json(raw: DataFrame, tradition: str = "catholic") -> DataFram
     rows = raw.withColumn("p", F.from_json("value", CATECHISM))
     name = F.coalesce(F.col("p.catechism"), F.lit("catechism"))
     para = rows.select("file_path", name.alias("name"), "p.language", F.explode("p.paragraphs").alias("x"))
-    ref = F.concat(F.lit("CCC "), F.col("x.number").cast("string"))
+    ref = F.concat(F.lit("CCC "), _whole(F.col("x.number")).cast("string"))
     levels = F.struct(*[F.coalesce(F.col(f"x.hierarchy.{k}"), F.col(f"x.{k}")).alias(k) for k in ("part", "section", "chapter", "article", "paragraph")])
     text = F.coalesce("x.content", F.lit(""))
-    own = F.array_remove(tx.extract_references(text, r"\bCCC\s+\d+\b", F.col("x.internal_references"), F.col("x.ccc_references")), ref)
-    meta = [F.col("language"), F.col("x.number").alias("number"), F.col("x.category").alias("category"), F.col("x.topics").alias("topics"), levels.alias("hierarchy"), own.alias("internal_references"),
-            tx.extract_references(text, SCRIPTURE_MENTION, F.col("x.scripture_references")).alias("scripture_references"),
-            tx.list_union(F.coalesce("x.church_father_references", F.array().cast(_REFS)), F.coalesce("x.patristic_references", F.array().cast(_REFS))).alias("church_father_references"), tx.content_checksum(F.col("name"), ref, text).alias("checksum")]
+    own = F.array_remove(tx.extract_references(text, r"\bCCC\s+\d+\b", _list(F.col("x.internal_references")), _list(F.col("x.ccc_references"))), ref)
+    meta = [F.col("language"), _whole(F.col("x.number")).alias("number"), F.col("x.category").alias("category"), _list(F.col("x.topics")).alias("topics"), levels.alias("hierarchy"), own.alias("internal_references"),
+            tx.extract_references(text, SCRIPTURE_MENTION, _list(F.col("x.scripture_references"))).alias("scripture_references"),
+            tx.list_union(F.coalesce(_list(F.col("x.church_father_references")), F.array().cast(_REFS)), F.coalesce(_list(F.col("x.patristic_references")), F.array().cast(_REFS))).alias("church_father_references"), tx.content_checksum(F.col("name"), ref, text).alias("checksum")]
     first = para.select("file_path", *_document("catechism", F.col("name"), ref, F.coalesce("x.title", ref), F.col("x.content"), tradition, meta))
     lessons = rows.where("p.paragraphs is null").select("file_path", name.alias("name"), "p.language", F.explode("p.lessons").alias("l")).select("*", F.explode("l.questions").alias("q"))
     qref = F.concat(F.lit("Question "), F.col("q.number").cast("string"))
     body = F.concat_ws("\n", "q.question", "q.answer")
-    qmeta = [F.col("language"), F.col("l.lesson").alias("lesson"), F.col("q.number").alias("number"), tx.content_checksum(F.col("name"), qref, body).alias("checksum")]
+    qmeta = [F.col("language"), _whole(F.col("l.lesson")).alias("lesson"), _whole(F.col("q.number")).alias("number"), tx.content_checksum(F.col("name"), qref, body).alias("checksum")]
     return first.unionByName(lessons.select("file_path", *_document("catechism", F.col("name"), qref, F.concat(qref, F.lit(": "), F.col("q.question")), body, tradition, qmeta)))
 
 
@@ -151,16 +186,27 @@ def read_fathers_json(raw: DataFrame, author: str | None = None, tradition: str
     none = F.array().cast(_REFS)
     text = F.coalesce("s.content", F.lit(""))
     ref = F.coalesce("s.reference", F.concat_ws(" ", "p.author", "p.work", "s.section"))
-    meta = [F.col("p.language").alias("language"), F.col("p.author").alias("author"), tx.author_key(F.col("p.author")).alias("author_key"), F.col("p.work").alias("work"), F.col("p.century").alias("century"), both("volume").alias("volume"), both("translation").alias("translation"), both("topics").alias("topics"),
-            tx.extract_references(text, SCRIPTURE_MENTION, F.col("s.scripture_references")).alias("scripture_references"), tx.extract_references(text, r"\bCCC\s+\d+\b", F.col("s.catechism_references"), F.col("s.ccc_references")).alias("catechism_references"),
-            tx.list_union(F.coalesce("s.church_father_references", none), F.coalesce("s.patristic_references", none)).alias("church_father_references"), F.coalesce("s.cross_references", none).alias("cross_references"), tx.content_checksum(F.col("p.work"), ref, text).alias("checksum")]
+    meta = [F.col("p.language").alias("language"), F.col("p.author").alias("author"), tx.author_key(F.col("p.author")).alias("author_key"), F.col("p.work").alias("work"), F.col("p.century").alias("century"), both("volume").alias("volume"), both("translation").alias("translation"), _list(both("topics")).alias("topics"),
+            tx.extract_references(text, SCRIPTURE_MENTION, _list(F.col("s.scripture_references"))).alias("scripture_references"), tx.extract_references(text, r"\bCCC\s+\d+\b", _list(F.col("s.catechism_references")), _list(F.col("s.ccc_references"))).alias("catechism_references"),
+            tx.list_union(F.coalesce(_list(F.col("s.church_father_references")), none), F.coalesce(_list(F.col("s.patristic_references")), none)).alias("church_father_references"), F.coalesce(_list(F.col("s.cross_references")), none).alias("cross_references"), tx.content_checksum(F.col("p.work"), ref, text).alias("checksum")]
     return rows.select("file_path", *_document("church_father", F.col("p.author"), ref, F.coalesce("s.title", ref), F.col("s.content"), tradition, meta))
 
 
-def split_segments(texts: DataFrame, id_col: str, text_col: str, separator: str = r"\n\s*\n") -> DataFrame:
+def split_segments(texts: DataFrame, id_col: str, text_col: str, separator: str = r"\n\s*\n", blanks: str = " ") -> DataFrame:
     """(id, segment, text): segments keep their number among all, blank ones are left out."""
-    rows = texts.select(id_col, F.posexplode(F.split(F.trim(text_col), separator, -1)).alias("i", "text"))
-    return rows.where(F.trim("text") != "").select(id_col, (F.col("i") + 1).alias("segment"), F.trim("text").alias("text"))
+    cut = lambda c: F.trim(c, F.lit(blanks))
+    rows = texts.select(id_col, F.posexplode(F.split(cut(F.col(text_col)), separator, -1)).alias("i", "text"))
+    return rows.where(cut(F.col("text")) != "").select(id_col, (F.col("i") + 1).alias("segment"), cut(F.col("text")).alias("text"))
+
+
+def text_documents(raw: DataFrame, source_type: str, tradition: str = "catholic", language: str = "en") -> DataFrame:
+    """A document for each paragraph of a text file, named by the file and the paragraph's number."""
+    named = raw.withColumn("__file", F.struct("file_path", "file_name"))
+    rows = split_segments(named, "__file", "value", blanks=BLANKS)
+    name = F.col("__file.file_name")
+    ref = F.concat(name, F.lit("#"), F.col("segment").cast("string"))
+    meta = [F.lit(language).alias("language"), name.alias("source_file"), F.col("segment"), F.sha2(F.col("text").cast("binary"), 256).alias("checksum")]
+    return rows.select(F.col("__file.file_path").alias("file_path"), *_document(source_type, name, ref, ref, F.col("text"), tradition, meta))
 
 
 def extract_html_links(pages: DataFrame) -> DataFrame:
@@ -208,41 +254,139 @@ class Importer:
     """Condition over file_name and value"""
 
 
+def _listed(rules: dict[str, Column]) -> Column:
+    """Names of the rules that are broken."""
+    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+
+
+def _of_file(raw: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(file_path, reference, error) of what is wrong with whole files."""
+    return raw.select("file_path", F.lit(None).cast("string").alias("reference"), F.explode(_listed(rules)).alias("error"))
+
+
+#: The error of a file that gives no record, where it has no other.
+NO_RECORDS = "no records"
+
+
+def _all_errors(raw: DataFrame, records: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Errors of files and rows; a file that gives no record is wrong, whatever the reason."""
+    out = raw.join(records.select("file_path"), "file_path", "left_anti").select("file_path", F.lit(None).cast("string").alias("reference"), F.lit(NO_RECORDS).alias("error"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def _repeated(*keys) -> Column:
+    return F.count("*").over(W.partitionBy("file_path", *keys)) > 1
+
+
+def _unreadable(raw: DataFrame) -> DataFrame:
+    """Files that are empty, or are named as JSON and are none."""
+    return _of_file(raw, {"empty": _blank(F.col("value")), "json": _json() & _broken(F.col("value"))})
+
+
+def _misfit(raw: DataFrame, layout: str, *lists: str) -> DataFrame:
+    """JSON files that hold something else than a list where their layout has one."""
+    read = F.from_json("value", layout)
+    return _of_file(raw.where(_json() & ~_broken(F.col("value"))), {"layout": F.exists(F.array(*[read[k].isNull() & F.get_json_object("value", f"$.{k}").isNotNull() for k in lists]), lambda x: x)})
+
+
+CCC = r"^CCC\s+\d+$"
+
+
+def _wrong_reference(references: Column) -> Column:
+    return F.exists(F.coalesce(_list(references), F.array().cast(_REFS)), lambda r: ~F.rlike(r, F.lit(CCC)))
+
+
 def _verse_errors(raw: DataFrame) -> DataFrame:
+    held = lambda k: F.get_json_object("value", f"$.{k}").isNotNull()
+    fields = {k: ~held("books") & ~held(k) for k in ("book", "chapter", "verses")}
     verses = read_bible_json(raw)
     ref = tx.format_reference(F.col("book"), F.col("chapter"), F.col("verse"))
-    many = F.count("*").over(W.partitionBy("file_path", ref))
-    bad = F.array_compact(F.array(F.when((F.col("chapter") < 1) | (F.col("verse") < 1), F.lit("bad_number")), F.when(many > 1, F.lit("duplicate")), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("blank")), F.when(F.col("book").isNull(), F.lit("book"))))
-    return verses.withColumn("bad", bad).select("file_path", ref.alias("reference"), F.explode("bad").alias("error")).distinct()
+    before = F.lag("verse").over(W.partitionBy("file_path", F.floor(F.col("position") / 1000)).orderBy("position"))
+    rules = {"bad_number": (F.col("chapter") < 1) | (F.col("verse") < 1), "order": (F.col("verse") > 0) & (F.col("verse") <= before), "duplicate": _repeated("book", "chapter", "verse"), "blank": _blank(F.col("text")), "book": _blank(F.col("book"))}
+    named = F.coalesce(ref, F.concat(F.lit("position "), F.col("position").cast("string")))
+    rows = verses.withColumn("bad", _listed(rules)).select("file_path", named.alias("reference"), F.explode("bad").alias("error"))
+    readable = raw.where(~_broken(F.col("value")))
+    return _all_errors(raw, verses, _unreadable(raw), _misfit(raw, BIBLE, "books", "verses"), _of_file(readable, fields), rows)
+
+
+def _paragraph_errors(raw: DataFrame) -> DataFrame:
+    payload = raw.where(_json()).withColumn("p", F.from_json("value", CATECHISM))
+    x = payload.select("file_path", F.posexplode("p.paragraphs").alias("i", "x")).withColumn("number", _whole(F.col("x.number")))
+    ref = F.when(F.col("number") > 0, F.concat(F.lit("CCC "), F.col("number").cast("string"))).otherwise(F.concat(F.lit("index "), F.col("i").cast("string")))
+    x = x.withColumn("h", F.struct(*[F.coalesce(F.col(f"x.hierarchy.{k}"), F.col(f"x.{k}")).alias(k) for k in ("part", "section", "chapter", "article", "paragraph")]))
+    rules = {
+        "bad_number": F.col("number") < 1, "duplicate": _repeated("number"), "blank": _blank(F.col("x.content")), "hierarchy": ~tx.hierarchy_valid("h"),
+        "topics": F.col("x.topics").isNotNull() & ~F.startswith(F.trim("x.topics"), F.lit("[")), "reference": _wrong_reference(F.col("x.ccc_references")),
+    }
+    rows = x.withColumn("bad", _listed(rules)).select("file_path", ref.alias("reference"), F.explode("bad").alias("error"))
+    return _all_errors(raw, read_catechism(raw), _unreadable(raw), _misfit(raw, CATECHISM, "paragraphs", "lessons"), rows)
+
+
+# Authors whose works are taken, by key.
+AUTHORS = ("augustine", "thomas_aquinas", "john_chrysostom", "athanasius", "gregory_the_great")
 
 
-def _content_errors(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+def section_errors(authors: tuple[str, ...] | None = AUTHORS) -> Callable[[DataFrame], DataFrame]:
+    """Errors of files of sections; authors, if given, are all that are taken."""
+
     def errors(raw: DataFrame) -> DataFrame:
-        docs = read(raw)
-        many = F.count("*").over(W.partitionBy("file_path", "reference"))
-        bad = F.array_compact(F.array(F.when(many > 1, F.lit("duplicate")), F.when(F.trim(F.coalesce("content", F.lit(""))) == "", F.lit("blank"))))
-        return docs.withColumn("bad", bad).select("file_path", "reference", F.explode("bad").alias("error")).distinct()
+        payload = raw.where(_json() & ~_broken(F.col("value"))).withColumn("p", F.from_json("value", FATHERS))
+        known = F.lit(True) if authors is None else tx.author_key(F.col("p.author")).isin(*authors)
+        whole = _of_file(payload, {"author": _blank(F.col("p.author")), "unknown author": ~_blank(F.col("p.author")) & ~known, "work": _blank(F.col("p.work"))})
+        s = payload.select("file_path", F.posexplode("p.sections").alias("i", "s"))
+        ref = F.when(_blank(F.col("s.reference")), F.concat(F.lit("index "), F.col("i").cast("string"))).otherwise(F.trim("s.reference"))
+        rules = {
+            "no reference": _blank(F.col("s.reference")), "duplicate": _repeated(F.trim(F.coalesce("s.reference", F.lit("")))), "blank": _blank(F.col("s.content")),
+            "hierarchy": F.col("s.paragraph").isNotNull() & F.col("s.chapter").isNull() & F.col("s.section").isNull(), "reference": _wrong_reference(F.col("s.catechism_references")),
+        }
+        rows = s.withColumn("bad", _listed(rules)).select("file_path", ref.alias("reference"), F.explode("bad").alias("error"))
+        return _all_errors(raw, read_fathers(raw), _unreadable(raw), _misfit(raw, FATHERS, "sections"), whole, rows)
 
     return errors
 
 
+def read_catechism(raw: DataFrame) -> DataFrame:
+    """Documents of JSON files, and of text files by paragraph."""
+    return read_catechism_json(raw.where(_json())).unionByName(text_documents(raw.where(~_json()), "catechism"))
+
+
+def read_fathers(raw: DataFrame) -> DataFrame:
+    return read_fathers_json(raw.where(_json())).unionByName(text_documents(raw.where(~_json()), "church_father"))
+
+
+def _all_of(*keys: str) -> Column:
+    found = _json()
+    for k in keys:
+        found = found & _has(k)
+    return found
+
+
+TEXT = ("txt", "md")
 IMPORTERS = (
-    Importer("bible", lambda raw: bible_documents(read_bible_json(raw)), _verse_errors, lambda: _json() & _named("bible") | _has("books") | (_has("book") & _has("verses"))),
-    Importer("catechism", read_catechism_json, _content_errors(read_catechism_json), lambda: _named("catechism") | _json() & _named("ccc") | _has("paragraphs", "lessons")),
-    Importer("church_fathers", read_fathers_json, _content_errors(read_fathers_json), lambda: _named("father") | _has("sections", "author")),
+    Importer("bible", lambda raw: bible_documents(read_bible_json(raw)), _verse_errors, lambda: _json() & _named("bible", "douay") | _has("books") | _all_of("book", "chapter", "verses")),
+    Importer("catechism", read_catechism, _paragraph_errors, lambda: _ending(*TEXT) & _named("catechism") | _json() & _named("catechism", "ccc") | _has("paragraphs", "lessons")),
+    Importer("church_fathers", read_fathers, section_errors(), lambda: _ending("json", *TEXT) & _named("church-father", "church_father", "fathers") | _has("sections") & _has("author", "work")),
 )
 
 
 def verify_sources(raw: DataFrame, importers: tuple[Importer, ...] = IMPORTERS) -> DataFrame:
-    """(file_path, status, errors): verified, unsupported or failed."""
+    """(file_path, status, errors): verified, unsupported or failed.
+
+    A file fails if it is empty, is named as JSON and is none, has something else than a
+    list where its layout has one, breaks a rule of its kind in any row, or gives no record at all. What is
+    wrong with a whole file stands without a reference.
+    """
     routed = detect_source(raw, importers)
-    errors = raw.limit(0).select("file_path", F.lit("").alias("reference"), F.lit("").alias("error"))
+    errors = raw.limit(0).select("file_path", F.lit(None).cast("string").alias("reference"), F.lit("").alias("error"))
     for i in importers:
         if i.errors is None:
             continue
         own = routed.where(F.col("importer") == i.name)
         errors = union_by(["file_path"], errors, i.errors(own))
-    grouped = errors.groupBy("file_path").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "reference", "error"))).alias("errors"))
+    all_of_it = F.sort_array(F.collect_set(F.concat_ws(": ", "reference", "error")))
+    grouped = errors.groupBy("file_path").agg(all_of_it.alias("all")).select("file_path", F.when(F.size("all") > 1, F.array_remove("all", NO_RECORDS)).otherwise(F.col("all")).alias("errors"))
     out = routed.select("file_path", "importer").join(grouped, "file_path", "left")
     status = F.when(F.col("importer").isNull(), "unsupported").when(F.size("errors") > 0, "failed").otherwise("verified")
     return out.select("file_path", status.alias("status"), F.coalesce("errors", F.array().cast(_REFS)).alias("errors"))
@@ -258,6 +402,12 @@ def changed_documents(upserted: DataFrame) -> DataFrame:
     return upserted.where(F.col("status").isin("created", "updated"))
 
 
+def document_key() -> Column:
+    """Id of an imported document, the same in every import: a digest of its key."""
+    told = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    return F.sha2(F.concat(*[told(c) for c in ("source_type", "source_name", "reference")]).cast("binary"), 256)
+
+
 def import_sources(raw: DataFrame, existing: DataFrame, manifests: DataFrame, importers: tuple[Importer, ...] = IMPORTERS, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents after the upsert with their status, import attempts) of scanned files.
 

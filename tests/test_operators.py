@@ -219,6 +219,31 @@ def test_import_is_idempotent(spark, tmp_path):
     assert {r.status for r in ig.running_manifests(left).collect()} == {"running"}
 
 
+def test_import_loses_nothing(spark):
+    """Each file is routed by the rules of its kind, and is imported whole or fails with its errors."""
+    verse = lambda **more: {"book": "John", "chapter": 3, "verses": [{"verse": 1, "text": "x", **more}]}
+    ccc = lambda **more: {"paragraphs": [{"number": "7", "content": "c", **more}]}
+    section = lambda **more: {"author": "St. Athanasius", "work": "On", "sections": [{"reference": "On 1", "content": "c", **more}]}
+    two = {**verse(), "verses": [{"number": 2, "content": "b"}, {"number": 2, "content": "a"}, {"number": 1, "text": "\n\t"}]}
+    files = {
+        "Douay-John.json": (verse(crossReferences="Gen 1:1"), "bible", []), "a.json": ({k: v for k, v in verse().items() if k != "chapter"}, None, None), "bible-a.json": ({"verses": []}, "bible", ["book", "chapter"]),
+        "bible-b.json": ("{broken", "bible", ["json"]), "bible-c.json": ({"books": 3}, "bible", ["layout"]), "bible-d.json": ('{"books": []} more', "bible", ["json"]), "bible-e.json": ({"books": []}, "bible", ["no records"]),
+        "b.json": (two, "bible", ["John 3:1: blank", "John 3:1: order", "John 3:2: duplicate", "John 3:2: order"]), "c.json": (verse(verse=None), "bible", ["John 3:0: bad_number"]),
+        "my-catechism.txt": ("One.\n \nTwo.\n\n", "catechism", []), "catechism.md": (" \n", "catechism", ["empty"]), "notes-ccc.txt": ("x", None, None), "ccc.json": (ccc(topics="grace"), "catechism", ["CCC 7: topics"]),
+        "d.json": (ccc(section="s", ccc_references=["CCC 8", "CCC x"]), "catechism", ["CCC 7: hierarchy", "CCC 7: reference"]), "e.json": ({"paragraphs": [{"content": "c"}]}, "catechism", ["index 0: bad_number"]),
+        "Church-Father.md": ("Text.", "church_fathers", []), "f.json": (section(), "church_fathers", []), "g.json": ({"author": "x"}, None, None), "fatherhood.json": ({}, None, None),
+        "h.json": ({**section(paragraph="1"), "author": "Nobody"}, "church_fathers", ["On 1: hierarchy", "unknown author"]), "i.json": ({"work": "On", "sections": [{"content": ""}]}, "church_fathers", ["author", "index 0: blank", "index 0: no reference"]),
+    }
+    rows = [(n, n, v if isinstance(v, str) else json.dumps(v)) for n, (v, _, _) in files.items()]
+    raw = frame(spark, rows, "file_path string, file_name string, value string")
+    assert {r.file_path: r.importer for r in ig.detect_source(raw).collect()} == {n: i for n, (_, i, _) in files.items()}
+    assert {r.file_path: (r.status, r.errors) for r in ig.verify_sources(raw).collect()} == {n: ("unsupported", []) if i is None else ("failed" if e else "verified", e) for n, (_, i, e) in files.items()}
+    docs, attempts = ig.import_sources(raw, frame(spark, [], DOC), frame(spark, [], "file_path string, checksum string, importer string, status string"))
+    assert {r.reference: r.content for r in docs.collect() if "#" in r.reference} == {"my-catechism.txt#1": "One.", "my-catechism.txt#2": "Two.", "Church-Father.md#1": "Text."}
+    told = {r.file_path: r.status for r in attempts.where("total_records = 0").collect()}
+    assert set(told.values()) == {"failed"} and json.loads(docs.where("source_type = 'bible_verse'").first().metadata)["cross_references"] == ["Gen 1:1"]
+
+
 def test_added_importer_and_known_books(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "hymns.json").write_text(json.dumps({"hymn": "One"}))
