@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,14 +38,119 @@ def tokens(text: Column, normalize: Normalizer | None = None) -> Column:
     return found if normalize is None else F.transform(found, normalize)
 
 
-def build_postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS, gap: int = 1_000_000, normalize: Normalizer | None = None) -> DataFrame:
-    """(token, doc_id, pos, weight); each field has its own range of positions."""
-    out = None
-    for i, (field, w) in enumerate(weights.items()):
-        part = docs.select("doc_id", F.posexplode(tokens(F.col(field), normalize)).alias("p", "token"))
-        part = part.select("token", "doc_id", (F.col("p") + F.lit(i * gap)).alias("pos"), F.lit(w).alias("weight"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def build_postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS, gap: int = 1_000_000, normalize: Normalizer | None = None, only: list[str] | None = None) -> DataFrame:
+    """(token, doc_id, pos, weight); each field has its own range of positions.
+
+    only, a bounded list of tokens, is looked for within the fields, so that other tokens
+    never become rows.
+    """
+
+    def places(field: str, i: int, w: float) -> Column:
+        told = F.transform(tokens(F.col(field), normalize), lambda t, p: F.struct(t.alias("token"), (p + F.lit(i * gap)).alias("pos"), F.lit(w).alias("weight")))
+        told = told if only is None else F.filter(told, lambda x: x["token"].isin(*only))
+        return F.coalesce(told, F.array().cast("array<struct<token:string,pos:int,weight:double>>"))
+
+    every = F.concat(*[places(field, i, float(w)) for i, (field, w) in enumerate(weights.items())])
+    return docs.select("doc_id", F.explode(every).alias("x")).select("x.token", "doc_id", "x.pos", "x.weight")
+
+
+#: Queries with no more distinct tokens (or parts of references) than this are looked up as a
+#: list that goes to every task; more are joined.
+VOCABULARY = 10_000
+
+
+def vocabulary(terms: DataFrame, column: str = "token") -> list[str] | None:
+    """The distinct values of a column of query terms, None if they are more than VOCABULARY."""
+    found = [r[0] for r in terms.select(column).where(F.col(column).isNotNull()).distinct().limit(VOCABULARY + 1).collect()]
+    return sorted(found) if len(found) <= VOCABULARY else None
+
+
+# parts of references
+
+#: Characters of the parts by which a reference is looked up; shorter queries take shorter ones.
+PART = 3
+
+
+def parts_of(text: Column, sizes: Column | None = None) -> Column:
+    """The distinct parts of up to PART characters of a lower-cased text, or those of one size."""
+    low = F.lower(text)
+    each = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, F.lit(n) if isinstance(n, int) else n))).otherwise(F.array().cast("array<string>"))
+    found = each(sizes) if sizes is not None else F.concat(*[each(n) for n in range(1, PART + 1)])
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+
+
+def reference_parts(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(part, doc_id, reference, source_name): an inverted file of the parts of references."""
+    found = parts_of(F.col("reference"))
+    return docs.select("doc_id", "reference", "source_name", F.explode(found if only is None else F.filter(found, lambda x: x.isin(*only))).alias("part"))
+
+
+def query_parts(queries: DataFrame) -> DataFrame:
+    """(q, part): the parts of each distinct query, all of one size."""
+    q = F.lower(F.trim("query"))
+    rows = queries.select(q.alias("q")).where("q <> ''").distinct()
+    return rows.select("q", F.explode(parts_of(F.col("q"), F.least(F.length("q"), F.lit(PART)))).alias("part"))
+
+
+def holding_reference(asked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(q, doc_id, source_name, exact) of the references that hold a query, wherever in them.
+
+    A query is looked up by the part of it that fewest references have; what is found is
+    compared with the whole query. Of the documents of one source name that hold it and
+    nothing more, the first k by id are all that can rank, so a query of one character does
+    not bring a row for each document.
+    """
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "part").groupBy("q").agg(F.min(F.struct("n", "part"))["part"].alias("part"))
+    low = F.lower("reference")
+    # a query that is one part is answered by its list, cut before it meets the queries
+    lead = W.partitionBy("part", "source_name").orderBy("doc_id")
+    first = parts.withColumn("r", F.row_number().over(lead)).where(F.col("r") <= k).drop("r").unionByName(parts.where(low == F.col("part")))
+    short = first.join(rarest.where("q = part"), "part")
+    long = parts.join(rarest.where("q <> part"), "part").where(F.contains(low, F.col("q")))
+    found = short.unionByName(long).select("q", "doc_id", "source_name", (low == F.col("q")).alias("exact")).distinct()
+    order = W.partitionBy("q", "source_name").orderBy("doc_id")
+    return found.withColumn("r", F.row_number().over(order)).where((F.col("r") <= k) | F.col("exact")).drop("r")
+
+
+class LexicalIndex:
+    """Postings and parts of references, built once and written below root.
+
+    Rows lie in buckets by a hash of their token, sorted by it, so a search reads the buckets
+    of its queries' tokens and there the row groups that hold them. A token with a third of
+    all rows is spread over many files. ``search`` needs no text of the corpus.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _bucket(self, token: str) -> Column:
+        return F.pmod(F.hash(token), F.lit(self.buckets))
+
+    def _write(self, rows: DataFrame, token: str, name: str) -> None:
+        rows = rows.withColumn("bucket", self._bucket(token)).repartitionByRange("bucket", token, "doc_id").sortWithinPartitions("bucket", token, "doc_id")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}")
+
+    def build(self, docs: DataFrame, normalize: Normalizer | None = None) -> LexicalIndex:
+        self._write(build_postings(docs, normalize=normalize), "token", "postings")
+        self._write(reference_parts(docs), "part", "parts")
+        return self
+
+    def _read(self, name: str, token: str, only: list[str] | None, asked: DataFrame) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.root}/{name}")
+        if only is None:  # buckets are pruned by the join
+            wanted = asked.select(token).distinct().withColumn("bucket", self._bucket(token))
+            return rows.join(wanted, ["bucket", token], "left_semi").drop("bucket")
+        if not only:
+            return rows.limit(0).drop("bucket")
+        buckets = [r[0] for r in self.spark.createDataFrame([(x,) for x in only], f"{token} string").select(self._bucket(token)).distinct().collect()]
+        return rows.where(F.col("bucket").isin(*buckets) & F.col(token).isin(*only)).drop("bucket")
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        return self._read("postings", "token", vocabulary(terms), terms)
+
+    def parts(self, asked: DataFrame) -> DataFrame:
+        return self._read("parts", "part", vocabulary(asked, "part"), asked)
 
 
 def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -82,13 +187,13 @@ def search_terms(queries: DataFrame, normalize: Normalizer | None = None) -> Dat
     return rows.select("*", F.posexplode("t").alias("place", "token")).drop("t")
 
 
-def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
+def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, pos, weight, n_terms) in the documents that match.
 
     A document matches if it holds every term and none that is unwanted; a query of
     unwanted terms alone matches nothing.
     """
-    terms = search_terms(queries, normalize)
+    terms = search_terms(queries, normalize) if terms is None else terms
     rows, longest = terms.agg(F.count("*"), F.max("size")).first()
     small = rows <= BROADCAST_ROWS
     hits = postings.join(F.broadcast(terms) if small else terms, "token")
@@ -104,7 +209,8 @@ def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer |
 
 def lexical_matches(queries: DataFrame, docs: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
     """(query_id, doc_id) of the documents whose text matches."""
-    return occurrences(queries, build_postings(docs, normalize=normalize), normalize).select("query_id", "doc_id").distinct()
+    terms = search_terms(queries, normalize)
+    return occurrences(queries, build_postings(docs, normalize=normalize, only=vocabulary(terms)), normalize, terms).select("query_id", "doc_id").distinct()
 
 
 def cover_density(occurrences: DataFrame, most_terms: int) -> DataFrame:
@@ -140,34 +246,41 @@ def filtered(docs: DataFrame, filters: dict | None) -> DataFrame:
     return dx.filter_metadata(docs, **{k: v for k, v in given.items() if k not in own})
 
 
-def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFrame | None = None, filters: dict | None = None, normalize: Normalizer | None = None) -> DataFrame:
+def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFrame | None = None, filters: dict | None = None, normalize: Normalizer | None = None, index: LexicalIndex | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents of each query.
 
     Queries may hold "phrases", or, and -unwanted words. score = cover density + 10 if the
     reference is the query + 5 if the reference holds it + 2 if the source name holds it;
-    any of these, or a match of the text, count. Filters come before the ranking.
+    any of these, or a match of the text, count. A reference may hold the query anywhere,
+    parts of words included. Filters come before the ranking. With an index, made from docs
+    or more, no text is read; else the fields of docs are searched for the queries' tokens.
     """
     docs = filtered(docs, filters)
+    terms, asked = search_terms(queries, normalize), query_parts(queries)
     if postings is None:
-        postings = build_postings(docs, normalize=normalize)
-    elif filters:
+        postings = build_postings(docs, normalize=normalize, only=vocabulary(terms)) if index is None else index.postings(terms)
+    parts = reference_parts(docs, vocabulary(asked, "part")) if index is None else index.parts(asked)
+    if filters and index is not None:
+        parts = parts.join(docs.select("doc_id"), "doc_id", "left_semi")
+    if filters:
         postings = postings.join(docs.select("doc_id"), "doc_id", "left_semi")
-    hits = occurrences(queries, postings, normalize)
+    hits = occurrences(queries, postings, normalize, terms)
     most = queries.select(F.max(F.size(tokens(F.col("query")))).alias("n")).first()[0] or 1
     pair = ["query_id", "doc_id"]
     text = cover_density(hits, most)  # of one term: the sum of its weights
     q = F.lower(F.trim("query"))
     contains = lambda c: F.contains(F.lower(F.col(c)), q)
-    # a reference can hold the query only if it has the query's first token
-    asked = queries.select("query_id", "query", F.explode(tokens(F.col("query"))).alias("token")).dropDuplicates(["query_id"])
-    refs = docs.select("doc_id", "reference", F.explode(F.array_distinct(tokens(F.col("reference")))).alias("token"))
-    near = refs.join(asked, "token").where(contains("reference"))
     exact = F.when(F.lower("reference") == q, F.lit(10.0)).otherwise(F.lit(0.0))
-    found = union_by(pair, text.select(*pair, F.col("rank").alias("points")), near.select(*pair, (exact + 5.0).alias("points"))).groupBy(*pair).agg(F.sum("points").alias("points"))
+    asks = queries.select("query_id", "query")
+    told = text.join(docs.select("doc_id", "reference", "source_name"), "doc_id").join(asks, "query_id")
+    told = told.select(*pair, "source_name", (F.col("rank") + F.when((q != "") & contains("reference"), exact + 5.0).otherwise(0.0)).alias("points"))
+    near = holding_reference(asked, parts, k).join(asks.select("query_id", q.alias("q")), "q")
+    near = near.select(*pair, "source_name", F.when(F.col("exact"), 15.0).otherwise(5.0).alias("points"))
+    found = union_by(pair, told, near).groupBy(*pair, "source_name").agg(F.max("points").alias("points"))  # what a reference gives is in both
     # names are matched against distinct values only; of a name's documents the first k by id can rank
     names = docs.select("source_name").distinct()
     by_name = queries.join(names, contains("source_name")).select("query_id", "source_name", F.lit(2.0).alias("boost"))
-    found = found.join(docs.select("doc_id", "source_name"), "doc_id").join(by_name, ["query_id", "source_name"], "left")
+    found = found.join(by_name, ["query_id", "source_name"], "left")
     found = found.select(*pair, (F.col("points") + F.coalesce("boost", F.lit(0.0))).alias("score"))
     first = W.partitionBy("source_name").orderBy("doc_id")
     lead = docs.select("doc_id", "source_name").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
@@ -303,9 +416,9 @@ Fusion = Callable[[DataFrame, DataFrame, int, float], DataFrame]
 
 def hybrid_search(
     queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, least: float = 0.0, fusion: Fusion = weighted_fusion,
-    postings: DataFrame | None = None, filters: dict | None = None, normalize: Normalizer | None = None,
+    postings: DataFrame | None = None, filters: dict | None = None, normalize: Normalizer | None = None, index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Vector and lexical search at three times the depth, fused. queries: query_id, query, vector."""
     deep = over_fetch(k)
     near = semantic_search(queries, vectors, deep, allowed=filtered(docs, filters) if filters else None)
-    return fusion(near, lexical_search(queries, docs, deep, postings, filters, normalize), k, least)
+    return fusion(near, lexical_search(queries, docs, deep, postings, filters, normalize, index), k, least)

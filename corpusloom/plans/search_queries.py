@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import adapters as ad
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
+from corpusloom.functions.frames import shared_folder
 from corpusloom.operators import answers as an
 from corpusloom.operators import evaluation as ev
 from corpusloom.operators import graph as gx
@@ -103,7 +104,9 @@ def t3(spark, sf):
 
 @query("w7_cover_density", f"WITH {DOCS}, {ASK_SQL}, {LEXICAL_SQL} SELECT query_id, doc_id, round(rank, 6) AS rank FROM ranks")
 def w7(spark, sf):
-    hits = sx.occurrences(asks(spark, sf).select("query_id", "query"), sx.build_postings(ad.documents(spark, sf)))
+    q = asks(spark, sf).select("query_id", "query")
+    terms = sx.search_terms(q)
+    hits = sx.occurrences(q, sx.build_postings(ad.documents(spark, sf), only=sx.vocabulary(terms)), terms=terms)
     return sx.cover_density(hits, 2).select("query_id", "doc_id", F.round("rank", 6).alias("rank"))
 
 
@@ -112,6 +115,30 @@ def t1(spark, sf):
     return lex(spark, sf).select("query_id", "doc_id", "score", *long_("rank"))
 
 
+# parts of references: one to six characters from anywhere in every hundredth document's own
+
+PARTS_SQL = """asks AS (SELECT query_id, query FROM (SELECT doc_id AS query_id, trim(substr(lower(reference), (1 + doc_id // 100 % 5)::INT, (1 + doc_id // 100 % 6)::INT), ' ') AS query FROM docs WHERE doc_id % 100 = 0))"""
+
+
+def parts_asked(spark, sf):
+    n = F.floor(F.col("doc_id") / 100)
+    part = F.trim(F.substr(F.lower("reference"), (1 + n % 5).cast("int"), (1 + n % 6).cast("int")))
+    return ad.documents(spark, sf).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), part.alias("query"))
+
+
+@query("t1_partial_words", f"WITH {DOCS}, {PARTS_SQL}, {LEXICAL_SQL} SELECT query_id, doc_id, score, rank FROM lex")
+def t1_parts(spark, sf):
+    return sx.lexical_search(parts_asked(spark, sf), ad.documents(spark, sf), 3 * K).select("query_id", "doc_id", "score", *long_("rank"))
+
+
+@query("t1_stored_index", f"WITH {DOCS}, {ASK_SQL}, {LEXICAL_SQL} SELECT query_id, doc_id, score, rank FROM lex")
+def t1_stored(spark, sf):
+    """The index is written once, and only what the queries ask for is read of it."""
+    docs = ad.documents(spark, sf)
+    index = sx.LexicalIndex(spark, shared_folder(spark, "lexical-index"), 16).build(docs)
+    return sx.lexical_search(asks(spark, sf).select("query_id", "query"), docs, 3 * K, index=index).select("query_id", "doc_id", "score", *long_("rank"))
+
+
 # queries with a phrase, alternatives and an unwanted word, made of words of the documents
 
 SYNTAX_SQL = r"""words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿ]+') AS t FROM documents WHERE doc_id % 100 = 0),

@@ -266,6 +266,22 @@ def test_search_syntax_and_filters(spark):
     assert found("laws", normalize=lambda t: F.regexp_replace(t, "s$", "")) != [] and found("laws") == []
 
 
+def test_parts_of_references(spark, tmp_path):
+    refs = ["Genesis 1:1", "John 3:16", "1 John 4:8", "CCC 1", None]
+    docs = frame(spark, [(i, r, "n" if i % 2 else "law book", "t", "some text of law") for i, r in enumerate(refs)], "doc_id long, reference string, source_name string, title string, content string")
+    asked = {1: "gen", 2: "ohn 3", 3: "1 john", 4: "1", 5: "o", 6: "CCC 1", 7: "hn 9", 8: " ", 9: "law", 10: ":1"}
+    q = frame(spark, list(asked.items()), "query_id long, query string")
+    index = sx.LexicalIndex(spark, str(tmp_path / "index"), 4).build(docs)
+    want = {1: {0}, 2: {1}, 3: {2}, 4: {0, 1, 2, 3}, 5: {1, 2, 0, 4}, 6: {3}, 7: set(), 8: set(), 9: {0, 1, 2, 3, 4}, 10: {0, 1}}
+    for more in ({}, {"index": index}):
+        got = {i: {} for i in asked}
+        for r in sx.lexical_search(q, docs, 5, **more).collect():
+            got[r.query_id][r.doc_id] = r.score
+        assert {i: set(x) for i, x in got.items() if i not in (8,)} == {i: x for i, x in want.items() if i not in (8,)}
+        assert got[6][3] > 15 and got[2][1] >= 5 and got[5] == {1: 5.0, 2: 5.0 + 2.0, 0: 2.0, 4: 2.0}
+    assert {r.doc_id for r in sx.lexical_search(q.where("query_id = 4"), docs, 2).collect()} <= {0, 1, 2, 3}
+
+
 def test_highlight_and_author(spark):
     row = frame(spark, [("a <Pa> & spa",), (None,)], "t string")
     assert [r[0] for r in row.select(tx.highlight(F.col("t"), "pa")).collect()] == ["a &lt;<mark>Pa</mark>&gt; &amp; s<mark>pa</mark>", None]
