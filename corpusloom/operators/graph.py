@@ -123,15 +123,31 @@ def related_documents(seeds: DataFrame, edges: DataFrame, types: list[str] | Non
 def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 1, types: list[str] | None = None, limit: int = 100, order_by: str = "edge_id") -> DataFrame:
     """(seed, level, other, edge columns): edges met breadth-first, each once for a seed.
 
-    depth is clamped to 1 or 2; limit is the most edges of a seed, nearest first.
+    depth is clamped to 1 or 2; limit is the most edges of a seed, nearest first. order_by
+    tells edges apart. A seed that has limit edges of its own goes no further. Of a node
+    beyond, those of its first edges that can be among the limit are one list, cut before it
+    meets the seeds, so a hub brings a seed no more than limit rows, however many edges it has.
     """
-    first = touching(seeds, edges, types).withColumn("level", F.lit(1))
-    met = first
+
+    def first_of(rows: DataFrame, key: str, most: int) -> DataFrame:
+        """Each edge once, the first ones of each key, numbered."""
+        nearest, order = W.partitionBy(key, order_by).orderBy("other"), W.partitionBy(key).orderBy(order_by)
+        once = rows.withColumn("__o", F.row_number().over(nearest)).where("__o = 1").drop("__o")
+        return once.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+
+    first = first_of(touching(seeds, edges, types), "seed", limit).withColumn("level", F.lit(1))
+    met = first.drop("__n")
     if depth >= 2:
-        frontier = first.where("other <> seed").select("seed", F.col("other").alias("node")).distinct()
+        own = W.partitionBy("seed")
+        open_ = first.withColumn("__size", F.count("*").over(own)).where(F.col("__size") < limit)
+        # edges between a seed and a node are the seed's own already, at most limit of them
+        frontier = open_.where("other <> seed").groupBy("seed", F.col("other").alias("node")).agg(F.count("*").alias("__own"))
         nodes = frontier.select(F.col("node").alias("seed")).distinct()
-        second = touching(nodes, edges, types).withColumnRenamed("seed", "node").join(frontier, "node").drop("node")
-        met = union_by(["seed"], first, second.withColumn("level", F.lit(2)))
+        around = first_of(touching(nodes, edges, types).withColumnRenamed("seed", "node"), "node", 2 * limit)
+        lists = around.groupBy("node").agg(F.collect_list(F.struct("__n", *[c for c in around.columns if c not in ("node", "__n")])).alias("__edges"))
+        new = F.filter("__edges", lambda e: (e["__n"] <= F.col("__own") + limit) & (e["other"] != F.col("seed")))
+        second = frontier.join(lists, "node").select("seed", F.explode(new).alias("e")).select("seed", "e.*").drop("__n")
+        met = union_by(["seed"], met, second.withColumn("level", F.lit(2)))
     nearest = W.partitionBy("seed", order_by).orderBy("level", "other")
     once = met.withColumn("__o", F.row_number().over(nearest)).where("__o = 1").drop("__o")
     capped = W.partitionBy("seed").orderBy("level", order_by)

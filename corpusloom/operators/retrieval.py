@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.functions.frames import union_by
+from corpusloom.functions.frames import union_by, written
 
 from . import documents as dx
 from . import graph as gx
@@ -110,12 +111,32 @@ def pack_context(ranked: DataFrame, limit: int, budget: int) -> DataFrame:
     return rows.join(kept.select("query_id", F.posexplode("ids").alias("position", "doc_id")), ["query_id", "doc_id"]).withColumn("position", F.col("position") + 1)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, profile: Profile = PROFILES["ai_answer"], filters: dict[str, str] | None = None, source: dict | None = None) -> DataFrame:
+class StageCounts:
+    """Rows of the stages of a retrieval, counted while it runs and not by jobs of their own.
+
+    The counts are there once the result was computed whole.
+    """
+
+    def __init__(self) -> None:
+        self.stages: dict[str, Observation] = {}
+
+    def observed(self, stage: str, rows: DataFrame) -> DataFrame:
+        self.stages[stage] = Observation(f"{stage}-{uuid.uuid4().hex}")
+        return rows.observe(self.stages[stage], F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> dict[str, int]:
+        return {stage: seen.get["rows"] for stage, seen in self.stages.items()}
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, profile: Profile = PROFILES["ai_answer"], filters: dict[str, str] | None = None, source: dict | None = None, counts: StageCounts | None = None) -> DataFrame:
     """Context rows for a table of queries (query_id, query, vector).
 
     source (source_type, source_types, source_name, tradition) limits the documents before
-    any ranking, filters the candidates of the searches by metadata.
+    any ranking, filters the candidates of the searches by metadata. counts takes the number
+    of rows of each stage while the result is computed. Candidates that are to be expanded
+    in the graph are written to the shared folder, as they are used twice.
     """
+    seen = (lambda stage, rows: rows) if counts is None else counts.observed
     docs = dx.filter_source(docs, **(source or {}))
     analyzed = tx.expand_queries(tx.analyze_queries(queries))
     asked = analyzed.withColumn("query", F.col("expanded_query")) if profile.use_expansion else analyzed
@@ -123,16 +144,20 @@ def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: Dat
     parts = []
     if profile.use_vector:
         parts.append(candidates(sx.semantic_search(asked, vectors, deep, allowed=docs if source else None), "vector"))
+        parts[-1] = seen("vector", parts[-1])
     if profile.use_lexical:
         parts.append(candidates(sx.lexical_search(asked.select("query_id", "query"), docs, deep), "lexical"))
+        parts[-1] = seen("lexical", parts[-1])
     rows = union_candidates(*parts)
     if filters:
         allowed = dx.filter_candidates(docs, filters).select("doc_id")
-        rows = rows.join(allowed, "doc_id", "left_semi")
+        rows = seen("filtered", rows.join(allowed, "doc_id", "left_semi"))
     if profile.graph_depth > 0 and edges is not None:
-        rows = rows.persist()  # used twice; as many rows as queries times the depth of the searches
+        rows = written(rows, "candidates")  # as many rows as queries times the depth of the searches
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         seeds = rows.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
-        rows = union_candidates(rows, candidates(gx.expand_graph(seeds, edges, profile.graph_depth), "graph"))
-    fused = fuse_candidates(rows, profile.weights)
-    return pack_context(rerank(fused, docs, analyzed, profile.weights), profile.context_limit, profile.token_budget)
+        rows = union_candidates(rows, seen("graph", candidates(gx.expand_graph(seeds, edges, profile.graph_depth), "graph")))
+    ranked = rerank(fuse_candidates(rows, profile.weights), docs, analyzed, profile.weights)
+    if counts is not None:
+        ranked = written(seen("ranked", ranked), "ranked")  # packing reads it twice
+    return seen("context", pack_context(ranked, profile.context_limit, profile.token_budget))

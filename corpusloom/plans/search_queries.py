@@ -515,6 +515,19 @@ def t5(spark, sf):
     return rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), edges, rt.PROFILES["ai_answer"], {"language": "en"}).select("query_id", "doc_id")
 
 
+@query("t5_stage_counts", f"""WITH RECURSIVE {RETRIEVE_SQL}, {PACK_SQL}, packed AS (SELECT ids FROM fold QUALIFY i = max(i) OVER (PARTITION BY query_id))
+SELECT 'vector' AS stage, (SELECT count(*) FROM vec) AS n UNION ALL SELECT 'lexical', (SELECT count(*) FROM lex)
+UNION ALL SELECT 'filtered', (SELECT count(*) FROM (SELECT doc_id FROM vec UNION ALL SELECT doc_id FROM lex) JOIN docs USING (doc_id) WHERE lang = 'en')
+UNION ALL SELECT 'graph', (SELECT count(*) FROM grown) UNION ALL SELECT 'ranked', (SELECT count(*) FROM rr) UNION ALL SELECT 'context', (SELECT sum(len(ids))::BIGINT FROM packed)""")
+def t5_counts(spark, sf):
+    """Rows of every stage of t5_retrieve, counted while it is written."""
+    counts = rt.StageCounts()
+    edges = gx.resolve_references(citing(spark, sf)).withColumn("edge_id", F.col("source_id"))
+    found = rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), edges, rt.PROFILES["ai_answer"], {"language": "en"}, counts=counts)
+    found.write.parquet(shared_folder(spark, "context"))
+    return spark.createDataFrame(list(counts.rows().items()), "stage string, n long")  # a row for each stage
+
+
 # answers
 
 
