@@ -16,14 +16,21 @@
   commit. ``vacuum`` deletes files that no kept version names, but none under a note
   younger than a day, and sums older changes up into one table.
 
+* Every shard's schema stands in its manifest row, and a version is read with the union of
+  its shards' schemas: a column that came later is null in older shards, and a column that
+  became wider (int to long, float to double ...) is cast there. An arrival whose columns
+  cannot be widened into one type is refused before anything of it is written, and so is one
+  that another writer's commit has made misfit. Merged shards have the union's schema.
+
 The driver lists the paths that it reads, as Spark's own file index does; files of the
 target size keep that list short. Rows are kept as they are, with all columns, nulls, empty
-texts and repeats; an empty arrival commits a version without new shards. Only DataFrame
+texts and repeats; an empty arrival commits its schema and no shards. Only DataFrame
 functions are used.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -32,15 +39,47 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch_path
 
-MANIFEST = "path string, rows long, bytes long, tier int, added int, gone boolean"
+MANIFEST = "path string, rows long, bytes long, tier int, added int, gone boolean, schema string"
 FLOOR_BYTES, FAN_IN, TARGET_BYTES = 64 << 10, 4, 64 << 20
 #: After so many seconds a writer that left its note is taken for dead.
 STALE = 86_400
 
 
+#: Types that the next one of their row holds without loss.
+WIDER = (("tinyint", "smallint", "int", "bigint"), ("float", "double"), ("int", "double"), ("smallint", "double"), ("tinyint", "double"), ("tinyint", "float"), ("smallint", "float"), ("date", "timestamp_ntz"))
+#: So often a commit that fails for no visible reason is tried again.
+TRIES = 20
+
+
+def wider(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type of the two that holds both without loss, None if neither does."""
+    x, y = a.simpleString(), b.simpleString()
+    if x == y or y == "void":  # a column of nulls only
+        return a
+    if x == "void":
+        return b
+    for row in WIDER:
+        if x in row and y in row:
+            return a if row.index(x) > row.index(y) else b
+    return None
+
+
+def united(schemas: list[T.StructType]) -> T.StructType:
+    """All columns of schemas in the order of their first coming, each of its widest type."""
+    out: dict[str, T.DataType] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            kind = wider(out[f.name], f.dataType) if f.name in out else f.dataType
+            if kind is None:
+                raise ValueError(f"column {f.name} is {out[f.name].simpleString()} in the table and {f.dataType.simpleString()} in the arrival")
+            out[f.name] = kind
+    return T.StructType([T.StructField(n, k) for n, k in out.items()])
+
+
 class ShardedTable:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.root, self.target_bytes, self.fan_in = spark, root.rstrip("/"), target_bytes, fan_in
@@ -72,25 +111,28 @@ class ShardedTable:
         if not parts:
             return self.spark.createDataFrame([], MANIFEST)
         changes = self.spark.read.schema(MANIFEST).parquet(*parts)
-        return changes.groupBy("path").agg(*[F.max(c).alias(c) for c in ("rows", "bytes", "tier", "added", "gone")]).where("not gone")
+        return changes.groupBy("path").agg(*[F.max(c).alias(c) for c in ("rows", "bytes", "tier", "added", "gone", "schema")]).where("not gone")
 
     def commit(self, changes: DataFrame, holds: Callable[[], bool] = lambda: True) -> int | None:
         """Make changes the next version that is free; None if holds() no longer does."""
         aside = f"manifests/aside-{uuid.uuid4().hex}"
         changes.coalesce(1).write.parquet(f"{self.root}/{aside}")
         source, fs = self._path(aside)
-        while True:
+        failed = 0
+        while failed < TRIES:
             version = max([*self._numbers("v"), *self._numbers("sum")], default=0) + 1
             if not holds():
                 fs.delete(source, True)
                 return None
             target, _ = self._path(f"manifests/v{version:08d}")
             if fs.exists(target) or not fs.rename(source, target):
+                failed += not fs.exists(target)  # a version that is there now is another writer's
                 continue
             nested, _ = self._path(f"manifests/v{version:08d}/{source.getName()}")
             if not fs.exists(nested):
                 return version
             fs.rename(nested, source)  # another writer was first, and the folder went into its own
+        raise OSError(f"{source} cannot be renamed")
 
     @contextmanager
     def _intent(self, kind: str):
@@ -111,25 +153,49 @@ class ShardedTable:
         small = F.floor(F.log(F.greatest(F.col("bytes") / FLOOR_BYTES, F.lit(1.0))) / F.log(F.lit(float(self.fan_in)))).cast("int")
         return F.when(F.col("bytes") * 4 >= self.target_bytes * 3, -1).otherwise(small)
 
-    def _shards(self, folder: str, version: int) -> DataFrame:
-        """Manifest rows of the files in folder."""
-        rows = self.spark.read.schema(self.schema()).parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    def _shards(self, folder: str, version: int, schema: T.StructType) -> DataFrame:
+        """Manifest rows of the files in folder; one without rows that tells the schema where there are none."""
+        rows = self.spark.read.schema(schema).parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         sums = rows.groupBy("path", "bytes").agg(F.count("*").alias("rows"))
-        return sums.select("path", "rows", "bytes", self._tier().alias("tier"), F.lit(version).alias("added"), F.lit(False).alias("gone"))
+        told = [F.lit(version).alias("added"), F.lit(False).alias("gone"), F.lit(schema.json()).alias("schema")]
+        found = sums.select("path", "rows", "bytes", self._tier().alias("tier"), *told)
+        if found.take(1):
+            return found
+        return self.spark.range(1).select(F.lit(f"none-{uuid.uuid4().hex}").alias("path"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("bytes"), F.lit(-1).alias("tier"), *told)
+
+    def schema(self, version: int | None = None) -> T.StructType:
+        """Union of the schemas of a version's shards, in the order in which they came."""
+        found = self.manifest(version).groupBy("schema").agg(F.min("added").alias("added")).orderBy("added", "schema").collect()  # a row for each schema
+        return united([T.StructType.fromJson(json.loads(r["schema"])) for r in found])
 
-    def schema(self):
-        return self.spark.read.parquet(f"{self.root}/schema").schema
+    def _rows(self, shards: DataFrame, schema: T.StructType) -> DataFrame:
+        """The rows of shards, in columns of schema."""
+        paths: dict[str, list[str]] = {}
+        for r in shards.where("rows > 0").select("path", "schema").collect():
+            paths.setdefault(r["schema"], []).append(r["path"])
+        out = self.spark.createDataFrame([], schema)
+        for k, (own, files) in enumerate(sorted(paths.items())):
+            kind = T.StructType.fromJson(json.loads(own))
+            there = {f.name for f in kind.fields}
+            cells = [(F.col(f"`{f.name}`") if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+            part = self.spark.read.schema(kind).parquet(*files).select(*cells)
+            out = out.unionByName(part) if k else part
+        return out
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> int:
         """Add rows as shards; arrival names a column whose values are arrivals of their own."""
-        kept = rows.drop(arrival) if arrival else rows
-        path, fs = self._path("schema")
-        if not fs.exists(path):
-            kept.limit(0).coalesce(1).write.parquet(f"{self.root}/schema")
+        kind = (rows.drop(arrival) if arrival else rows).schema
+        kind = T.StructType([T.StructField(f.name, f.dataType) for f in kind.fields])
+
+        def fits() -> bool:
+            united([self.schema(), kind])
+            return True
+
+        fits()
         with self._intent("arrivals") as folder:
             writer = rows.write.option("compression", "zstd")
             (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
-            return self.commit(self._shards(folder, max(self.versions(), default=0) + 1))
+            return self.commit(self._shards(folder, max(self.versions(), default=0) + 1, kind), fits)
 
     def compact(self) -> int:
         """Merge tiers until none holds fan_in shards that fewer files can hold; the version
@@ -142,20 +208,16 @@ class ShardedTable:
             if lowest is None:
                 return max(self.versions(), default=0)
             old = shards.where(F.col("tier") == lowest["tier"])
-            rows = old.collect()  # of the files of one tier
-            paths = {r["path"] for r in rows}
+            schema = self.schema()
             with self._intent("merged") as folder:
-                merged = self.spark.read.schema(self.schema()).parquet(*paths)
-                merged.coalesce(lowest["files"]).write.option("compression", "zstd").parquet(folder)
-                gone = self.spark.createDataFrame([(r["path"], r["rows"], r["bytes"], r["tier"], r["added"], True) for r in rows], MANIFEST)
-                still = lambda: self.manifest().where("tier >= 0").select("path").where(F.col("path").isin(*paths)).count() == len(paths)
-                if self.commit(gone.unionByName(self._shards(folder, max(self.versions()) + 1)), still) is None:
+                self._rows(old, schema).coalesce(lowest["files"]).write.option("compression", "zstd").parquet(folder)
+                still = lambda: self.manifest().join(old.select("path"), "path", "left_semi").count() == lowest["n"]
+                gone = old.withColumn("gone", F.lit(True)).select(*[c.split()[0] for c in MANIFEST.split(", ")])
+                if self.commit(gone.unionByName(self._shards(folder, max(self.versions()) + 1, schema)), still) is None:
                     self._path("data")[1].delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
     def read(self, version: int | None = None) -> DataFrame:
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
-        reader = self.spark.read.schema(self.schema())
-        return reader.parquet(*paths) if paths else reader.parquet(f"{self.root}/schema")
+        return self._rows(self.manifest(version), self.schema(version))
 
     def vacuum(self, keep: int = 1) -> None:
         """Delete the files that none of the last ``keep`` versions names, and older versions.

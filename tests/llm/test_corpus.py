@@ -70,6 +70,39 @@ def test_sharding(spark, tmp_path):
     assert empty.read().collect() == [] and empty.read().columns == ["doc_id", "text"]
 
 
+def test_columns_that_come_and_widen(spark, tmp_path):
+    table = sharding.ShardedTable(spark, str(tmp_path / "t"), target_bytes=1 << 20)
+    assert table.read().collect() == [] and table.read().columns == []
+    table.append(spark.createDataFrame([], "x int, z string"))
+    assert table.read().dtypes == [("x", "int"), ("z", "string")] and table.read().collect() == []
+    table.append(spark.createDataFrame([(1, "a")], "x int, z string"))
+    table.append(spark.createDataFrame([(2, "b", 0.5)], "x int, z string, y float"))
+    table.append(spark.createDataFrame([(1 << 40, 0.1)], "x long, y double"))
+    want = [(1, "a", None), (2, "b", 0.5), (1 << 40, None, 0.1)]
+    told = lambda v=None: sorted((tuple(r) for r in table.read(v).select("x", "z", "y").collect()), key=repr)
+    assert [x[:2] for x in told()] == sorted((x[:2] for x in want), key=repr) and table.read(2).dtypes == [("x", "int"), ("z", "string")]
+    for wrong in ("x string", "x int, z int", "y boolean"):
+        with pytest.raises(ValueError):
+            table.append(spark.createDataFrame([], wrong))
+    table.append(spark.createDataFrame([(None, "c")], "x tinyint, z string"))
+    table.compact()
+    assert table.manifest().where("rows > 0").count() == 1
+    table.vacuum()
+    assert [x[:2] for x in told()] == sorted((x[:2] for x in [*want, (None, "c", None)]), key=repr) and table.read().dtypes[0] == ("x", "bigint")
+
+
+def test_two_first_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    tables = [sharding.ShardedTable(spark, str(tmp_path / "t")) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: tables[i].append(spark.range(i, i + 1).coalesce(1)), range(3)))
+    assert sorted(r.id for r in tables[0].read().collect()) == [0, 1, 2] and tables[0].versions() == [1, 2, 3]
+    other = sharding.ShardedTable(spark, str(tmp_path / "t"))
+    other.schema = lambda version=None: sharding.united([])  # it looked before the others came
+    assert other.append(spark.createDataFrame([("a",)], "name string")) == 4
+
+
 def test_two_writers(spark, tmp_path):
     table, other = (sharding.ShardedTable(spark, str(tmp_path / "t"), target_bytes=1 << 20) for _ in range(2))
     rows = lambda a: spark.range(a, a + 10).select(F.col("id").alias("doc_id")).coalesce(1)
