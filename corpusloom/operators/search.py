@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.frames import union_by
+from corpusloom.functions.frames import union_by, written
 from . import documents as dx
 
 # Field weights of reference and title, source name, content.
@@ -191,12 +191,21 @@ def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer |
     """(query_id, doc_id, term, pos, weight, n_terms) in the documents that match.
 
     A document matches if it holds every term and none that is unwanted; a query of
-    unwanted terms alone matches nothing.
+    unwanted terms alone matches nothing. Only documents with the term of a query that fewest
+    have are looked at, so a frequent word meets no more of them than its rare companion.
+    The postings are written once, as they are used three times.
     """
     terms = search_terms(queries, normalize) if terms is None else terms
     rows, longest = terms.agg(F.count("*"), F.max("size")).first()
-    small = rows <= BROADCAST_ROWS
-    hits = postings.join(F.broadcast(terms) if small else terms, "token")
+    small = (lambda df: F.broadcast(df)) if rows <= BROADCAST_ROWS else (lambda df: df)
+    postings = written(postings, "postings")
+    counts = postings.groupBy("token").agg(F.count("*").alias("n"))
+    priced = terms.where("term >= 0").join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    least = priced.groupBy("query_id", "term", "alternative").agg(F.min(F.struct("n", "token")).alias("x"))  # of a phrase its rarest token
+    one = least.withColumn("all", F.sum("x.n").over(W.partitionBy("query_id", "term"))).withColumn("best", F.min(F.struct("all", "term")).over(W.partitionBy("query_id")))
+    lead = one.where("term = best.term").select("query_id", F.col("x.token").alias("token"))
+    near = postings.select("token", "doc_id").join(small(lead), "token").select("query_id", "doc_id").distinct()
+    hits = near.join(small(terms), "query_id").join(postings, ["token", "doc_id"])
     spot = ["query_id", "doc_id", "term", "alternative"]
     if (longest or 1) > 1:  # all tokens of a phrase, one after the other in one field
         hits = hits.withColumn("pos", F.col("pos") - F.col("place"))
@@ -256,6 +265,9 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     or more, no text is read; else the fields of docs are searched for the queries' tokens.
     """
     docs = filtered(docs, filters)
+    each = queries.select("query_id", "query")
+    same = each.groupBy("query").agg(F.min("query_id").alias("first"))  # a text that is asked often is searched once
+    queries = same.select(F.col("first").alias("query_id"), "query")
     terms, asked = search_terms(queries, normalize), query_parts(queries)
     if postings is None:
         postings = build_postings(docs, normalize=normalize, only=vocabulary(terms)) if index is None else index.postings(terms)
@@ -286,7 +298,8 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     lead = docs.select("doc_id", "source_name").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
     only = lead.join(by_name, "source_name").select(*pair, F.col("boost").alias("score"))
     total = union_by(pair, found, only).groupBy(*pair).agg(F.round(F.max("score"), 6).alias("score"))
-    return top_k_per_query(total, k)
+    best = top_k_per_query(total, k).withColumnRenamed("query_id", "first")
+    return best.join(each.join(same, "query").select("query_id", "first"), "first").select("query_id", "doc_id", "score", "rank")
 
 
 # vectors
