@@ -18,8 +18,9 @@ non-finite component take no part; shorter vectors count as padded with zeros, a
 empty vector scores 0. Ties go to the smaller id, then to the smaller row. Rows are told
 apart by place, not by id: rows that repeat an id are queries and candidates each of their
 own, and a query is compared with every row but its own. Rows without an id take no part.
-Products of components of 2**20 and more are computed in whole numbers of any size; a
-part's score beyond 2**60 counts as 2**60.
+Products of components of 2**20 and more are computed in whole numbers of any size, and
+parts are summed in 38 digits. What a long cannot hold, a part's score or the whole, counts
+as the largest (or least) long, so ranks stay right and only such scores are cut.
 
 Of rows with equal vectors only the first k + 1 can be in an answer, so a vector with a
 third of all rows brings no more than those.
@@ -36,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARTS = 2
-LARGE, MOST = 2.0**20, 1 << 60
+LARGE, MOST = 2.0**20, (1 << 63) - 1
 ENTRY = "qrow long, shard int, part int, vrow long, score long"
 #: Best entries that a list sends first, in multiples of k.
 FIRST = 5
@@ -161,13 +162,14 @@ def top_k(
         sent = whole.groupBy(*names).cogroup(held.groupBy(*names)).applyInArrow(_entries(k, scale, phase), ENTRY)
         return written(sent, name)
 
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
     best = lambda by: W.partitionBy("qrow").orderBy(*by)
     made = []
 
     def named_by(entries: DataFrame) -> DataFrame:
         """(qrow, shard, vrow, known, missing) of the vectors that some lists named."""
         made.append(entries)
-        sums = entries.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum("score").alias("known"), F.collect_set("part").alias("parts"))
+        sums = entries.where("qrow <> vrow").groupBy("qrow", "shard", "vrow").agg(F.sum(wide("score")).alias("known"), F.collect_set("part").alias("parts"))
         return sums.withColumn("missing", F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), "parts")).drop("parts")
 
     def resolved(named: DataFrame, name: str) -> DataFrame:
@@ -176,24 +178,25 @@ def top_k(
         ask = named.select("qrow", "shard", "vrow", F.explode("missing").alias("part")).groupBy("qrow", "shard", "part").agg(F.collect_list("vrow").alias("asked"))
         answers = lists(queries.join(ask, ["qrow", "shard", "part"]), 3, f"{name}-remaining")
         made.extend([named, answers])
-        rest = answers.groupBy("qrow", "vrow").agg(F.sum("score").alias("rest"))
-        return named.join(rest, ["qrow", "vrow"], "left").withColumn("score", F.col("known") + F.coalesce("rest", F.lit(0).cast("long")))
+        rest = answers.groupBy("qrow", "vrow").agg(F.sum(wide("score")).alias("rest"))
+        return named.join(rest, ["qrow", "vrow"], "left").withColumn("score", F.col("known") + F.coalesce("rest", F.lit(0)))
 
     first_scores = resolved(named_by(lists(queries, 1, "best-entries")), "best")
     ranked = first_scores.withColumn("n", F.row_number().over(best([F.desc("score")]))).where(F.col("n") <= k)
     # fewer than k vectors in all: every entry is wanted
     cutoffs = ranked.groupBy("qrow").agg(F.when(F.count("*") >= k, F.min("score")).alias("t")).where("t is not null")
-    cutoffs = written(cutoffs.select("qrow", "t", F.expr(f"if(t % {parts} > 0, t div {parts} + 1, t div {parts})").alias("cutoff")), "cutoffs")
+    share = F.ceil(F.col("t") / parts)  # of decimals: exact
+    cutoffs = written(cutoffs.select("qrow", "t", F.greatest(F.least(share, F.lit(MOST)), F.lit(-MOST)).cast("long").alias("cutoff")), "cutoffs")
 
     lowest = F.lit(-(1 << 62)).cast("long")
     two = lists(queries.join(cutoffs, "qrow", "left").withColumn("cutoff", F.coalesce("cutoff", lowest)), 2, "sufficient-entries")
-    named = named_by(two).join(cutoffs, "qrow", "left").where(F.col("t").isNull() | (F.col("known") + F.size("missing") * (F.col("cutoff") - 1) >= F.col("t")))
+    named = named_by(two).join(cutoffs, "qrow", "left").where(F.col("t").isNull() | (F.col("known") + F.size("missing") * (wide("cutoff") - 1) >= F.col("t")))
     scored = resolved(named, "sufficient")
     scored = scored.where(F.col("t").isNull() | (F.col("score") >= F.col("t")))
     label = lambda row, id_: rows.select(F.col("row").alias(row), F.col("vec_id").alias(id_))
     told = scored.select("qrow", "vrow", "score").join(label("vrow", "vec_id"), "vrow")
     ordered = told.withColumn("rank", F.row_number().over(best([F.desc("score"), "vec_id", "vrow"]))).where(F.col("rank") <= k)
-    out = ordered.join(label("qrow", "query_id"), "qrow").select("query_id", "rank", "vec_id", "score", F.col("qrow").alias("query_row"))
+    out = ordered.join(label("qrow", "query_id"), "qrow").select("query_id", "rank", "vec_id", F.greatest(F.least("score", F.lit(MOST)), F.lit(-MOST)).cast("long").alias("score"), F.col("qrow").alias("query_row"))
     out = written(out, "answers")
     dropped(rows, cutoffs, *made)
     return out

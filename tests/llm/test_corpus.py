@@ -25,6 +25,8 @@ def test_top_k_equals_brute_force(spark, parts):
     rows = [(i, [r.choice([-1.0, -0.3, 0.0, 0.2, 0.7]) for _ in range(6)]) for i in range(150)]
     rows += [(200 + i, [0.5] * 6) for i in range(40)] + [(300, None), (301, [0.1, None]), (302, [float("nan")]), (303, [float("inf")]), (304, [1.0]), (305, []), (None, [1.0] * 6)]
     rows += [(0, [0.9] * 6), (20, rows[20][1]), (7, [0.7] * 6), (400, [2.0**40, 1.0, 0.0]), (401, [1e300, -1.0]), (402, [-(2.0**27)] * 6)]
+    # scores between 2**60 and 2**63 in one part or in both, and parts that cancel
+    rows += [(440, [2.0**25, 0.0, 0.0, 2.0**24]), (441, [2.0**25, 0.5, 0.0, 2.0**24]), (442, [-(2.0**25), 0.0, 0.0, 2.0**24, 0.0, 1.0]), (443, [2.0**25, 0.0, 0.0, -(2.0**24)])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "block": F.lit(2), "row": F.lit(3), "is_query": F.lit(4)})
     got = defaultdict(list)
     for x in exact_topk.top_k(v, F.col("vec_id") % 20 == 0, k=7, block=3, shard=16, parts=parts).orderBy("query_id", "rank").collect():
@@ -32,15 +34,16 @@ def test_top_k_equals_brute_force(spark, parts):
         assert x.rank == len(got[x.query_id, x.query_row])
     whole = lambda e: [int(np.floor(64 * x)) if abs(x) < 2**53 else 64 * int(x) for x in e] + [0] * (6 - len(e))
     edges = [round(p * 6 / parts) for p in range(parts + 1)]
-    clamp = lambda x: max(-(1 << 60), min(1 << 60, x))
+    clamp = lambda x: max(-(1 << 63) + 1, min((1 << 63) - 1, x))
     product = lambda e, f: sum(clamp(sum(a * b for a, b in zip(e[i:j], f[i:j], strict=True))) for i, j in itertools.pairwise(edges))
     good = [(i, whole(e)) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = Counter()
     for n, (q, e) in enumerate(good):
         if q % 20 == 0:
             best = sorted((-product(e, f), i) for m, (i, f) in enumerate(good) if m != n)[:7]
-            want[q, tuple((-s, i) for s, i in best)] += 1
-    assert Counter((q, tuple(x)) for (q, _), x in got.items()) == want and want.total() == 13
+            want[q, tuple((clamp(-s), i) for s, i in best)] += 1
+    assert Counter((q, tuple(x)) for (q, _), x in got.items()) == want and want.total() == 14
+    assert (64 * 64 * (2**50 + 2**48), 441) in got[next(x for x in got if x[0] == 440)]
     assert exact_topk.top_k(v.limit(0), F.col("vec_id") % 20 == 0).collect() == []
     few = exact_topk.top_k(v.where("vec_id < 3"), F.col("vec_id") == 1, k=7)
     assert few.count() == 3
