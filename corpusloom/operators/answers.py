@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,8 +14,9 @@ from corpusloom.functions import text as tx
 
 from .retrieval import authority
 
-# Prompt texts and warnings.
+#: The instruction that goes before every question, in this library's words.
 SYSTEM = "Answer only from the supplied context. Cite sources using bracketed citation numbers like [1]. If evidence is insufficient, say so clearly. Do not fabricate references."
+# The prompt's parts and the warnings.
 TEMPLATE = "Question:\n{question}\n\nRetrieved context:\n{context}\n\nAnswer with citations:"
 NO_EVIDENCE = "I do not have enough retrieved evidence to answer that confidently."
 EMPTY, UNCITED, NO_SOURCES, DOUBTFUL = "Provider returned an empty response.", "Answer does not contain bracketed citations.", "No retrieved citations were available.", "Answer contains hallucination or prompt-failure indicators."
@@ -44,31 +46,45 @@ def build_prompts(questions: DataFrame, citations: DataFrame, history: DataFrame
     return out.select("query_id", "query", "context", messages.alias("messages"), tx.estimate_tokens(F.concat_ws(" ", F.lit(system), user)).alias("estimated_tokens"))
 
 
-Provider = Callable[[list[list[dict]]], list[str]]
+@dataclass(frozen=True)
+class Completion:
+    """What a provider says: the text, and the model and token counts where it tells them."""
+
+    text: str
+    model: str | None = None
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
+
+
+Provider = Callable[[list[list[dict]]], list["str | Completion"]]
+_COMPLETED = "answer string, provider_warning string, model string, prompt_tokens long, completion_tokens long"
 
 
 def complete_prompts(prompts: DataFrame, provider: Provider | None = None) -> DataFrame:
-    """(query_id, answer, provider_warning). provider maps a batch of messages to texts.
+    """(query_id, answer, provider_warning, model, prompt_tokens, completion_tokens).
 
-    Without one the answer is the fixed text for missing evidence; a provider that
-    raises gives that text and a warning for the rows of the batch.
+    provider maps a batch of messages to texts or completions. Without one the answer is the
+    fixed text for missing evidence; a provider that raises gives that text and a warning for
+    the rows of the batch. Token counts that are not told are null.
     """
     if provider is None:
-        return prompts.select("query_id", F.lit(NO_EVIDENCE).alias("answer"), F.lit(None).cast("string").alias("provider_warning"))
+        none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _COMPLETED.split(", ")[1:]]
+        return prompts.select("query_id", F.lit(NO_EVIDENCE).alias("answer"), *none)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                answers = provider([[dict(m) for m in row] for row in batch["messages"]])
+                answers = [a if isinstance(a, Completion) else Completion(a) for a in provider([[dict(m) for m in row] for row in batch["messages"]])]
                 if len(answers) != len(batch):
                     raise ValueError("one answer for each prompt is expected")
                 warning = None
             except Exception as e:
-                answers, warning = [NO_EVIDENCE] * len(batch), f"Provider failed: {e}"
-            yield pd.DataFrame({"query_id": batch["query_id"], "answer": answers, "provider_warning": [warning] * len(batch)})
+                answers, warning = [Completion(NO_EVIDENCE)] * len(batch), f"Provider failed: {e}"
+            counts = {c: pd.array([getattr(a, c) for a in answers], "Int64") for c in ("prompt_tokens", "completion_tokens")}
+            yield pd.DataFrame({"query_id": batch["query_id"].to_numpy(), "answer": [a.text for a in answers], "provider_warning": [warning] * len(batch), "model": [a.model for a in answers], **counts})
 
     kind = dict(prompts.dtypes)["query_id"]
-    return prompts.select("query_id", "messages").mapInPandas(run, f"query_id {kind}, answer string, provider_warning string")
+    return prompts.select("query_id", "messages").mapInPandas(run, f"query_id {kind}, {_COMPLETED}")
 
 
 def validate_answers(answers: DataFrame, answer: str = "answer", citations: str = "citations") -> DataFrame:

@@ -327,10 +327,12 @@ def k3(spark, sf):
 # graph
 
 
-@query("j3_disconnected_nodes", f"WITH {GRAPH}, few AS (SELECT * FROM edges WHERE relationship_type = 'A' AND edge_id % 10 = 1) SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT source_id FROM few) AND node_id NOT IN (SELECT target_id FROM few)")
+@query("j3_disconnected_nodes", f"WITH {GRAPH}, more AS (SELECT node_id FROM nodes UNION ALL SELECT 'C' || c_custkey FROM customer) SELECT node_id FROM more WHERE node_id NOT IN (SELECT source_id FROM edges) AND node_id NOT IN (SELECT target_id FROM edges)")
 def j3(spark, sf):
+    """Customers are nodes as well; no edge of parts and suppliers touches them."""
     nodes, edges = ad.graph(spark, sf)
-    return gx.disconnected_nodes(nodes, edges.where("relationship_type = 'A' and edge_id % 10 = 1"))
+    customers = ad.read(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node_id"))
+    return gx.disconnected_nodes(nodes.select("node_id").unionByName(customers), edges)
 
 
 @query("j4_broken_edges", f"WITH {GRAPH} SELECT * FROM edges WHERE source_id NOT IN (SELECT node_id FROM nodes) OR target_id NOT IN (SELECT node_id FROM nodes)")
@@ -591,6 +593,19 @@ def t7(spark, sf):
     return an.answer(q, context).select("query_id", "answer", "citations", "valid", F.array_join("warnings", "|").alias("warnings"), "confidence")
 
 
+_SAID = "Evidence is in [1] and [2]."
+
+
+@query("t7_answer_with_provider", f"""WITH RECURSIVE {ANSWER_SQL} SELECT query_id, '{_SAID}' AS answer, 'echo' AS model, 2::BIGINT AS prompt_tokens, 6::BIGINT AS completion_tokens, coalesce(n, 0) AS citations,
+  CASE WHEN n > 0 THEN '' ELSE '{an.NO_SOURCES}' END AS warnings, CASE WHEN n > 0 THEN round(least(1.0::DOUBLE, 2 / n), 4) ELSE 0 END AS citation_coverage FROM asks LEFT JOIN sums USING (query_id)""")
+def t7_provided(spark, sf):
+    """A provider that answers every question alike, and tells its model and token counts."""
+    context = rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), None, rt.PROFILES["search"])
+    provider = lambda batch: [an.Completion(_SAID, "echo", len(messages), len(_SAID.split())) for messages in batch]
+    told = an.answer(asks(spark, sf), context, provider)
+    return told.select("query_id", "answer", "model", "prompt_tokens", "completion_tokens", "citations", F.array_join("warnings", "|").alias("warnings"), "citation_coverage")
+
+
 # study
 
 
