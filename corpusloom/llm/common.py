@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster: spark.checkpoint.dir or the context's checkpoint
-    folder. Only a local session that names neither gets a folder of its own; on a cluster
-    that would be each machine's own disk, so it is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        root = tempfile.mkdtemp(prefix="spark-corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from corpusloom.functions.frames import shared_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the cluster."""
+    return shared_folder(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

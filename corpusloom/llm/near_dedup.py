@@ -9,10 +9,12 @@
    members to one member of it, each round only across the components found so far;
    a last round compares every pair that still lies across components, blocks of
    members at a time. So a group of thousands of near copies costs a few rows for
-   each member, and no pair is left out.
+   each member, and every pair that shares a bucket is looked at. Members that stay apart
+   cost a number of rows that grows with the square of their bucket.
 4. A pair's similarity is estimated jointly by maximum likelihood from the registers (in
    the last round then from the low bytes of 2048 more); what is more than three standard
-   deviations below the threshold goes, and all else is confirmed on the full sets.
+   deviations below the threshold goes (by the normal law about one in a thousand of the pairs
+   just above it), and all else is confirmed on the full sets.
 5. Components come from label propagation over confirmed links; each round propagates its
    new links only, between the labels so far.
 
