@@ -490,6 +490,18 @@ def h6(spark, sf):
     return rt.rerank(_fused(spark, sf), ad.documents(spark, sf), analyzed, rt.PROFILES["ai_answer"].weights).select("query_id", "doc_id", "score")
 
 
+_TOPIC = next(iter(tx.EXPANSIONS))
+
+
+@query("h6_rerank_boosted", f"WITH {RERANK_SQL} SELECT query_id, doc_id, round(score + 0.1::DOUBLE * (query_id % 200 = 0 AND doc_id % 3 < 2)::INT, 6) AS score, (query_id % 200 = 0 AND doc_id % 3 < 2) AS boosted FROM rr")
+def h6_boosted(spark, sf):
+    """Half of the queries name a topic, which is a topic or the category of most documents."""
+    q = asks(spark, sf).withColumn("query", F.when(F.col("query_id") % 200 == 0, F.concat(F.lit(f"On {_TOPIC.lower()} and "), F.col("query"))).otherwise(F.lit("nothing")))
+    told = F.when(F.col("doc_id") % 3 == 0, F.lit(f'{{"topics":["other","{_TOPIC}"]}}')).when(F.col("doc_id") % 3 == 1, F.lit(f'{{"category":"{_TOPIC}"}}')).otherwise(F.lit("{}"))
+    ranked = rt.rerank(_fused(spark, sf), ad.documents(spark, sf).withColumn("metadata", told), tx.analyze_queries(q), rt.PROFILES["ai_answer"].weights)
+    return ranked.select("query_id", "doc_id", "score", F.array_contains("explanations", rt.METADATA_NOTE).alias("boosted"))
+
+
 PACK_SQL = """tk AS (SELECT query_id, doc_id, score, greatest(1, ceil(len(regexp_extract_all(content, '[A-Za-z''-]+')) * 1.35::DOUBLE))::INT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS i FROM rr),
 fold(query_id, i, used, ids) AS (
   SELECT query_id, 1, tokens, [doc_id] FROM tk WHERE i = 1
