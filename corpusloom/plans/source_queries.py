@@ -64,7 +64,7 @@ def _mixed_payloads(docs: DataFrame):
 
 
 _ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(13)"
-_MIXED = f"""d AS (
+_MIXED = rf"""d AS (
   SELECT doc_id, doc_id % 6 AS kind, ['doc-', 'doc-', 'doc-', 'Douay-', 'catechism-', 'Church-Father-'][doc_id % 6 + 1] || doc_id || ['.json', '.json', '.json', '.json', '.txt', '.md'][doc_id % 6 + 1] AS file_path,
     (trim(coalesce(text, ''), {_ENDS}) = '')::INT AS blank,
     len(list_filter(string_split_regex(trim(coalesce(text, ''), {_ENDS}), '\n\s*\n'), lambda x: trim(x, {_ENDS}) <> '')) AS parts,
