@@ -280,15 +280,12 @@ def _repeated(*keys) -> Column:
     return F.count("*").over(W.partitionBy("file_path", *keys)) > 1
 
 
-def _unreadable(raw: DataFrame) -> DataFrame:
-    """Files that are empty, or are named as JSON and are none."""
-    return _of_file(raw, {"empty": _blank(F.col("value")), "json": _json() & _broken(F.col("value"))})
-
-
-def _misfit(raw: DataFrame, layout: str, *lists: str) -> DataFrame:
-    """JSON files that hold something else than a list where their layout has one."""
-    read = F.from_json("value", layout)
-    return _of_file(raw.where(_json() & ~_broken(F.col("value"))), {"layout": F.exists(F.array(*[read[k].isNull() & F.get_json_object("value", f"$.{k}").isNotNull() for k in lists]), lambda x: x)})
+def _file_rules(layout: str, *lists: str) -> dict[str, Column]:
+    """Files that are empty, are named as JSON and are none, or hold something else than a
+    list where their layout has one."""
+    value, read = F.col("value"), F.from_json("value", layout)
+    odd = [read[k].isNull() & F.get_json_object("value", f"$.{k}").isNotNull() for k in lists]
+    return {"empty": _blank(value), "json": _json() & _broken(value), "layout": _json() & ~_broken(value) & F.exists(F.array(*odd), lambda x: x)}
 
 
 CCC = r"^CCC\s+\d+$"
@@ -300,15 +297,14 @@ def _wrong_reference(references: Column) -> Column:
 
 def _verse_errors(raw: DataFrame) -> DataFrame:
     held = lambda k: F.get_json_object("value", f"$.{k}").isNotNull()
-    fields = {k: ~held("books") & ~held(k) for k in ("book", "chapter", "verses")}
+    fields = {k: ~_broken(F.col("value")) & ~held("books") & ~held(k) for k in ("book", "chapter", "verses")}
     verses = read_bible_json(raw)
     ref = tx.format_reference(F.col("book"), F.col("chapter"), F.col("verse"))
     before = F.lag("verse").over(W.partitionBy("file_path", F.floor(F.col("position") / 1000)).orderBy("position"))
     rules = {"bad_number": (F.col("chapter") < 1) | (F.col("verse") < 1), "order": (F.col("verse") > 0) & (F.col("verse") <= before), "duplicate": _repeated("book", "chapter", "verse"), "blank": _blank(F.col("text")), "book": _blank(F.col("book"))}
     named = F.coalesce(ref, F.concat(F.lit("position "), F.col("position").cast("string")))
     rows = verses.withColumn("bad", _listed(rules)).select("file_path", named.alias("reference"), F.explode("bad").alias("error"))
-    readable = raw.where(~_broken(F.col("value")))
-    return _all_errors(raw, verses, _unreadable(raw), _misfit(raw, BIBLE, "books", "verses"), _of_file(readable, fields), rows)
+    return _all_errors(raw, verses, _of_file(raw, _file_rules(BIBLE, "books", "verses") | fields), rows)
 
 
 def _paragraph_errors(raw: DataFrame) -> DataFrame:
@@ -321,7 +317,7 @@ def _paragraph_errors(raw: DataFrame) -> DataFrame:
         "topics": F.col("x.topics").isNotNull() & ~F.startswith(F.trim("x.topics"), F.lit("[")), "reference": _wrong_reference(F.col("x.ccc_references")),
     }
     rows = x.withColumn("bad", _listed(rules)).select("file_path", ref.alias("reference"), F.explode("bad").alias("error"))
-    return _all_errors(raw, read_catechism(raw), _unreadable(raw), _misfit(raw, CATECHISM, "paragraphs", "lessons"), rows)
+    return _all_errors(raw, read_catechism(raw), _of_file(raw, _file_rules(CATECHISM, "paragraphs", "lessons")), rows)
 
 
 # Authors whose works are taken, by key.
@@ -332,17 +328,19 @@ def section_errors(authors: tuple[str, ...] | None = AUTHORS) -> Callable[[DataF
     """Errors of files of sections; authors, if given, are all that are taken."""
 
     def errors(raw: DataFrame) -> DataFrame:
-        payload = raw.where(_json() & ~_broken(F.col("value"))).withColumn("p", F.from_json("value", FATHERS))
-        known = F.lit(True) if authors is None else tx.author_key(F.col("p.author")).isin(*authors)
-        whole = _of_file(payload, {"author": _blank(F.col("p.author")), "unknown author": ~_blank(F.col("p.author")) & ~known, "work": _blank(F.col("p.work"))})
-        s = payload.select("file_path", F.posexplode("p.sections").alias("i", "s"))
+        parsed = raw.withColumn("p", F.from_json("value", FATHERS))
+        author, good = F.col("p.author"), _json() & ~_broken(F.col("value"))
+        known = F.lit(True) if authors is None else F.coalesce(tx.author_key(author).isin(*authors), F.lit(False))
+        fields = {"author": good & _blank(author), "unknown author": good & ~_blank(author) & ~known, "work": good & _blank(F.col("p.work"))}
+        whole = _of_file(parsed, _file_rules(FATHERS, "sections") | fields)
+        s = parsed.where(good).select("file_path", F.posexplode("p.sections").alias("i", "s"))
         ref = F.when(_blank(F.col("s.reference")), F.concat(F.lit("index "), F.col("i").cast("string"))).otherwise(F.trim("s.reference"))
         rules = {
             "no reference": _blank(F.col("s.reference")), "duplicate": _repeated(F.trim(F.coalesce("s.reference", F.lit("")))), "blank": _blank(F.col("s.content")),
             "hierarchy": F.col("s.paragraph").isNotNull() & F.col("s.chapter").isNull() & F.col("s.section").isNull(), "reference": _wrong_reference(F.col("s.catechism_references")),
         }
         rows = s.withColumn("bad", _listed(rules)).select("file_path", ref.alias("reference"), F.explode("bad").alias("error"))
-        return _all_errors(raw, read_fathers(raw), _unreadable(raw), _misfit(raw, FATHERS, "sections"), whole, rows)
+        return _all_errors(raw, read_fathers(raw), whole, rows)
 
     return errors
 
