@@ -373,11 +373,15 @@ def verify_sources(raw: DataFrame, importers: tuple[Importer, ...] = IMPORTERS)
     """(file_path, status, errors): verified, unsupported or failed.
 
     A file fails if it is empty, is named as JSON and is none, has something else than a
-    list where its layout has one, breaks a rule of its kind in any row, or gives no record at all. What is
-    wrong with a whole file stands without a reference.
+    list where its layout has one, breaks a rule of its kind in any row, or gives no record
+    at all. What is wrong with a whole file stands without a reference. Routed files are
+    written to the shared folder, as the checks read them several times.
     """
-    routed = detect_source(raw, importers)
-    errors = raw.limit(0).select("file_path", F.lit(None).cast("string").alias("reference"), F.lit("").alias("error"))
+    return _verified(written(detect_source(raw, importers), "routed"), importers)
+
+
+def _verified(routed: DataFrame, importers: tuple[Importer, ...]) -> DataFrame:
+    errors = routed.limit(0).select("file_path", F.lit(None).cast("string").alias("reference"), F.lit("").alias("error"))
     for i in importers:
         if i.errors is None:
             continue
@@ -418,7 +422,7 @@ def import_sources(raw: DataFrame, existing: DataFrame, manifests: DataFrame, im
     from corpusloom.operators.documents import KEY, upsert_documents
 
     files = written(skip_unchanged(detect_source(checksum_files(raw), importers).where("importer is not null"), manifests, force), "files")
-    checked = written(verify_sources(files.drop("importer"), importers), "checked")
+    checked = written(_verified(files, importers), "checked")
     good = checked.where("status = 'verified'").select("file_path")
     records = None
     for i in importers:
