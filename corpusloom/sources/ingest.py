@@ -295,13 +295,27 @@ def _wrong_reference(references: Column) -> Column:
     return F.exists(F.coalesce(_list(references), F.array().cast(_REFS)), lambda r: ~F.rlike(r, F.lit(CCC)))
 
 
+# The books that are taken, in canonical order.
+CANON = (
+    "genesis", "exodus", "leviticus", "numbers", "deuteronomy", "joshua", "judges", "ruth", "1 samuel", "2 samuel", "1 kings", "2 kings", "1 chronicles", "2 chronicles", "ezra", "nehemiah",
+    "tobit", "judith", "esther", "1 maccabees", "2 maccabees", "job", "psalms", "proverbs", "ecclesiastes", "song of songs", "wisdom", "sirach", "isaiah", "jeremiah", "lamentations", "baruch",
+    "ezekiel", "daniel", "hosea", "joel", "amos", "obadiah", "jonah", "micah", "nahum", "habakkuk", "zephaniah", "haggai", "zechariah", "malachi", "matthew", "mark", "luke", "john", "acts",
+    "romans", "1 corinthians", "2 corinthians", "galatians", "ephesians", "philippians", "colossians", "1 thessalonians", "2 thessalonians", "1 timothy", "2 timothy", "titus", "philemon",
+    "hebrews", "james", "1 peter", "2 peter", "1 john", "2 john", "3 john", "jude", "revelation",
+)
+
+
 def _verse_errors(raw: DataFrame) -> DataFrame:
     held = lambda k: F.get_json_object("value", f"$.{k}").isNotNull()
     fields = {k: ~_broken(F.col("value")) & ~held("books") & ~held(k) for k in ("book", "chapter", "verses")}
     verses = read_bible_json(raw)
     ref = tx.format_reference(F.col("book"), F.col("chapter"), F.col("verse"))
     before = F.lag("verse").over(W.partitionBy("file_path", F.floor(F.col("position") / 1000)).orderBy("position"))
-    rules = {"bad_number": (F.col("chapter") < 1) | (F.col("verse") < 1), "order": (F.col("verse") > 0) & (F.col("verse") <= before), "duplicate": _repeated("book", "chapter", "verse"), "blank": _blank(F.col("text")), "book": _blank(F.col("book"))}
+    place = F.array_position(F.array(*map(F.lit, CANON)), F.regexp_replace(F.lower(F.trim("book")), r"\s+", " "))
+    verses = verses.withColumn("canon", place * 1_000_000 + F.col("chapter") * 1_000 + F.col("verse"))
+    earlier = F.lag("canon").over(W.partitionBy("file_path").orderBy("position"))
+    strange = {"unknown book": ~_blank(F.col("book")) & (place == 0), "canon": before.isNull() & (place > 0) & (F.col("canon") <= earlier)}
+    rules = strange | {"bad_number": (F.col("chapter") < 1) | (F.col("verse") < 1), "order": (F.col("verse") > 0) & (F.col("verse") <= before), "duplicate": _repeated("book", "chapter", "verse"), "blank": _blank(F.col("text")), "book": _blank(F.col("book"))}
     named = F.coalesce(ref, F.concat(F.lit("position "), F.col("position").cast("string")))
     rows = verses.withColumn("bad", _listed(rules)).select("file_path", named.alias("reference"), F.explode("bad").alias("error"))
     return _all_errors(raw, verses, _of_file(raw, _file_rules(BIBLE, "books", "verses") | fields), rows)

@@ -225,7 +225,9 @@ def test_import_loses_nothing(spark):
     ccc = lambda **more: {"paragraphs": [{"number": "7", "content": "c", **more}]}
     section = lambda **more: {"author": "St. Athanasius", "work": "On", "sections": [{"reference": "On 1", "content": "c", **more}]}
     two = {**verse(), "verses": [{"number": 2, "content": "b"}, {"number": 2, "content": "a"}, {"number": 1, "text": "\n\t"}]}
+    chapters = lambda *books: {"books": [{"book": b, "chapters": [{"chapter": c, "verses": [{"verse": 1, "text": "x"}]}]} for b, c in books]}
     files = {
+        "bible-f.json": (chapters(("Ruth", 1), ("1  SAMUEL", 1), ("John", 2)), "bible", []), "bible-g.json": (chapters(("John", 2), ("John", 1), ("Mark", 1), ("Enoch", 1)), "bible", ["Enoch 1:1: unknown book", "John 1:1: canon", "Mark 1:1: canon"]),
         "Douay-John.json": (verse(crossReferences="Gen 1:1"), "bible", []), "a.json": ({k: v for k, v in verse().items() if k != "chapter"}, None, None), "bible-a.json": ({"verses": []}, "bible", ["book", "chapter"]),
         "bible-b.json": ("{broken", "bible", ["json"]), "bible-c.json": ({"books": 3}, "bible", ["layout"]), "bible-d.json": ('{"books": []} more', "bible", ["json"]), "bible-e.json": ({"books": []}, "bible", ["no records"]),
         "b.json": (two, "bible", ["John 3:1: blank", "John 3:1: order", "John 3:2: duplicate", "John 3:2: order"]), "c.json": (verse(verse=None), "bible", ["John 3:0: bad_number"]),
@@ -241,7 +243,7 @@ def test_import_loses_nothing(spark):
     docs, attempts = ig.import_sources(raw, frame(spark, [], DOC), frame(spark, [], "file_path string, checksum string, importer string, status string"))
     assert {r.reference: r.content for r in docs.collect() if "#" in r.reference} == {"my-catechism.txt#1": "One.", "my-catechism.txt#2": "Two.", "Church-Father.md#1": "Text."}
     told = {r.file_path: r.status for r in attempts.where("total_records = 0").collect()}
-    assert set(told.values()) == {"failed"} and json.loads(docs.where("source_type = 'bible_verse'").first().metadata)["cross_references"] == ["Gen 1:1"]
+    assert set(told.values()) == {"failed"} and json.loads(docs.where("reference = 'John 3:1'").first().metadata)["cross_references"] == ["Gen 1:1"]
 
 
 def test_added_importer_and_known_books(spark, tmp_path):
