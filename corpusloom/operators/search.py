@@ -286,20 +286,19 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     contains = lambda c: F.contains(F.lower(F.col(c)), q)
     exact = F.when(F.lower("reference") == q, F.lit(10.0)).otherwise(F.lit(0.0))
     asks = queries.select("query_id", "query")
+    # a source name that holds the query counts where it stands: no join by name of all that was found
+    boost = F.when(contains("source_name"), F.lit(2.0)).otherwise(F.lit(0.0))
     told = text.join(docs.select("doc_id", "reference", "source_name"), "doc_id").join(asks, "query_id")
-    told = told.select(*pair, "source_name", (F.col("rank") + F.when((q != "") & contains("reference"), exact + 5.0).otherwise(0.0)).alias("points"))
-    near = holding_reference(asked, parts, k).join(asks.select("query_id", q.alias("q")), "q")
-    near = near.select(*pair, "source_name", F.when(F.col("exact"), 15.0).otherwise(5.0).alias("points"))
-    found = union_by(pair, told, near).groupBy(*pair, "source_name").agg(F.max("points").alias("points"))  # what a reference gives is in both
-    # names are matched against distinct values only; of a name's documents the first k by id can rank
-    names = docs.select("source_name").distinct()
-    by_name = queries.join(names, contains("source_name")).select("query_id", "source_name", F.lit(2.0).alias("boost"))
-    found = found.join(by_name, ["query_id", "source_name"], "left")
-    found = found.select(*pair, (F.col("points") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+    told = told.select(*pair, (F.col("rank") + F.when((q != "") & contains("reference"), exact + 5.0).otherwise(0.0) + boost).alias("score"))
+    near = holding_reference(asked, parts, k).join(asks.withColumn("q", q), "q")
+    near = near.select(*pair, (F.when(F.col("exact"), 15.0).otherwise(5.0) + boost).alias("score"))
+    # names alone are matched against distinct values; of a name's documents the first k by id can rank
+    by_name = asks.join(docs.select("source_name").distinct(), contains("source_name")).select("query_id", "source_name")
     first = W.partitionBy("source_name").orderBy("doc_id")
     lead = docs.select("doc_id", "source_name").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
-    only = lead.join(by_name, "source_name").select(*pair, F.col("boost").alias("score"))
-    total = union_by(pair, found, only).groupBy(*pair).agg(F.round(F.max("score"), 6).alias("score"))
+    only = lead.join(by_name, "source_name").select(*pair, F.lit(2.0).alias("score"))
+    # what a reference or a name gives is in the larger scores as well
+    total = union_by(pair, told, near, only).groupBy(*pair).agg(F.round(F.max("score"), 6).alias("score"))
     best = top_k_per_query(total, k).withColumnRenamed("query_id", "first")
     return best.join(each.join(same, "query").select("query_id", "first"), "first").select("query_id", "doc_id", "score", "rank")
 
