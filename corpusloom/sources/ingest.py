@@ -308,14 +308,15 @@ CANON = (
 def _verse_errors(raw: DataFrame) -> DataFrame:
     held = lambda k: F.get_json_object("value", f"$.{k}").isNotNull()
     fields = {k: ~_broken(F.col("value")) & ~held("books") & ~held(k) for k in ("book", "chapter", "verses")}
-    verses = read_bible_json(raw)
+    # only what the windows below need is dealt by file, not the texts
+    verses = read_bible_json(raw).select("file_path", "position", "book", "chapter", "verse", _blank(F.col("text")).alias("no_text"))
     ref = tx.format_reference(F.col("book"), F.col("chapter"), F.col("verse"))
     before = F.lag("verse").over(W.partitionBy("file_path", F.floor(F.col("position") / 1000)).orderBy("position"))
     place = F.array_position(F.array(*map(F.lit, CANON)), F.regexp_replace(F.lower(F.trim("book")), r"\s+", " "))
     verses = verses.withColumn("canon", place * 1_000_000 + F.col("chapter") * 1_000 + F.col("verse"))
     earlier = F.lag("canon").over(W.partitionBy("file_path").orderBy("position"))
     strange = {"unknown book": ~_blank(F.col("book")) & (place == 0), "canon": before.isNull() & (place > 0) & (F.col("canon") <= earlier)}
-    rules = strange | {"bad_number": (F.col("chapter") < 1) | (F.col("verse") < 1), "order": (F.col("verse") > 0) & (F.col("verse") <= before), "duplicate": _repeated("book", "chapter", "verse"), "blank": _blank(F.col("text")), "book": _blank(F.col("book"))}
+    rules = strange | {"bad_number": (F.col("chapter") < 1) | (F.col("verse") < 1), "order": (F.col("verse") > 0) & (F.col("verse") <= before), "duplicate": _repeated("book", "chapter", "verse"), "blank": F.col("no_text"), "book": _blank(F.col("book"))}
     named = F.coalesce(ref, F.concat(F.lit("position "), F.col("position").cast("string")))
     rows = verses.withColumn("bad", _listed(rules)).select("file_path", named.alias("reference"), F.explode("bad").alias("error"))
     return _all_errors(raw, verses, _of_file(raw, _file_rules(BIBLE, "books", "verses") | fields), rows)
@@ -325,11 +326,13 @@ def _paragraph_errors(raw: DataFrame) -> DataFrame:
     payload = raw.where(_json()).withColumn("p", F.from_json("value", CATECHISM))
     x = payload.select("file_path", F.posexplode("p.paragraphs").alias("i", "x")).withColumn("number", _whole(F.col("x.number")))
     ref = F.when(F.col("number") > 0, F.concat(F.lit("CCC "), F.col("number").cast("string"))).otherwise(F.concat(F.lit("index "), F.col("i").cast("string")))
-    x = x.withColumn("h", F.struct(*[F.coalesce(F.col(f"x.hierarchy.{k}"), F.col(f"x.{k}")).alias(k) for k in ("part", "section", "chapter", "article", "paragraph")]))
-    rules = {
-        "bad_number": F.col("number") < 1, "duplicate": _repeated("number"), "blank": _blank(F.col("x.content")), "hierarchy": ~tx.hierarchy_valid("h"),
+    levels = F.struct(*[F.coalesce(F.col(f"x.hierarchy.{k}"), F.col(f"x.{k}")).alias(k) for k in ("part", "section", "chapter", "article", "paragraph")])
+    own = {
+        "bad_number": F.col("number") < 1, "blank": _blank(F.col("x.content")), "hierarchy": ~tx.hierarchy_valid("h"),
         "topics": F.col("x.topics").isNotNull() & ~F.startswith(F.trim("x.topics"), F.lit("[")), "reference": _wrong_reference(F.col("x.ccc_references")),
     }
+    x = x.withColumn("h", levels).select("file_path", "i", "number", *[broken.alias(name) for name, broken in own.items()])
+    rules = {"duplicate": _repeated("number")} | {name: F.col(name) for name in own}
     rows = x.withColumn("bad", _listed(rules)).select("file_path", ref.alias("reference"), F.explode("bad").alias("error"))
     return _all_errors(raw, read_catechism(raw), _of_file(raw, _file_rules(CATECHISM, "paragraphs", "lessons")), rows)
 
@@ -349,11 +352,13 @@ def section_errors(authors: tuple[str, ...] | None = AUTHORS) -> Callable[[DataF
         whole = _of_file(parsed, _file_rules(FATHERS, "sections") | fields)
         s = parsed.where(good).select("file_path", F.posexplode("p.sections").alias("i", "s"))
         ref = F.when(_blank(F.col("s.reference")), F.concat(F.lit("index "), F.col("i").cast("string"))).otherwise(F.trim("s.reference"))
-        rules = {
-            "no reference": _blank(F.col("s.reference")), "duplicate": _repeated(F.trim(F.coalesce("s.reference", F.lit("")))), "blank": _blank(F.col("s.content")),
+        own = {
+            "no reference": _blank(F.col("s.reference")), "blank": _blank(F.col("s.content")),
             "hierarchy": F.col("s.paragraph").isNotNull() & F.col("s.chapter").isNull() & F.col("s.section").isNull(), "reference": _wrong_reference(F.col("s.catechism_references")),
         }
-        rows = s.withColumn("bad", _listed(rules)).select("file_path", ref.alias("reference"), F.explode("bad").alias("error"))
+        s = s.select("file_path", ref.alias("named"), F.trim(F.coalesce("s.reference", F.lit(""))).alias("key"), *[broken.alias(name) for name, broken in own.items()])
+        rules = {"duplicate": _repeated("key")} | {name: F.col(f"`{name}`") for name in own}
+        rows = s.withColumn("bad", _listed(rules)).select("file_path", F.col("named").alias("reference"), F.explode("bad").alias("error"))
         return _all_errors(raw, read_fathers(raw), whole, rows)
 
     return errors
@@ -424,28 +429,34 @@ def document_key() -> Column:
     return F.sha2(F.concat(*[told(c) for c in ("source_type", "source_name", "reference")]).cast("binary"), 256)
 
 
+#: Up to so many paths of failed files go to every task; more are joined.
+BROADCAST_ROWS = 100_000
+
+
 def import_sources(raw: DataFrame, existing: DataFrame, manifests: DataFrame, importers: tuple[Importer, ...] = IMPORTERS, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents after the upsert with their status, import attempts) of scanned files.
 
     Files without changes since a completed import are skipped; any error rejects its
     whole file. An attempt counts its file's records: total, created, updated, skipped,
     failed. Of records that repeat a key the last one stands, by file and place. The files to
-    import, their checks and their records are written to the shared folder, as all of them
-    are used several times.
+    import, their checks, their records and the documents after the upsert are written to the
+    shared folder, as all of them are used several times.
     """
     from corpusloom.operators.documents import KEY, upsert_documents
 
     files = written(skip_unchanged(detect_source(checksum_files(raw), importers).where("importer is not null"), manifests, force), "files")
     checked = written(_verified(files, importers), "checked")
-    good = checked.where("status = 'verified'").select("file_path")
+    bad = checked.where("status <> 'verified'").select("file_path")
+    if bad.count() <= BROADCAST_ROWS:  # so that no text is dealt by its file
+        bad = F.broadcast(bad)
     records = None
     for i in importers:
         part = i.read(files.where(F.col("importer") == i.name))
         records = part if records is None else records.unionByName(part)
     records = written(records, "records")
-    incoming = records.join(good, "file_path", "left_semi")
+    incoming = records.where("file_path is not null").join(bad, "file_path", "left_anti")
     every = records.groupBy("file_path").agg(F.count("*").alias("total_records"))
-    upserted = upsert_documents(existing, incoming)
+    upserted = written(upsert_documents(existing, incoming), "upserted")
     told = incoming.select("file_path", *KEY).join(upserted.select(*KEY, "status"), KEY)
     counts = told.groupBy("file_path").agg(*[F.count_if(F.col("status") == x).alias(f"{x}_records") for x in ("created", "updated", "skipped")])
     failed = checked.withColumn("error_message", F.array_join("errors", "; ")).withColumn("status", F.when(F.col("status") == "verified", "completed").otherwise("failed"))
