@@ -219,7 +219,7 @@ def test_import_is_idempotent(spark, tmp_path):
     assert {r.status for r in ig.running_manifests(left).collect()} == {"running"}
 
 
-def test_import_loses_nothing(spark):
+def test_import_loses_nothing(spark, monkeypatch):
     """Each file is routed by the rules of its kind, and is imported whole or fails with its errors."""
     verse = lambda **more: {"book": "John", "chapter": 3, "verses": [{"verse": 1, "text": "x", **more}]}
     ccc = lambda **more: {"paragraphs": [{"number": "7", "content": "c", **more}]}
@@ -244,6 +244,10 @@ def test_import_loses_nothing(spark):
     assert {r.reference: r.content for r in docs.collect() if "#" in r.reference} == {"my-catechism.txt#1": "One.", "my-catechism.txt#2": "Two.", "Church-Father.md#1": "Text."}
     told = {r.file_path: r.status for r in attempts.where("total_records = 0").collect()}
     assert set(told.values()) == {"failed"} and json.loads(docs.where("reference = 'John 3:1'").first().metadata)["cross_references"] == ["Gen 1:1"]
+    monkeypatch.setattr(ig, "BROADCAST_ROWS", -1)  # failed files are joined where they are many
+    joined, _ = ig.import_sources(raw, frame(spark, [], DOC), frame(spark, [], "file_path string, checksum string, importer string, status string"))
+    values = lambda df: sorted((r.source_type, r.reference, r.content or "", r.status) for r in df.collect())
+    assert values(joined) == values(docs)
 
 
 def test_added_importer_and_known_books(spark, tmp_path):
