@@ -31,6 +31,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SIZE = 400
 SAMPLE = 1500
 UNKNOWN = "und"
@@ -131,6 +133,7 @@ class Profiles:
 
 def predict(docs: DataFrame, profiles: DataFrame, size: int = SIZE, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and familiar. Only the profiles go to the driver and the tasks."""
+    small_batches(docs.sparkSession)
     model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], size)
     names = docs.columns
     at = names.index(text_col)

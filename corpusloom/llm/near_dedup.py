@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, is_empty, written
+from .common import dropped, is_empty, small_batches, written
 from .wordhash import mix, shingle_hashes, word_hashes
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
@@ -307,6 +307,7 @@ def grouped_rows(
 ) -> DataFrame:
     """(id, h, n, first) for each row: h is a hash of the text, first the (id, h) of the
     first row of the row's group, by id with nulls last, and null for a text without words."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches(size, bands, rows, False), "id long, h long, n long, cls binary, bands array<long>"), "sketches")
     salt = F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .tokens import WordTokenizer
 
 CAPACITY = 2048
@@ -182,6 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity:
     with_ids adds the token ids of the piece; ``sequences`` then joins them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     run = _pieces(tokenizer_path or default_tokenizer(), capacity, end_id, with_ids)
     schema = PIECES + (", ids array<int>" if with_ids else "")
     pieces = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "pieces")

@@ -104,9 +104,14 @@ class WordTable:
 
 
 class WordTokenizer:
-    """Token ids of texts; keeps at most most_words words and then begins anew."""
+    """Token ids of texts; keeps at most most_words words and then begins anew.
 
-    def __init__(self, path: str, most_words: int = 1_500_000):
+    Workers are used again from task to task and keep their table, so its bound is a
+    worker's memory: below 2**19 words with what a slice adds, the table stays at 2**20
+    places and about 30 MB, whatever a worker has read.
+    """
+
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words

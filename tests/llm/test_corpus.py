@@ -8,12 +8,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import exact_topk, mixing, packing, queries, sharding
-from corpusloom.llm.common import written
+from corpusloom.llm import exact_topk, language_id, mixing, near_dedup, packing, queries, sharding
+from corpusloom.llm.common import BATCH_BYTES, written
 from corpusloom.llm.tokens import WordTokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -200,6 +201,37 @@ def test_word_tokenizer_equals_tokenizer():
         assert ids.tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_table_stays_small():
+    w = WordTokenizer(packing.default_tokenizer())
+    w._learn = lambda keys, words: w.table.add(keys, np.full(len(words), 2), np.tile(np.arange(2, dtype=np.int32), len(words)))
+    words = map("".join, itertools.product("abcdefghijklmnopqrst", repeat=5))
+    most = 0
+    while part := list(itertools.islice(words, 50_000)):  # 3.2 million words in all
+        assert sum(map(len, w.encode([" ".join(part)]))) == 2 * len(part)
+        most = max(most, sum(x.nbytes for x in (w.table.keys, w.table.slots, w.table.starts, w.table.ids)))
+        if most > 40 << 20:
+            break
+    assert most <= 40 << 20
+
+
+def test_texts_come_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "size"])
+
+    seen = lambda docs: docs.mapInArrow(sizes, "rows long, size long").collect()
+    docs = spark.range(0, 1200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("one two "), 2500).alias("text"))
+    for stage in (packing.pack_documents, language_id.keep_identified, near_dedup.without_near_duplicates):
+        spark.conf.unset(BATCH_BYTES)
+        stage(docs.withColumn("lang", F.lit("en")).limit(2))
+        found = seen(docs)
+        assert sum(r.rows for r in found) == 1200 and max(r.size for r in found) < 5 << 20
+    spark.conf.set(BATCH_BYTES, "1m")  # the user's own size stays
+    packing.pack_documents(docs.limit(2))
+    assert max(r.size for r in seen(docs)) < 2 << 20
+    spark.conf.unset(BATCH_BYTES)
+
+
 def test_packing_documents(spark):
     from tokenizers import Tokenizer
 
