@@ -13,13 +13,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return shared_folder(spark, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage of df: a Parquet table in the shared folder, read again.
 
     Later stages then survive the loss of any executor without computing df twice.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -303,3 +303,51 @@ def test_lanes_wrap_without_carry(spark):
     row = spark.createDataFrame([([value - (1 << 64)],)], "a array<long>")
     twice, none = row.select(fp.wide_sum(F.col("a"), F.col("a"))[0], fp.wide_sum(F.col("a"), F.col("a"), -1)[0]).first()
     assert [(twice >> 16 * i) & 0xFFFF for i in range(4)] == [2 * x & 0xFFFF for x in lanes] and none == 0
+
+
+def generated_rows(plan):
+    """Rows out of each Generate of an executed plan."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return generated_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return generated_rows(plan.plan())
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+    return own + [n for p in below for n in generated_rows(p)]
+
+
+def test_common_paragraphs_are_hashed_once(spark):
+    r = random.Random(7)
+    lines = lambda n, m: "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(m)) for _ in range(n))
+    rows = [(i, lines(40, 20)) for i in range(20)]
+    made = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    made.collect()
+    pairs = 20 * 40 * 19
+    assert max(generated_rows(made._jdf.queryExecution().executedPlan())) < 1.4 * pairs  # both texts of every row: 2 * pairs
+
+
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    texts = ["one line of words without an end", "a b\nc d\n", "\n\n\n\n", "abc\nd", "abcd\nefg", "\nabcdefg", "abcdefg\n", "x\n" * 500 + "last " * 4, "", "y", "two\nlines", "\n", "word " * 9000 + "\nend"]
+    got = fp.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    edited = [t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4] for i, t in enumerate(texts)]
+    both = spark.createDataFrame([(i, t, e) for i, (t, e) in enumerate(zip(texts, edited))], "id long, t string, e string").repartition(2, "id")
+    for c, column in (("t", "fingerprint"), ("e", "edited_fingerprint")):
+        want = dict(fp.fingerprints(both, c, ["id"]).select("id", fp.fingerprint_text(F.col("fingerprint"))).collect())
+        assert {x.doc_id: x[column] for x in got} == want
+
+
+def test_lanes_are_the_sums_of_all_pairs(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(70)]
+    often = " ".join(" ".join(r.sample(words, 70)) for _ in range(3000))  # thousands of pairs that stand about 43 times each
+    texts = [(1, often), (2, "same " * 20_000 + "\n" + "a b " * 900), (3, " ".join(map(str, range(9000)))), (4, "")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(2, "id")
+    hashed = dict(docs.select("id", fp.token_pairs(fp.paragraphs(F.col("text")))).collect())
+    for i, found in fp.fingerprints(docs, "text", ["id"]).select("id", "fingerprint.lanes").collect():
+        sums = [0] * 128
+        second = dict(spark.createDataFrame([(p.h,) for p in hashed[i]], "h long").distinct().select("h", F.xxhash64("h")).collect()) if hashed[i] else {}
+        for p in hashed[i]:
+            for k, h in enumerate((p.h, second[p.h])):
+                for j in range(64):
+                    sums[j % 32 + 32 * k + 64 * (j // 32)] += round(2 * p.c**0.5) * (1 if h >> j & 1 else -1)
+        assert found == [x % (1 << 32) for x in sums]
