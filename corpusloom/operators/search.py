@@ -263,8 +263,9 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     Queries may hold "phrases", or, and -unwanted words. score = cover density + 10 if the
     reference is the query + 5 if the reference holds it + 2 if the source name holds it;
     any of these, or a match of the text, count. A reference may hold the query anywhere,
-    parts of words included. Filters come before the ranking. With an index, made from docs
-    or more, no text is read; else the fields of docs are searched for the queries' tokens.
+    parts of words included; an empty query is held by every one. Filters come before the
+    ranking. With an index, made from docs or more, no text is read; else the fields of docs
+    are searched for the queries' tokens.
     """
     docs = filtered(docs, filters)
     each = queries.select("query_id", "query")
@@ -279,26 +280,31 @@ def lexical_search(queries: DataFrame, docs: DataFrame, k: int, postings: DataFr
     if filters:
         postings = postings.join(docs.select("doc_id"), "doc_id", "left_semi")
     hits = occurrences(queries, postings, normalize, terms)
-    most = queries.select(F.max(F.size(tokens(F.col("query")))).alias("n")).first()[0] or 1
-    pair = ["query_id", "doc_id"]
-    text = cover_density(hits, most)  # of one term: the sum of its weights
     q = F.lower(F.trim("query"))
+    most, blank = queries.select(F.max(F.size(tokens(F.col("query")))), F.max(q == "")).first()
+    pair = ["query_id", "doc_id"]
+    text = cover_density(hits, most or 1)  # of one term: the sum of its weights
     contains = lambda c: F.contains(F.lower(F.col(c)), q)
     exact = F.when(F.lower("reference") == q, F.lit(10.0)).otherwise(F.lit(0.0))
     asks = queries.select("query_id", "query")
     # a source name that holds the query counts where it stands: no join by name of all that was found
     boost = F.when(contains("source_name"), F.lit(2.0)).otherwise(F.lit(0.0))
     told = text.join(docs.select("doc_id", "reference", "source_name"), "doc_id").join(asks, "query_id")
-    told = told.select(*pair, (F.col("rank") + F.when((q != "") & contains("reference"), exact + 5.0).otherwise(0.0) + boost).alias("score"))
+    told = told.select(*pair, (F.col("rank") + F.when(contains("reference"), exact + 5.0).otherwise(0.0) + boost).alias("score"))
     near = holding_reference(asked, parts, k).join(asks.withColumn("q", q), "q")
     near = near.select(*pair, (F.when(F.col("exact"), 15.0).otherwise(5.0) + boost).alias("score"))
     # names alone are matched against distinct values; of a name's documents the first k by id can rank
-    by_name = asks.join(docs.select("source_name").distinct(), contains("source_name")).select("query_id", "source_name")
+    by_name = asks.where(q != "").join(docs.select("source_name").distinct(), contains("source_name")).select("query_id", "source_name")
     first = W.partitionBy("source_name").orderBy("doc_id")
     lead = docs.select("doc_id", "source_name").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k)
     only = lead.join(by_name, "source_name").select(*pair, F.lit(2.0).alias("score"))
+    found = [told, near, only]
+    if blank:  # every reference and every name holds an empty query: the same k documents are best for all of them
+        whole = F.when(F.col("reference").isNotNull(), F.when(F.col("reference") == "", 15.0).otherwise(5.0)).otherwise(0.0) + F.when(F.col("source_name").isNotNull(), 2.0).otherwise(0.0)
+        held = docs.select("doc_id", whole.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+        found.append(asks.where(q == "").select("query_id").crossJoin(F.broadcast(held)))  # k rows
     # what a reference or a name gives is in the larger scores as well
-    total = union_by(pair, told, near, only).groupBy(*pair).agg(F.round(F.max("score"), 6).alias("score"))
+    total = union_by(pair, *found).groupBy(*pair).agg(F.round(F.max("score"), 6).alias("score"))
     best = top_k_per_query(total, k).withColumnRenamed("query_id", "first")
     return best.join(each.join(same, "query").select("query_id", "first"), "first").select("query_id", "doc_id", "score", "rank")
 

@@ -96,6 +96,17 @@ def test_lexical_search(spark):
     assert got[(2, 1)] > 15 and got[(3, 1)] == pytest.approx(2.4)
 
 
+def test_empty_query_is_held_by_every_reference(spark):
+    rows = [(1, None, "bible"), (2, "r", None), (3, "r", "bible"), (4, "", None), (5, None, None), (6, "r", "bible")]
+    docs = frame(spark, [(i, r, "t", n, "text") for i, r, n in rows], "doc_id int, reference string, title string, source_name string, content string")
+    q = frame(spark, [(1, ""), (2, "  "), (3, None), (4, "text")], "query_id int, query string")
+    for k, want in ((10, [(4, 15.0), (3, 7.0), (6, 7.0), (2, 5.0), (1, 2.0)]), (2, [(4, 15.0), (3, 7.0)])):
+        got = {}
+        for r in sx.lexical_search(q, docs, k).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        assert got.pop(1) == want and got.pop(2) == want and set(got) == {4}
+
+
 def test_query_terms(spark):
     got = sx.query_terms(frame(spark, [(1, 'grace "word of god" or faith -law')], "query_id int, query string")).collect()
     assert [(r.kind, r.term, r.group) for r in got] == [("word", "grace", 1), ("phrase", "word of god", 2), ("word", "faith", 2), ("not", "law", 3)]
