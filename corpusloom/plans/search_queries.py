@@ -428,6 +428,11 @@ def j1(spark, sf):
     return gx.resolve_references(citing(spark, sf)).select("source_id", "target_id", "relationship_type", "reference")
 
 
+def cited_edges(spark, sf):
+    """Edges of the documents' references, told apart by both ends: a document may cite several."""
+    return gx.resolve_references(citing(spark, sf)).withColumn("edge_id", F.struct("source_id", "target_id", "relationship_type"))
+
+
 RESOLVER_OF = {"bible_verse": "scripture", "bible_chapter": "scripture", "catechism": "catechism", "church_father": "church_father"}
 
 
@@ -525,7 +530,7 @@ rr AS (SELECT query_id, doc_id, round(score + 0.05::DOUBLE * CASE source_type WH
 
 @query("t5_retrieve", f"WITH RECURSIVE {RETRIEVE_SQL}, {PACK_SQL} SELECT query_id, unnest(ids) AS doc_id FROM fold QUALIFY i = max(i) OVER (PARTITION BY query_id)")
 def t5(spark, sf):
-    edges = gx.resolve_references(citing(spark, sf)).withColumn("edge_id", F.col("source_id"))
+    edges = cited_edges(spark, sf)
     return rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), edges, rt.PROFILES["ai_answer"], {"language": "en"}).select("query_id", "doc_id")
 
 
@@ -536,7 +541,7 @@ UNION ALL SELECT 'graph', (SELECT count(*) FROM grown) UNION ALL SELECT 'ranked'
 def t5_counts(spark, sf):
     """Rows of every stage of t5_retrieve, counted while it is written."""
     counts = rt.StageCounts()
-    edges = gx.resolve_references(citing(spark, sf)).withColumn("edge_id", F.col("source_id"))
+    edges = cited_edges(spark, sf)
     found = rt.retrieve(asks(spark, sf), ad.documents(spark, sf), held(spark, sf), edges, rt.PROFILES["ai_answer"], {"language": "en"}, counts=counts)
     found.write.parquet(shared_folder(spark, "context"))
     return spark.createDataFrame(list(counts.rows().items()), "stage string, n long")  # a row for each stage

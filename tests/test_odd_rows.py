@@ -46,3 +46,9 @@ def equals_its_sql(spark, odd, name):
 @pytest.mark.parametrize("name", ["t1_lexical_search", "t1_stored_index", "t1_partial_words", "j11_merge_rankings", "u1_union_candidates", "a21_fuse_candidates", "h6_rerank", "t12_diagnose", "t7_answer"])
 def test_empty_query_equals_its_sql(spark, odd, name):
     equals_its_sql(spark, odd, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["t5_retrieve", "t5_stage_counts"])
+def test_documents_that_cite_several_equal_their_sql(spark, odd, name):
+    equals_its_sql(spark, odd, name)
