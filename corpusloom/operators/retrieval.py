@@ -133,12 +133,14 @@ def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, edges: Dat
 
     source (source_type, source_types, source_name, tradition) limits the documents before
     any ranking, filters the candidates of the searches by metadata. counts takes the number
-    of rows of each stage while the result is computed. Candidates that are to be expanded
-    in the graph are written to the shared folder, as they are used twice.
+    of rows of each stage while the result is computed. Analyzed queries are written to the
+    shared folder, as every search uses them several times and they may be made of the texts
+    of documents; so are candidates that are to be expanded in the graph.
     """
     seen = (lambda stage, rows: rows) if counts is None else counts.observed
     docs = dx.filter_source(docs, **(source or {}))
     analyzed = tx.expand_queries(tx.analyze_queries(queries))
+    analyzed = written(analyzed.select("query_id", "query", *(["vector"] if profile.use_vector else []), "topics", "references", "expanded_query"), "queries")
     asked = analyzed.withColumn("query", F.col("expanded_query")) if profile.use_expansion else analyzed
     deep = sx.over_fetch(profile.top_k, profile.context_limit)
     parts = []

@@ -143,6 +143,22 @@ def test_pack_context_skips(spark):
     assert got == {(1, 1), (1, 3), (2, 4)}
 
 
+def test_queries_of_a_retrieval_are_made_once(spark):
+    docs = graph_docs(spark).withColumns({"title": F.col("reference"), "content": F.concat(F.lit("text of "), "reference"), "source_name": F.lit("s")})
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    schema = "query_id int, query string, vector array<double>"
+    q = frame(spark, [(1, "CCC 456", [1.0, 0.0]), (2, "text", [0.0, 1.0])], schema).mapInPandas(counted, schema)
+    v = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id int, vector array<double>")
+    assert {r.query_id for r in rt.retrieve(q, docs, v).collect()} == {1, 2}
+    assert made.value == 2
+
+
 def test_retrieve_and_answer(spark):
     docs = graph_docs(spark).withColumns({"title": F.col("reference"), "content": F.concat(F.lit("text of "), "reference"), "source_name": F.lit("s")})
     q = frame(spark, [(1, "CCC 456", [1.0, 0.0])], "query_id int, query string, vector array<double>")
