@@ -50,6 +50,19 @@ def test_top_k_equals_brute_force(spark, parts):
     assert few.count() == 3
 
 
+def test_rows_that_lists_send_do_not_grow_with_their_entries(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    r, k, made, write = random.Random(5), 4, {}, common.written
+    monkeypatch.setattr(common, "written", lambda df, name, **o: made.setdefault(name, write(df, name, **o)))
+    monkeypatch.setattr(common, "dropped", lambda *tables: None)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(1200)], "vec_id long, embedding array<double>")
+    assert exact_topk.top_k(v, F.col("vec_id") % 100 == 0, k=k, shard=30).count() == 12 * k
+    lists = 12 * 40 * exact_topk.PARTS  # queries, shards, parts
+    assert made["best-entries"].count() <= lists and made["sufficient-entries"].count() <= lists
+    assert made["best-entries"].agg(F.sum(F.size("vrows"))).first()[0] <= lists * 3  # of 80 = 20 * k a list, two and one for the query's own row
+
+
 def test_sharding(spark, tmp_path):
     table = sharding.ShardedTable(spark, str(tmp_path / "t"), target_bytes=1 << 20)
     rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 50)).alias("text"))
