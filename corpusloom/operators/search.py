@@ -173,20 +173,23 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     return rows.select("query_id", kind.alias("kind"), F.trim(bare).alias("term"), group.cast("int").alias("group")).where("term <> ''")
 
 
-def search_terms(queries: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
-    """(query_id, token, place, size, alternative, term, n_terms): what to look up.
+def asked_terms(queries: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
+    """(query_id, t, size, alternative, term, n_terms): the alternatives of each query, t their tokens.
 
     term numbers the things that a document must hold, each in one of its alternatives; an
-    alternative of several tokens is a phrase, and place counts within it. term is -1 for
-    what a document must not hold.
+    alternative of several tokens is a phrase. term is -1 for what a document must not hold.
     """
     one = query_terms(queries).dropDuplicates(["query_id", "kind", "term"]).withColumn("t", tokens(F.col("term"), normalize)).where(F.size("t") > 0)
     asked = F.when(F.col("kind") != "not", F.col("group"))
     order = W.partitionBy("query_id", F.col("kind") == "not").orderBy("group")
     number = F.when(F.col("kind") == "not", -1).otherwise(F.dense_rank().over(order) - 1)
     n = F.size(F.collect_set(asked).over(W.partitionBy("query_id")))
-    rows = one.select("query_id", "t", F.size("t").alias("size"), F.concat_ws(" ", "kind", "term").alias("alternative"), number.alias("term"), n.alias("n_terms"))
-    return rows.select("*", F.posexplode("t").alias("place", "token")).drop("t")
+    return one.select("query_id", "t", F.size("t").alias("size"), F.concat_ws(" ", "kind", "term").alias("alternative"), number.alias("term"), n.alias("n_terms"))
+
+
+def search_terms(queries: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
+    """(query_id, token, place, size, alternative, term, n_terms): what to look up, place within the alternative."""
+    return asked_terms(queries, normalize).select("*", F.posexplode("t").alias("place", "token")).drop("t")
 
 
 def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer | None = None, terms: DataFrame | None = None) -> DataFrame:
@@ -219,9 +222,32 @@ def occurrences(queries: DataFrame, postings: DataFrame, normalize: Normalizer |
 
 
 def lexical_matches(queries: DataFrame, docs: DataFrame, normalize: Normalizer | None = None) -> DataFrame:
-    """(query_id, doc_id) of the documents whose text matches."""
-    terms = search_terms(queries, normalize)
-    return occurrences(queries, build_postings(docs, normalize=normalize, only=vocabulary(terms)), normalize, terms).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id) of the documents whose text matches, as for ``occurrences``.
+
+    A document becomes one row with the numbers of the words and phrases asked for that it
+    holds. It meets the queries by their term that fewest have and is compared in place, so
+    neither places of words nor pairs of queries and documents are shuffled.
+    """
+    terms = written(asked_terms(queries, normalize).select("query_id", "term", "size", F.array_join("t", " ").alias("words")), "terms")
+    numbers = written(terms.select("words").distinct().withColumn("id", F.monotonically_increasing_id()), "numbers")
+    sizes = sorted(r[0] for r in terms.select("size").distinct().collect())  # lengths of phrases
+    small = (lambda df: F.broadcast(df)) if terms.count() <= BROADCAST_ROWS else (lambda df: df)
+    told = docs.select("doc_id", *[F.coalesce(tokens(F.col(field), normalize), F.array().cast("array<string>")).alias(field) for field in WEIGHTS])
+    # of each field its tokens, and the stretches of every length asked for
+    stretches = lambda t, n: F.col(t) if n == 1 else F.transform(t, lambda x, i: F.array_join(F.slice(F.col(t), i + 1, F.lit(n)), " "))
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *[stretches(t, n) for t in WEIGHTS for n in sizes]))
+    found = told.select("doc_id", F.explode(every).alias("words")).join(small(numbers), "words")
+    held = written(found.groupBy("doc_id").agg(F.collect_set("id").alias("ids")), "held")
+    counts = held.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    priced = terms.join(numbers, "words").join(counts, "id", "left").groupBy("query_id", "term").agg(F.collect_set("id").alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    wanted = F.array_sort(F.collect_list(F.when(F.col("term") >= 0, F.struct("n", "term", "ids"))))
+    asked = priced.groupBy("query_id").agg(wanted.alias("wanted"), F.max(F.when(F.col("term") < 0, F.col("ids"))).alias("unwanted")).where(F.size("wanted") > 0)
+    lists = F.transform("wanted", lambda x: x["ids"])
+    asked = asked.select("query_id", F.get(lists, F.lit(0)).alias("lead"), F.slice(lists, F.lit(2), F.size("wanted")).alias("rest"), "unwanted")
+    near = held.select("doc_id", "ids", F.explode("ids").alias("id")).join(small(asked.select("*", F.explode("lead").alias("id"))), "id")
+    once = (F.size("lead") == 1) | (F.get(F.array_intersect("lead", "ids"), F.lit(0)) == F.col("id"))  # of alternatives the first that is held
+    right = F.forall("rest", lambda g: F.arrays_overlap(g, F.col("ids"))) & ~F.coalesce(F.arrays_overlap("unwanted", "ids"), F.lit(False))
+    return near.where(once & right).select("query_id", "doc_id")
 
 
 def cover_density(occurrences: DataFrame, most_terms: int) -> DataFrame:

@@ -299,6 +299,19 @@ def test_search_syntax_and_filters(spark):
     assert found("laws", normalize=lambda t: F.regexp_replace(t, "s$", "")) != [] and found("laws") == []
 
 
+def test_matches_are_found_without_shuffled_pairs(spark):
+    import re
+
+    rows = [(1, "law", "the law of faith"), (2, "x", "grace and faith"), (3, "x", "faith of law"), (4, "faith", "of law"), (5, None, None)]
+    docs = frame(spark, [(i, f"R{i}", t, "s", c) for i, t, c in rows], "doc_id long, reference string, title string, source_name string, content string")
+    asked = {1: "faith -grace", 2: '"law of faith"', 3: "grace or law", 4: '"faith of" or grace -law', 5: "-law", 6: "law or faith -absent", 7: "absent or faith of", 8: "absent faith", 9: '"faith of law" faith', 10: "", 11: None}
+    got = sx.lexical_matches(frame(spark, list(asked.items()), "query_id long, query string"), docs)
+    found = [(r.query_id, r.doc_id) for r in got.collect()]
+    want = {1: {1, 3, 4}, 2: {1}, 3: {1, 2, 3, 4}, 4: {2}, 6: {1, 2, 3, 4}, 7: {1, 3, 4}, 9: {3}}
+    assert sorted(found) == sorted((q, d) for q, ds in want.items() for d in ds)
+    assert not re.search(r"hashpartitioning\([^)]*doc_id", got._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("limit", [1, 3, 7, 50])
 def test_traversal_equals_brute_force(spark, limit):
     """Hubs, loops, repeated edges and edges between neighbours, against a plain walk."""
